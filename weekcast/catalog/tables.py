@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weekcast.operators.joins import merge_master_data
 from weekcast.operators.series import series_window
 from weekcast.operators.weekly import weekly_sales
-from weekcast.plans.scale import attach
+from weekcast.plans.scale import attach, materialize
 
 
 class Tables:
@@ -72,12 +72,13 @@ class Tables:
         nation = self.read("nation").join(
             self.read("region"), F.col("n_regionkey") == F.col("r_regionkey")
         )
-        return self.read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        masters = self.read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.col("s_suppkey").cast("string").alias("store"),
             F.col("r_name").alias("premise"),
             F.col("n_name").alias("store_category"),
             F.col("s_nationkey").alias("zipcode"),
         )
+        return materialize(masters, "stores")
 
     @cached_property
     def products(self) -> DataFrame:
@@ -103,11 +104,21 @@ class Tables:
         """Weekly FINE panel with store and product attributes."""
         return merge_master_data(self.fine_weekly, self.products, self.stores)
 
+    @cached_property
+    def panel_table(self) -> DataFrame:
+        """``panel`` written once, clustered by series: the input of the feature builders."""
+        return materialize(self.panel, "panel", ["store", "product"])
+
     @cached_property
     def weekly(self) -> DataFrame:
         """Weekly DENSE panel."""
         return weekly_sales(self.dense)
 
+    @cached_property
+    def weekly_table(self) -> DataFrame:
+        """``weekly`` written once, clustered by series."""
+        return materialize(self.weekly, "weekly", ["store", "product"])
+
     @cached_property
     def scored(self) -> DataFrame:
         """DENSE panel with naive forecasts from earlier rows, used where predictions are needed."""

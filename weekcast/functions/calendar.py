@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import flag
-from weekcast.plans.scale import attach, with_scalars
+from weekcast.plans.scale import CALENDAR_ROWS, attach, with_scalars
 
 TAU = 2 * math.pi
 HOLIDAY_REACH = 30
@@ -187,7 +187,7 @@ def holiday_distance_table(holidays: DataFrame, reach: int = HOLIDAY_REACH) -> D
 def holiday_distance(df: DataFrame, date: str, holidays: DataFrame, reach: int = HOLIDAY_REACH) -> DataFrame:
     """Adds is_holiday and days to the next / since the previous holiday (0 = none within reach)."""
     table = holiday_distance_table(holidays, reach)
-    joined = attach(df.withColumn("_date", F.to_date(date)), table, ["_date"])
+    joined = attach(df.withColumn("_date", F.to_date(date)), table, ["_date"], rows=CALENDAR_ROWS)
     added = ("is_holiday", "days_to_holiday", "days_since_holiday")
     return joined.drop("_date").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in added})
 

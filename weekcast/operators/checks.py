@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from weekcast.functions.scalars import col, count_true, divide, is_digits, is_missing, parses_as_number
 from weekcast.operators.profile import duplicate_count
-from weekcast.plans.scale import attach, quantile_row, with_scalars
+from weekcast.plans.scale import CALENDAR_ROWS, attach, quantile_row, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 WEEKS = (1, 2, 3, 4, 5)
@@ -143,8 +143,8 @@ def week_coverage(df: DataFrame, expected: Sequence[int], week: str = "week") ->
     """
     have = df.select(F.col(week).cast("int").alias("week")).where(F.col(week).isNotNull()).distinct()
     want = df.sparkSession.createDataFrame([(int(w),) for w in expected], "week int")
-    missing = attach(want, have, ["week"], "left_anti").withColumn("status", F.lit("missing"))
-    extra = attach(have, want, ["week"], "left_anti").withColumn("status", F.lit("extra"))
+    missing = attach(want, have, ["week"], "left_anti", rows=CALENDAR_ROWS).withColumn("status", F.lit("missing"))
+    extra = attach(have, want, ["week"], "left_anti", rows=len(expected)).withColumn("status", F.lit("extra"))
     return missing.unionByName(extra)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.functions.scalars import col, numeric_columns, round_half_even
-from weekcast.plans.scale import attach, quantile_row, with_scalars
+from weekcast.plans.scale import CALENDAR_ROWS, attach, quantile_row, with_scalars
 from weekcast.spec import DEFAULT, SOURCE_NAMES, SeriesSpec
 
 
@@ -138,15 +138,21 @@ def clean_transactions(
     return df
 
 
-def fill_unmatched(df: DataFrame, columns: Sequence[str], unknown: str = "Unknown") -> DataFrame:
-    """Null text attributes become 'Unknown', null numbers the median over the rows."""
+def fill_unmatched(
+    df: DataFrame, columns: Sequence[str], unknown: str = "Unknown", medians: DataFrame | None = None
+) -> DataFrame:
+    """Null text attributes become 'Unknown', null numbers the median over the rows.
+
+    ``medians`` is a one-row frame of ``_median_<column>``; without it they are taken from ``df``.
+    """
     present = [c for c in columns if c in df.columns]
     numeric = [c for c in present if c in numeric_columns(df)]
     text = [c for c in present if c not in numeric]
     out = df.na.fill(unknown, text) if text else df
     if not numeric:
         return out
-    medians = quantile_row(df, numeric, [0.5], "_median_{column}")
+    if medians is None:
+        medians = quantile_row(df, numeric, [0.5], "_median_{column}")
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}")) for c in numeric}
     return with_scalars(out, medians).withColumns(filled).select(*df.columns)
 
@@ -218,7 +224,7 @@ def renumber_weeks(df: DataFrame, week: str = "week", last: int = 5) -> DataFram
         F.least(F.dense_rank().over(everything.orderBy(week)), F.lit(last)).alias("_rank"),
         ((F.min(week).over(everything) < 1) | (F.max(week).over(everything) > last)).alias("_outside"),
     )
-    mapped = attach(df, ranked, [week])
+    mapped = attach(df, ranked, [week], rows=CALENDAR_ROWS)
     new = F.when(F.col("_outside"), F.col("_rank")).otherwise(F.col(week)).cast("int")
     return mapped.withColumn(week, new).select(*df.columns)
 

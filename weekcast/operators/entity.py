@@ -33,7 +33,7 @@ def entity_stats(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEFAU
     )
     median = quantiles(df, spec.target, [0.5], [entity], names=[f"{name}_qty_median"])
     variation = divide(F.col(f"{name}_qty_std"), F.col(f"{name}_qty_mean"))
-    return attach(stats, median, [entity]).withColumn(f"{name}_qty_cv", F.coalesce(variation, F.lit(0.0)))
+    return attach(stats, median, [entity], rows=df).withColumn(f"{name}_qty_cv", F.coalesce(variation, F.lit(0.0)))
 
 
 def product_stats(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -74,7 +74,7 @@ def brand_breadth(df: DataFrame, spec: SeriesSpec = DEFAULT, brand: str = "brand
         F.count_distinct(spec.product).alias("brand_num_products")
     )
     best = breadth.orderBy(F.desc("brand_num_products"), F.asc(brand)).limit(top)
-    marked = attach(breadth, best.select(brand, F.lit(1).alias("_hit")), [brand])
+    marked = attach(breadth, best.select(brand, F.lit(1).alias("_hit")), [brand], rows=top)
     return marked.withColumn("is_top_brand", flag(F.col("_hit") == 1)).drop("_hit")
 
 
@@ -82,9 +82,9 @@ def product_subcategories(df: DataFrame, spec: SeriesSpec = DEFAULT, subcategory
     return df.groupBy(spec.product).agg(F.count_distinct(subcategory).alias("product_num_subcategories"))
 
 
-def price_tiers(df: DataFrame, price: str = "unit_price") -> DataFrame:
-    """Cheap, middle and expensive flags from the price quartiles over the rows."""
-    quarts = quantile_row(df, [price], [0.25, 0.75], "_{name}", ["p25", "p75"])
+def price_tiers(df: DataFrame, price: str = "unit_price", source: DataFrame | None = None) -> DataFrame:
+    """Cheap, middle and expensive flags from the price quartiles over the rows of ``source``."""
+    quarts = quantile_row(df if source is None else source, [price], [0.25, 0.75], "_{name}", ["p25", "p75"])
     p, low, high = F.col(price), F.col("_p25"), F.col("_p75")
     return (
         with_scalars(df, quarts)
@@ -103,12 +103,15 @@ def _one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) ->
     return {f"{prefix}_{slug(str(v))}": flag(F.col(column) == F.lit(v)) for v in values}
 
 
-def category_onehot(df: DataFrame, column: str = "category", k: int = TOP_CATEGORIES) -> DataFrame:
+def category_onehot(
+    df: DataFrame, column: str = "category", k: int = TOP_CATEGORIES, source: DataFrame | None = None
+) -> DataFrame:
     """0/1 columns for the k most frequent categories (ties by name) and for the rest.
 
     The category names become column names, so at most k of them are read on the driver.
     """
-    names = [row[0] for row in top_values(df, column, k).select(column).collect()]
+    counted = df if source is None else source
+    names = [row[0] for row in top_values(counted, column, k).select(column).collect()]
     other = {f"{column}_other": flag(~F.coalesce(F.col(column).isin(names), F.lit(False)))}
     return df.withColumns({**_one_hot(df, column, names, column), **other})
 
@@ -139,14 +142,19 @@ def store_type_onehot(df: DataFrame, stores: DataFrame | None = None) -> DataFra
     return df.withColumns(added)
 
 
-def zip_density(df: DataFrame, zipcode: str = "zipcode") -> DataFrame:
+def zip_table(df: DataFrame, zipcode: str = "zipcode") -> DataFrame:
     """Rows per zip code, and whether that is at or above the 75th percentile over the rows."""
     density = df.where(F.col(zipcode).isNotNull()).groupBy(zipcode).agg(F.count(F.lit(1)).alias("zip_density"))
     cut = quantiles(density, "zip_density", [0.75], weight="zip_density", names=["_cut"])
-    table = with_scalars(density, cut).select(
+    return with_scalars(density, cut).select(
         zipcode, "zip_density", flag(F.col("zip_density") >= F.col("_cut")).alias("is_urban")
     )
-    return attach(df, table, [zipcode]).withColumn("is_urban", F.coalesce(F.col("is_urban"), F.lit(0)))
+
+
+def zip_density(df: DataFrame, zipcode: str = "zipcode", source: DataFrame | None = None) -> DataFrame:
+    source = df if source is None else source
+    out = attach(df, zip_table(source, zipcode), [zipcode], rows=source)
+    return out.withColumn("is_urban", F.coalesce(F.col("is_urban"), F.lit(0)))
 
 
 def entity_ranking(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -169,9 +177,9 @@ def target_encoding(df: DataFrame, spec: SeriesSpec = DEFAULT, leak_safe: bool =
     out = df
     for name, keys in groups.items():
         if leak_safe:
-            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date])
+            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], rows=df)
         else:
-            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys)
+            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, rows=df)
     return out
 
 
@@ -192,31 +200,44 @@ def product_table(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     if "subcategory" in df.columns:
         parts.append(product_subcategories(df, spec))
     for part in parts:
-        table = table.join(part, spec.product, "left")
+        table = attach(table, part, [spec.product], rows=df)
     return rank_entities(table, "product_qty_total", "product")
 
 
 def store_table(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """All store-grain features, one row per store."""
-    table = store_stats(df, spec).join(store_diversity(df, spec), spec.store, "left")
+    table = attach(store_stats(df, spec), store_diversity(df, spec), [spec.store], rows=df)
     if spec.week_date in df.columns:
-        table = table.join(store_activity(df, spec), spec.store, "left")
+        table = attach(table, store_activity(df, spec), [spec.store], rows=df)
     return rank_entities(table, "store_qty_total", "store")
 
 
-def product_features(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
+def product_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFrame | None = None) -> DataFrame:
+    """Category, brand, price, performance and rank columns of the product.
+
+    ``source`` holds the rows the statistics are taken from; it is ``df`` itself by default, or the
+    stored panel when ``df`` already carries other derived columns.
+    """
+    source = df if source is None else source
     out = df
     if "category" in df.columns:
-        out = category_onehot(out)
+        out = category_onehot(out, source=source)
     if "unit_price" in df.columns:
-        out = price_tiers(out)
+        out = price_tiers(out, source=source)
     if "brand" in df.columns:
-        out = attach(out, brand_breadth(df, spec), ["brand"])
-    return attach(out, product_table(df, spec), [spec.product])
-
-
-def store_features(df: DataFrame, spec: SeriesSpec = DEFAULT, stores: DataFrame | None = None) -> DataFrame:
-    out = store_type_onehot(df, stores)
+        out = attach(out, brand_breadth(source, spec), ["brand"], rows=source)
+    return attach(out, product_table(source, spec), [spec.product], rows=source)
+
+
+def store_features(
+    df: DataFrame,
+    spec: SeriesSpec = DEFAULT,
+    stores: DataFrame | None = None,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Type, location, performance, diversity, activity and rank columns of the store."""
+    source = df if source is None else source
+    out = store_type_onehot(df, stores if stores is not None else source)
     if "zipcode" in df.columns:
-        out = zip_density(out)
-    return attach(out, store_table(df, spec), [spec.store])
+        out = zip_density(out, source=source)
+    return attach(out, store_table(source, spec), [spec.store], rows=source)

@@ -238,7 +238,7 @@ def baselines(
         return table
     means = history.groupBy(segment).agg(F.avg(q).alias("segment_mean"))
     owner = history.groupBy(*spec.series).agg(F.min(segment).alias(segment))
-    return table.join(attach(owner, means, [segment]), spec.series, "left")
+    return table.join(attach(owner, means, [segment], rows=history), spec.series, "left")
 
 
 def baseline_comparison(
@@ -283,17 +283,17 @@ def residual_report(
         divide(F.sum(r) * 100.0, F.sum(F.abs(F.col(actual)))).alias("bias_pct"),
     )
     quarts = quantiles(wide, "residual", [0.25, 0.75], by, names=["q1", "q3"])
-    side = attach(moments, quarts, by) if by else with_scalars(moments, quarts)
+    side = attach(moments, quarts, by, rows=wide) if by else with_scalars(moments, quarts)
     bounds = side.select(*by, "mean", "std", "q1", "q3").withColumnsRenamed(
         {"mean": "_mean", "std": "_std", "q1": "_q1", "q3": "_q3"}
     )
-    marked = attach(wide, bounds, by) if by else with_scalars(wide, bounds)
+    marked = attach(wide, bounds, by, rows=wide) if by else with_scalars(wide, bounds)
     iqr = F.col("_q3") - F.col("_q1")
     outliers = marked.groupBy(*by).agg(
         count_true(F.abs(r - F.col("_mean")) > 3 * F.col("_std")).alias("z_score_outliers"),
         count_true((r < F.col("_q1") - 1.5 * iqr) | (r > F.col("_q3") + 1.5 * iqr)).alias("iqr_outliers"),
     )
-    out = attach(side, outliers, by) if by else with_scalars(side, outliers)
+    out = attach(side, outliers, by, rows=wide) if by else with_scalars(side, outliers)
     return out.withColumns(
         {
             "z_score_outlier_pct": divide(F.col("z_score_outliers") * 100.0, F.col("rows")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import week_start
-from weekcast.plans.scale import attach, with_scalars
+from weekcast.plans.scale import CALENDAR_ROWS, attach, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 # Folds, test weeks per fold and gap of the time-ordered validation.
@@ -51,7 +51,7 @@ def temporal_folds(
     table = week_ranks(df, spec).select(
         "week_start", fold.alias("fold"), F.col("week_rank").cast("int").alias("week_rank")
     )
-    out = attach(df.withColumn("week_start", week_start(F.col(spec.week_date))), table, ["week_start"])
+    out = attach(df.withColumn("week_start", week_start(F.col(spec.week_date))), table, ["week_start"], rows=CALENDAR_ROWS)
     return out.drop("week_start")
 
 
@@ -73,5 +73,5 @@ def chronological_holdout(df: DataFrame, spec: SeriesSpec = DEFAULT, train_share
         .otherwise("validation")
         .alias("split"),
     )
-    out = attach(df.withColumn("week_start", week_start(F.col(spec.week_date))), table, ["week_start"])
+    out = attach(df.withColumn("week_start", week_start(F.col(spec.week_date))), table, ["week_start"], rows=CALENDAR_ROWS)
     return out.drop("week_start")

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.functions.scalars import flag
+from weekcast.functions.scalars import flag, numeric_columns
 from weekcast.operators.clean import fill_unmatched, require, standardize_key
-from weekcast.plans.scale import attach, value_ranks
+from weekcast.plans.scale import attach, quantile_row, value_ranks
 from weekcast.spec import (
     DEFAULT,
     PRODUCT_ATTRIBUTES,
@@ -26,8 +26,16 @@ def _join_dimension(
     dim = standardize_key(dim, key, candidates)
     clashes = {c: f"{c}_{suffix}" for c in dim.columns if c != key and c in fact.columns}
     dim = dim.withColumnsRenamed(clashes)
-    joined = attach(fact.withColumn(key, F.col(key).cast("string")), dim, [key])
-    return fill_unmatched(joined, [clashes.get(a, a) for a in attributes])
+    fact = fact.withColumn(key, F.col(key).cast("string"))
+    filled = [clashes.get(a, a) for a in attributes]
+    numeric = [c for c in filled if c in numeric_columns(dim)]
+    medians = None
+    if numeric:
+        # The median over the joined rows is a median over the dimension weighted by rows per key.
+        rows = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        weighted = attach(rows, dim.select(key, *numeric), [key], "inner", rows=dim)
+        medians = quantile_row(weighted, numeric, [0.5], "_median_{column}", weight="_rows")
+    return fill_unmatched(attach(fact, dim, [key]), filled, medians=medians)
 
 
 def join_stores(fact: DataFrame, stores: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -55,14 +63,14 @@ def merge_master_data(
 
 def match_rate(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Rows of the fact and how many found a partner in the dimension."""
-    marked = attach(fact.select(key), dim.select(key).distinct().withColumn("_hit", F.lit(1)), [key])
+    marked = attach(fact.select(key), dim.select(key).distinct().withColumn("_hit", F.lit(1)), [key], rows=dim)
     return marked.agg(F.count(F.lit(1)).alias("rows"), F.count("_hit").alias("matched"))
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
     """Group statistics on every row: one aggregation (partial on the map side), one side join."""
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
-    return attach(df, stats, keys)
+    return attach(df, stats, keys, rows=df)
 
 
 def combine_feature_sets(
@@ -90,7 +98,7 @@ def top_values(df: DataFrame, column: str, k: int, weight: Column | None = None)
 def in_top_k(df: DataFrame, column: str, k: int, name: str, weight: Column | None = None) -> DataFrame:
     """1 on rows whose value is among the k most frequent ones."""
     best = top_values(df, column, k, weight).select(column, F.lit(1).alias("_hit"))
-    return attach(df, best, [column]).withColumn(name, flag(F.col("_hit") == 1)).drop("_hit")
+    return attach(df, best, [column], rows=k).withColumn(name, flag(F.col("_hit") == 1)).drop("_hit")
 
 
 def history_stats(history: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -101,7 +109,7 @@ def history_stats(history: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
 
 def join_history_bounds(forecast: DataFrame, history: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """Historical mean and maximum of each series beside its forecasts."""
-    return attach(forecast, history_stats(history, spec), spec.series)
+    return attach(forecast, history_stats(history, spec), spec.series, rows=history)
 
 
 def align_actual_predicted(actual: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,7 +122,7 @@ def rank_entities(totals: DataFrame, value: str, name: str) -> DataFrame:
     dense = F.col("values_total") - F.col("values_below")
     percentile = (F.col("rows_below") + (F.col("peers") + 1) / 2) / F.col("rows_total")
     table = ranks.select(value, dense.cast("long").alias(f"{name}_rank"), percentile.alias(f"{name}_percentile"))
-    return attach(totals, table, [value]).withColumns(
+    return attach(totals, table, [value], rows=totals).withColumns(
         {
             f"is_{name}_top10": flag(F.col(f"{name}_rank") <= 10),
             f"is_{name}_top100": flag(F.col(f"{name}_rank") <= 100),

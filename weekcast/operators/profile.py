@@ -82,7 +82,7 @@ def data_summary(df: DataFrame) -> DataFrame:
     if not numeric:
         return base
     quarts = column_quantiles(df, numeric, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
-    return attach(base, quarts, ["column"])
+    return attach(base, quarts, ["column"], rows=len(df.columns))
 
 
 def top_frequencies(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def top_frequencies(df: DataFrame, k: int = 5, columns: Sequence[str] | None = N
     final = Window.partitionBy("column").orderBy(*order)
     best = sliced.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k)
     ranked = best.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return attach(ranked, sizes, ["column"]).select("column", "distinct_values", "rank", "value", "n")
+    return attach(ranked, sizes, ["column"], rows=len(df.columns)).select("column", "distinct_values", "rank", "value", "n")
 
 
 def data_quality_profile(df: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def category_profile(df: DataFrame, top: int = 10) -> DataFrame:
         .select("column", "distinct_values", "_role.role", "_role.most", "_role.keep")
         .where(F.col("distinct_values") < F.col("most"))
     )
-    kept = attach(counts, small, ["column"], "inner")
+    kept = attach(counts, small, ["column"], "inner", rows=len(roles))
     order = Window.partitionBy("role", "column").orderBy(F.desc("n"), F.asc("value"))
     return (
         kept.withColumn("rank", F.row_number().over(order))
@@ -240,7 +240,7 @@ def outlier_report(df: DataFrame, min_distinct: int = 10) -> DataFrame:
     )
     v = F.col("value")
     return (
-        attach(counts, bounds, ["column"])
+        attach(counts, bounds, ["column"], rows=len(columns))
         .groupBy("column", "q1", "q3", "iqr", "low", "high")
         .agg(
             F.count("value").alias("_distinct"),

@@ -100,7 +100,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], row_key: Sequence[str]
     )
     for c in columns:
         table = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("_rank").alias(f"_r_{c}"))
-        ranked = attach(ranked, table, [c])
+        ranked = attach(ranked, table, [c], rows=df)
     return pair_correlations(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
 
 
@@ -116,7 +116,7 @@ def drop_correlated(df: DataFrame, features: Sequence[str], target: str, thresho
     pairs = high_pairs(pair_correlations(df, features), threshold).select("feature_1", "feature_2")
     first = scores.select(F.col("feature").alias("feature_1"), F.col("correlation").alias("_c1"))
     second = scores.select(F.col("feature").alias("feature_2"), F.col("correlation").alias("_c2"))
-    both = attach(attach(pairs, first, ["feature_1"]), second, ["feature_2"])
+    both = attach(attach(pairs, first, ["feature_1"], rows=len(features)), second, ["feature_2"], rows=len(features))
     weaker = F.coalesce("_c1", F.lit(0.0)) < F.coalesce("_c2", F.lit(0.0))
     loser = F.when(weaker, F.col("feature_1")).otherwise(F.col("feature_2"))
     return both.select(loser.alias("feature")).distinct()
@@ -141,7 +141,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
     target_bins = table.where(F.col("column") == target).select(
         F.col("value").alias(target), F.col("_bin").alias("_target_bin")
     )
-    binned = attach(src, target_bins, [target])
+    binned = attach(src, target_bins, [target], rows=df)
     pairs = F.array(*[F.struct(F.lit(f).alias("column"), col(f).alias("value")) for f in features])
     counts = (
         binned.select("_target_bin", F.explode(pairs).alias("_p"))
@@ -289,7 +289,7 @@ def selection_pipeline(
         for f in features
     }
     rows = df.sparkSession.createDataFrame(list(stage.items()), "feature string, stage string")
-    return attach(rows, importance.select("feature", "importance"), ["feature"])
+    return attach(rows, importance.select("feature", "importance"), ["feature"], rows=len(features))
 
 
 def select_features(

@@ -60,7 +60,7 @@ def all_features(
     ``cut`` writes the entity-level result once before the series windows.
     """
     out = temporal_features(panel, spec, holidays)
-    out = store_features(product_features(out, spec), spec, stores)
+    out = store_features(product_features(out, spec, source=panel), spec, stores, source=panel)
     if cut:
         out = materialize(out, "features", spec.series)
     return series_features(out, spec, leak_safe=leak_safe)

@@ -66,8 +66,37 @@ def planned_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    size = planned_bytes(df)
+# Bytes assumed per value where the type does not tell.
+TEXT_BYTES, NESTED_BYTES, ROW_BYTES = 32, 64, 16
+# No calendar table of days, weeks or months is longer than this (about 270 years of days).
+CALENDAR_ROWS = 100_000
+
+
+def row_width(df: DataFrame) -> int:
+    sizes = {"double": 8, "bigint": 8, "timestamp": 8, "int": 4, "date": 4, "float": 4, "boolean": 1}
+    kinds = [f.dataType.simpleString() for f in df.schema.fields]
+    return ROW_BYTES + sum(sizes.get(k, TEXT_BYTES if k == "string" else NESTED_BYTES) for k in kinds)
+
+
+def size_bound(side: DataFrame, rows: int | DataFrame | None = None) -> int | None:
+    """Upper bound of the bytes of ``side``.
+
+    ``rows`` is what the caller knows: a number of rows it cannot exceed, or a frame with at least as
+    many rows. It replaces Catalyst's estimate, which multiplies the sizes of joined tables.
+    """
+    if isinstance(rows, int):
+        return rows * row_width(side)
+    own = planned_bytes(side)
+    if rows is None:
+        return own
+    base = planned_bytes(rows)
+    scaled = None if base is None else base * row_width(side) // row_width(rows)
+    known = [b for b in (own, scaled) if b is not None]
+    return min(known) if known else None
+
+
+def fits(side: DataFrame, limit: int = BROADCAST_LIMIT, rows: int | DataFrame | None = None) -> bool:
+    size = size_bound(side, rows)
     return size is not None and size <= limit
 
 
@@ -90,17 +119,18 @@ def attach(
     side: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    limit: int = BROADCAST_LIMIT,
+    rows: int | DataFrame | None = None,
+    limit: int | None = None,
     salts: int = JOIN_SALTS,
 ) -> DataFrame:
     """Join a per-entity table to a fact table without shuffling the fact where that is safe.
 
-    Broadcast when the planner's bound is under ``limit``. Otherwise the side (an aggregate whose
-    bound is that of its input) is written out once to learn its real size, and then broadcast or
-    joined with salted keys.
+    Broadcast when the bound of the side (see ``size_bound``) is under ``limit``. Otherwise the side
+    is written out once to learn its real size, and then broadcast or joined with salted keys.
     """
     on = list(on)
-    if fits(side, limit):
+    limit = BROADCAST_LIMIT if limit is None else limit
+    if fits(side, limit, rows):
         return fact.join(F.broadcast(side), on, how)
     side = materialize(side, "side")
     if fits(side, limit):
@@ -155,14 +185,17 @@ def quantiles(
     by: Sequence[str] = (),
     weight: str | None = None,
     names: Sequence[str] | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group.
 
     First pass: rows per value bucket (map-side combined). Second pass: only the buckets that hold
     a wanted position are counted by value and ordered. No task sees a group's full set of values.
-    ``weight`` counts a row that many times. Nulls and NaN are ignored.
+    ``weight`` counts a row that many times. Nulls and NaN are ignored. ``groups`` is the largest
+    possible number of groups where the caller knows it.
     """
     by = list(by)
+    groups = groups if by else 1
     names = list(names or [f"q{int(round(p * 1000))}" for p in probabilities])
     src = df.select(
         *by,
@@ -184,7 +217,7 @@ def quantiles(
     needed = offsets.where(F.size(wanted) > 0).drop("_n")
 
     counts = (
-        attach(src, needed, [*by, "_bucket"], "inner")
+        attach(src, needed, [*by, "_bucket"], "inner", rows=groups * 2 * len(probabilities) if groups else df)
         .groupBy(*by, "_bucket", "_before", "_total", "_value")
         .agg(F.sum("_weight").alias("_n"))
     )
@@ -210,18 +243,28 @@ def quantiles(
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], names: Sequence[str]
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles of many columns in one pass: one row per column."""
-    return quantiles(unpivot_numeric(df, columns), "value", probabilities, ["column"], names=names)
+    long = unpivot_numeric(df, columns, [weight] if weight else [])
+    return quantiles(long, "value", probabilities, ["column"], weight, names, groups=len(columns))
 
 
 def quantile_row(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], name="{column}_{name}", names=()
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    name: str = "{column}_{name}",
+    names: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """The same as a single row with one column per (column, probability), for ``with_scalars``."""
     names = list(names or [f"q{int(round(p * 1000))}" for p in probabilities])
-    table = column_quantiles(df, columns, probabilities, names)
+    table = column_quantiles(df, columns, probabilities, names, weight)
     return table.agg(
         *[
             F.max(F.when(F.col("column") == c, F.col(n))).alias(name.format(column=c, name=n))
@@ -259,7 +302,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value)
     below = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return attach(counts, offsets, [*by, "_bucket"], "inner").select(
+    return attach(counts, offsets, [*by, "_bucket"], "inner", rows=df).select(
         *by,
         value,
         "peers",
