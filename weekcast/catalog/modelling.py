@@ -1,0 +1,539 @@
+"""Queries on feature selection, models, ensembles, strategies, run metrics and streaming."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from weekcast.catalog.registry import query
+from weekcast.catalog.reports import COMPARED, KEY, KEY_SQL, METRICS, PREDICTIONS, metrics_sql
+from weekcast.catalog.tables import SERIES, Tables
+from weekcast.operators import ensemble, forecast, models, runs, select
+from weekcast.operators.folds import N_SPLITS
+from weekcast.plans import strategy
+from weekcast.plans.scale import materialize, scratch_path
+from weekcast.sources import sinks
+from weekcast.streaming.scoring import stream_score
+
+# -- selection -------------------------------------------------------------------------------------
+# Candidate features of the weekly DENSE panel: money totals, week numbers and lagged figures.
+
+FEATURES = ("week", "gross_value", "net_value", "discount", "taxes", "lag_1", "lag_2", "mean_4")
+MATRIX = f"""(SELECT store, product, year, quantity, week, gross_value, net_value, discount, taxes,
+coalesce(lag(quantity, 1) OVER w, 0) AS lag_1, coalesce(lag(quantity, 2) OVER w, 0) AS lag_2,
+coalesce(avg(quantity) OVER (PARTITION BY store, product ORDER BY week_date, year, week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0)
+AS mean_4 FROM weekly {SERIES}) x"""
+
+
+def matrix(t: Tables) -> DataFrame:
+    w, q = Window.partitionBy("store", "product").orderBy("week_date", "year", "week"), F.col("quantity")
+    zero = F.lit(0.0)
+    wide = t.weekly_table.withColumns(
+        {
+            "lag_1": F.coalesce(F.lag(q, 1).over(w), zero),
+            "lag_2": F.coalesce(F.lag(q, 2).over(w), zero),
+            "mean_4": F.coalesce(F.avg(q).over(w.rowsBetween(-4, -1)), zero),
+        }
+    )
+    return wide.select("store", "product", "year", "week_date", "quantity", *FEATURES)
+
+
+CORR = "SELECT feature, abs(c) AS correlation FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, corr({f}, quantity) AS c FROM {MATRIX}" for f in FEATURES) + ") WHERE c IS NOT NULL"
+
+
+def ranked_sql(scores: str, score: str, k: int) -> str:
+    return f"""SELECT *, CAST(rank <= {k} AS INTEGER) AS selected FROM
+(SELECT *, row_number() OVER (ORDER BY {score} DESC, feature) AS rank FROM ({scores}))"""
+
+
+@query("select_by_correlation", "feature:s correlation:f rank:i selected:i", ranked_sql(CORR, "correlation", 4))
+def select_by_correlation(t: Tables):
+    return select.select_by_correlation(matrix(t), FEATURES, "quantity", 4)
+
+
+ALL_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS correlation FROM {MATRIX}"
+    for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:])
+
+
+@query("correlation_matrix", "feature_1:s feature_2:s correlation:f", ALL_PAIRS)
+def correlation_matrix(t: Tables):
+    return select.correlation_matrix(matrix(t), FEATURES)
+
+
+RANKED = ("quantity", "lag_1", "mean_4")
+AVERAGE_RANKS = "(SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in RANKED) + f" FROM {MATRIX}) y"
+SPEARMAN = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS correlation FROM {AVERAGE_RANKS}"
+    for i, a in enumerate(RANKED) for b in RANKED[i + 1:])
+
+
+@query("spearman_pairs", "feature_1:s feature_2:s correlation:f", SPEARMAN)
+def spearman_pairs(t: Tables):
+    return select.spearman_pairs(matrix(t), RANKED, [])
+
+
+@query("spearman_matrix", "feature_1:s feature_2:s correlation:f", SPEARMAN)
+def spearman_matrix(t: Tables):
+    return select.correlation_matrix(matrix(t), RANKED, "spearman")
+
+
+@query("high_pairs", "feature_1:s feature_2:s correlation:f",
+       f"SELECT * FROM ({ALL_PAIRS}) WHERE abs(correlation) >= 0.9")
+def high_pairs(t: Tables):
+    return select.high_pairs(select.correlation_matrix(matrix(t), FEATURES), 0.9)
+
+
+@query("drop_correlated", "feature:s",
+       f"""WITH c AS ({CORR}) SELECT DISTINCT CASE WHEN coalesce(a.correlation, 0) < coalesce(b.correlation, 0)
+THEN feature_1 ELSE feature_2 END AS feature FROM ({ALL_PAIRS}) p LEFT JOIN c a ON feature_1 = a.feature
+LEFT JOIN c b ON feature_2 = b.feature WHERE abs(p.correlation) >= 0.9""")
+def drop_correlated(t: Tables):
+    return select.drop_correlated(matrix(t), FEATURES, "quantity", 0.9)
+
+
+F_SCORES = f"""SELECT feature, power(correlation, 2) / nullif(1 - power(correlation, 2), 0) * (n - 2) AS score
+FROM ({CORR}), (SELECT count(*) AS n FROM weekly)"""
+
+
+@query("f_regression_scores", "feature:s score:f", F_SCORES)
+def f_regression_scores(t: Tables):
+    return select.f_regression_scores(matrix(t), FEATURES, "quantity")
+
+
+MI_FEATURES = ("week", "lag_1", "mean_4")
+BIN = "least(floor((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER () * 10), 9)"
+BINNED = "(SELECT " + ", ".join(f"{BIN.format(c=c)} AS {c}" for c in (*MI_FEATURES, "quantity")) + f" FROM {MATRIX}) y"
+MI_SQL = " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, sum(n / t * ln(n * t / (a * b))) AS score FROM (SELECT count(*) AS n,
+sum(count(*)) OVER (PARTITION BY {f}) AS a, sum(count(*)) OVER (PARTITION BY quantity) AS b, sum(count(*)) OVER () AS t
+FROM {BINNED} GROUP BY {f}, quantity)""" for f in MI_FEATURES)
+
+
+@query("mutual_information", "feature:s score:f", MI_SQL)
+def mutual_information(t: Tables):
+    return select.mutual_information(matrix(t), MI_FEATURES, "quantity")
+
+
+@query("select_k_best", "feature:s score:f rank:i selected:i", ranked_sql(F_SCORES, "score", 3))
+def select_k_best(t: Tables):
+    return select.select_k_best(matrix(t), FEATURES, "quantity", 3)
+
+
+@query("top_k_features", "feature:s score:f rank:i",
+       f"SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature) AS rank FROM ({F_SCORES}) "
+       "ORDER BY score DESC LIMIT 5")
+def top_k_features(t: Tables):
+    return select.top_k_features(select.f_regression_scores(matrix(t), FEATURES, "quantity"), "score", 5)
+
+
+@query("tree_importance", "feature:s importance:f importance_normalized:f")
+def tree_importance(t: Tables):
+    return select.tree_importance(matrix(t), FEATURES, "quantity", trees=10, depth=5)
+
+
+@query("rfe", "feature:s ranking:i selected:i")
+def rfe(t: Tables):
+    return select.rfe(matrix(t), FEATURES, "quantity", 4, "linear_regression")
+
+
+@query("vif", "feature:s vif:f is_high:i")
+def vif(t: Tables):
+    return select.vif(matrix(t), FEATURES)
+
+
+@query("selection_pipeline", "feature:s stage:s importance:f")
+def selection_pipeline(t: Tables):
+    return select.selection_pipeline(matrix(t), FEATURES, "quantity", selection="kbest", k=4, trees=5, depth=4)
+
+
+@query("select_features", "store:s product:s year:i quantity:f rows:i")
+def select_features(t: Tables):
+    kept = select.select_features(matrix(t), "quantity", "correlation", 3)
+    return kept.groupBy("store", "product", "year").agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("rows"))
+
+
+# -- models ------------------------------------------------------------------------------------------
+# Tree counts are small so that a query is one quick fit; the parameters are the caller's.
+
+SMALL = {"n_estimators": 5, "max_depth": 4}
+FOLDS = 2
+MODEL_COLUMNS = f"{KEY} quantity:f prediction:f"
+
+
+def learning(t: Tables, folds: int = FOLDS) -> tuple[DataFrame, list[str]]:
+    """Leak-safe feature table with fold ids, and its feature names."""
+    frame = models.folded(models.model_frame(t.weekly_table, lags=(1, 2, 4), windows=(4, 8)), n_splits=folds)
+    return frame, models.model_features(frame)
+
+
+def _holdout(t: Tables, kind: str, **params):
+    frame, features = learning(t)
+    train, test = frame.where("week_rank > 4"), frame.where("week_rank <= 4")
+    return models.predict(models.fit(train, features, models.ModelSpec(kind, params)), test)
+
+
+@query("fit_gbt", MODEL_COLUMNS)
+def fit_gbt(t: Tables):
+    frame, features = learning(t)
+    marked = models.mark_validation(frame.where("week_rank > 4").withColumn("week_rank", F.col("week_rank") - 4))
+    model = models.fit_gbt(marked, features, validation="is_validation", **SMALL)
+    return models.predict(model, frame.where("week_rank <= 4"))
+
+
+@query("fit_gbt_alt", MODEL_COLUMNS)
+def fit_gbt_alt(t: Tables):
+    return _holdout(t, "gbt_alt", **SMALL)
+
+
+@query("fit_forest", MODEL_COLUMNS)
+def fit_forest(t: Tables):
+    return _holdout(t, "forest", **SMALL)
+
+
+@query("fit_tree", MODEL_COLUMNS)
+def fit_tree(t: Tables):
+    return _holdout(t, "tree", max_depth=5)
+
+
+@query("fit_linear", MODEL_COLUMNS)
+def fit_linear(t: Tables):
+    return _holdout(t, "linear", alpha=1.0)
+
+
+# One regressor without penalty has a closed form.
+@query("fit_linear_single", f"{KEY} prediction:f",
+       """SELECT store, product, year, week, c.a + c.b * p_ma4 AS prediction FROM scored,
+(SELECT regr_intercept(quantity, p_ma4) AS a, regr_slope(quantity, p_ma4) AS b FROM scored) c""")
+def fit_linear_single(t: Tables):
+    scored = materialize(t.scored, "scored")
+    return models.predict(models.fit_linear(scored, ["p_ma4"]), scored)
+
+
+@query("fit_seasonal_trend", MODEL_COLUMNS)
+def fit_seasonal_trend(t: Tables):
+    frame = t.weekly_table.withColumn("is_train", F.col("week_date") < F.lit("2001-09-01").cast("date"))
+    return models.fit_seasonal_trend(frame, "is_train", mode="multiplicative")
+
+
+@query("importances", "feature:s importance:f")
+def importances(t: Tables):
+    frame, features = learning(t)
+    return models.importances(models.fit_forest(frame, features, **SMALL), frame)
+
+
+@query("save_load_model", MODEL_COLUMNS)
+def save_load_model(t: Tables):
+    frame, features = learning(t)
+    path = scratch_path(t.spark, "model")
+    models.save_model(models.fit_tree(frame, features, max_depth=4), path)
+    return models.predict(models.load_model(path), frame)
+
+
+@query("cross_validate_temporal", f"fold:i rows:i {METRICS}")
+def cross_validate_temporal(t: Tables):
+    frame, features = learning(t)
+    return models.cross_validate_temporal(frame, features, models.ModelSpec("tree", {"max_depth": 4}), n_splits=FOLDS)
+
+
+@query("tune", "trial:i n_estimators:f max_depth:f learning_rate:f wmape:f")
+def tune(t: Tables):
+    frame, features = learning(t)
+    space = {"n_estimators": (2, 6), "max_depth": (2, 4), "learning_rate": (0.05, 0.3)}
+    return models.tune(frame, features, space=space, trials=2, n_splits=1)
+
+
+BASE_MODELS = {
+    "forest": models.ModelSpec("forest", {"n_estimators": 4, "max_depth": 4}),
+    "tree": models.ModelSpec("tree", {"max_depth": 4}),
+    "linear": models.ModelSpec("linear", {"alpha": 1.0}),
+}
+
+
+@query("oof_predictions", f"{KEY} fold:i quantity:f forest:f tree:f linear:f")
+def oof_predictions(t: Tables):
+    frame, features = learning(t)
+    return models.oof_predictions(frame, features, BASE_MODELS, n_splits=FOLDS)
+
+
+@query("stacking", f"{KEY} quantity:f prediction:f")
+def stacking(t: Tables):
+    frame, features = learning(t)
+    model, _ = ensemble.fit_stacking(frame, features, BASE_MODELS, n_splits=FOLDS)
+    return model.transform(frame)
+
+
+class MeanOfColumns:
+    """A model that is not Spark's: anything with ``predict(matrix)``."""
+
+    def predict(self, matrix):
+        return np.asarray(matrix).mean(axis=1)
+
+
+@query("score_with", f"{KEY} prediction:f",
+       f"SELECT {KEY_SQL}, (p_lag1 + p_ma4 + p_ma8 + p_mean) / 4 AS prediction FROM scored")
+def score_with(t: Tables):
+    return models.score_with(t.scored, MeanOfColumns(), PREDICTIONS)
+
+
+# -- ensembles -------------------------------------------------------------------------------------------
+
+
+@query("weighted_ensemble", f"{KEY} ensemble:f",
+       f"SELECT {KEY_SQL}, (0.35 * p_lag1 + 0.35 * p_ma4 + 0.2 * p_ma8 + 0.1 * p_mean) / 1.0 AS ensemble FROM scored")
+def weighted_ensemble(t: Tables):
+    return ensemble.weighted_ensemble(t.scored, PREDICTIONS, [0.35, 0.35, 0.2, 0.1])
+
+
+WEIGHTS = f"""SELECT method AS model, wmape / 100 AS wmape,
+(1 / (wmape / 100 + 0.001)) / sum(1 / (wmape / 100 + 0.001)) OVER () AS weight FROM ({COMPARED})"""
+
+
+@query("inverse_error_weights", "model:s wmape:f weight:f", WEIGHTS)
+def inverse_error_weights(t: Tables):
+    return ensemble.inverse_error_weights(t.scored, "quantity", PREDICTIONS)
+
+
+@query("inverse_error_ensemble", f"{KEY} ensemble:f",
+       f"WITH w AS ({WEIGHTS}) SELECT {KEY_SQL}, " + " + ".join(
+           f"{p} * (SELECT weight FROM w WHERE model = '{p}')" for p in PREDICTIONS) + " AS ensemble FROM scored")
+def inverse_error_ensemble(t: Tables):
+    return ensemble.inverse_error_ensemble(t.scored, "quantity", PREDICTIONS)
+
+
+THREE = ("p_lag1", "p_ma8", "p_mean")
+CANDIDATES = f"""
+SELECT i AS candidate, a AS weight_p_lag1, b AS weight_p_ma8, c AS weight_p_mean,
+  100.0 * sum(abs(quantity - (p_lag1 * a + p_ma8 * b + p_mean * c))) / sum(abs(quantity)) AS wmape
+FROM scored, (VALUES {", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(ensemble.weight_grid(3)))}) g(i, a, b, c)
+GROUP BY i, a, b, c"""
+CANDIDATE = "candidate:i weight_p_lag1:f weight_p_ma8:f weight_p_mean:f wmape:f"
+
+
+@query("weight_candidates", CANDIDATE, CANDIDATES)
+def weight_candidates(t: Tables):
+    return ensemble.weight_candidates(t.scored, "quantity", THREE)
+
+
+@query("optimize_weights", CANDIDATE,
+       f"SELECT * FROM ({CANDIDATES}) ORDER BY round(wmape, 9), candidate LIMIT 1")
+def optimize_weights(t: Tables):
+    return ensemble.optimize_weights(t.scored, "quantity", THREE)
+
+
+@query("ensemble_compare", f"model:s {METRICS} is_best:i",
+       f"SELECT method AS model, * EXCLUDE (method), CAST(row_number() OVER (ORDER BY wmape, method) = 1 AS INTEGER) AS is_best "
+       f"FROM ({COMPARED})")
+def ensemble_compare(t: Tables):
+    return ensemble.ensemble_compare(t.scored, "quantity", PREDICTIONS)
+
+
+@query("stack_vs_simple", "stacked_wmape:f simple_wmape:f improvement_pct:f target_met:i",
+       f"""SELECT a AS stacked_wmape, b AS simple_wmape, 100.0 * (b - a) / b AS improvement_pct,
+CAST(100.0 * (b - a) / b > 10 AS INTEGER) AS target_met FROM (SELECT {metrics_sql('p_mean')} FROM scored) m(a, x, y, z),
+(SELECT {metrics_sql('(p_lag1 + p_ma4) / 2')} FROM scored) n(b, x, y, z)""")
+def stack_vs_simple(t: Tables):
+    return ensemble.stack_vs_simple(t.scored, "quantity", "p_mean", ["p_lag1", "p_ma4"])
+
+
+@query("bootstrap_stability", "mean:f std:f cv:f stability:f")
+def bootstrap_stability(t: Tables):
+    return ensemble.bootstrap_stability(t.scored, "p_ma4", ["store", "product", "year", "week"], 20)
+
+
+# -- scoring and strategies -----------------------------------------------------------------------------------
+
+
+def _tree(t: Tables):
+    frame, features = learning(t)
+    return frame, models.fit_tree(frame, features, max_depth=5)
+
+
+@query("score", f"{KEY} prediction:f")
+def score(t: Tables):
+    frame, model = _tree(t)
+    return forecast.score(frame, model)
+
+
+@query("generate_forecast", "week:i store:s product:s quantity:i")
+def generate_forecast(t: Tables):
+    """Newest row of each series and week, scored by a tree, for the weeks of the horizon."""
+    frame, model = _tree(t)
+    rest = [c for c in frame.columns if c not in ("store", "product", "week")]
+    newest = frame.groupBy("week", "store", "product").agg(
+        F.max_by(F.struct(*rest), F.struct("year", "week_date")).alias("_r")
+    )
+    return forecast.generate_forecast(newest.select("week", "store", "product", "_r.*"), model, t.weekly_table)
+
+
+STRATEGY = f"strategy:s {KEY} quantity:f prediction:f"
+
+
+@query("fit_predict_strategy", STRATEGY)
+def fit_predict_strategy(t: Tables):
+    chosen = strategy.STRATEGIES[2]
+    frame = strategy.strategy_frame(t.weekly_table, [chosen])
+    return strategy.fit_predict_strategy(frame, chosen, trees=3, depth=3)
+
+
+@query("run_all_strategies", "strategy:s wmape:f mae:f rmse:f mape:f")
+def run_all_strategies(t: Tables):
+    return strategy.strategy_metrics(strategy.run_all_strategies(t.weekly_table, trees=2, depth=3))
+
+
+@query("strategy_postprocess", f"{KEY} prediction:f",
+       f"""WITH s AS (SELECT {KEY_SQL}, list_sum(list_transform(range(1, len(h) + 1), lambda i: h[i] * power(0.9, len(h) - i)))
+/ list_sum(list_transform(range(1, len(h) + 1), lambda i: power(0.9, len(h) - i))) AS p
+FROM (SELECT *, list(greatest(prediction, 0)) OVER (PARTITION BY store, product ORDER BY week_date, year, week
+ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM raw_forecast))
+SELECT {KEY_SQL}, least(p, 2.5 * (SELECT avg(p) FROM s)) AS prediction FROM s""")
+def strategy_postprocess(t: Tables):
+    return strategy.strategy_postprocess(t.raw_forecast, strategy.STRATEGIES[0], "prediction")
+
+
+# -- run metrics -----------------------------------------------------------------------------------------
+
+# run -> (strategy, prediction, day it was recorded)
+RUNS = {
+    "lag1": ("last_value", "p_lag1", "2024-01-01"),
+    "ma4": ("average", "p_ma4", "2024-01-02"),
+    "ma8": ("average", "p_ma8", "2024-01-03"),
+    "mean": ("average", "p_mean", "2024-01-04"),
+}
+
+
+def run_table(t: Tables) -> DataFrame:
+    """Run-metrics table of the naive forecasts, in the stored form."""
+    table = runs.run_metrics(t.scored, "quantity", {r: (s, p) for r, (s, p, _) in RUNS.items()})
+    day = F.create_map(*[F.lit(x) for r, (_, _, d) in RUNS.items() for x in (r, d)])
+    return table.withColumn("recorded_at", F.element_at(day, F.col("run")).cast("timestamp"))
+
+
+def _runs_sql(by: str = "") -> str:
+    keys, group = ("store, product", "GROUP BY store, product") if by else ("NULL AS store, NULL AS product", "")
+    wide = " UNION ALL ".join(
+        f"SELECT '{r}' AS run, '{s}' AS strategy, TIMESTAMP '{d}' AS recorded_at, {keys}, {metrics_sql(p)} FROM scored {group}"
+        for r, (s, p, d) in RUNS.items())
+    return f"({wide})"
+
+
+WIDE, WIDE_SERIES = _runs_sql(), _runs_sql("series")
+LONG_SERIES = f"(SELECT * FROM {WIDE_SERIES} UNPIVOT INCLUDE NULLS (value FOR metric IN (wmape, mae, rmse, mape)))"
+LONG = f"(SELECT * FROM {WIDE} UNPIVOT INCLUDE NULLS (value FOR metric IN (wmape, mae, rmse, mape)))"
+
+
+@query("record_metrics", "run:s strategy:s store:s product:s metric:s value:f",
+       f"""SELECT run, strategy, store, product, metric, value FROM {LONG_SERIES} UNION ALL
+SELECT run, strategy, store, product, metric, value FROM {LONG}""")
+def record_metrics(t: Tables):
+    path = scratch_path(t.spark, "runs")
+    runs.record_metrics(run_table(t).drop("recorded_at"), path)
+    return runs.read_runs(t.spark, path)
+
+
+@query("list_runs", "run:s strategy:s recorded_at:d",
+       f"SELECT run, strategy, recorded_at FROM {WIDE} WHERE strategy = 'average' ORDER BY recorded_at DESC")
+def list_runs(t: Tables):
+    return runs.list_runs(run_table(t), "average")
+
+
+@query("best_run", "strategy:s run:s value:f",
+       f"""SELECT strategy, run, wmape AS value FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY wmape, run) AS n
+FROM {WIDE}) WHERE n = 1""")
+def best_run(t: Tables):
+    return runs.best_run(run_table(t), by=["strategy"])
+
+
+@query("best_run_overall", "run:s strategy:s value:f",
+       f"SELECT run, strategy, mae AS value FROM {WIDE} ORDER BY mae, run LIMIT 1")
+def best_run_overall(t: Tables):
+    return runs.best_run(run_table(t), "mae")
+
+
+@query("best_run_per_series", "store:s product:s value:f",
+       f"SELECT store, product, min(wmape) AS value FROM {WIDE_SERIES} GROUP BY store, product")
+def best_run_per_series(t: Tables):
+    return runs.best_run(run_table(t), by=["store", "product"])
+
+
+@query("compare_runs", f"run:s strategy:s {METRICS}", f"SELECT run, strategy, wmape, mae, rmse, mape FROM {WIDE}")
+def compare_runs(t: Tables):
+    return runs.compare_runs(run_table(t))
+
+
+@query("metric_summary", "run:s series:i mean:f std:f min:f max:f median:f",
+       f"""SELECT run, count(wmape) AS series, avg(wmape) AS mean, stddev_samp(wmape) AS std, min(wmape) AS min,
+max(wmape) AS max, median(wmape) AS median FROM {WIDE_SERIES} GROUP BY run""")
+def metric_summary(t: Tables):
+    return runs.metric_summary(run_table(t), "wmape")
+
+
+FOLD_SQL = f"""(SELECT ceil(r / 4) AS fold, {metrics_sql('p_ma4')} FROM scored JOIN
+(SELECT ws, row_number() OVER (ORDER BY ws DESC) AS r FROM (SELECT DISTINCT date_trunc('week', week_date) AS ws FROM scored)) k
+ON date_trunc('week', week_date) = k.ws WHERE r <= {4 * N_SPLITS} GROUP BY 1)"""
+
+
+@query("cv_summary", "metric:s mean:f std:f", " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, avg({m}) AS mean, stddev_samp({m}) AS std FROM {FOLD_SQL}" for m in ("wmape", "mae", "rmse", "mape")))
+def cv_summary(t: Tables):
+    from weekcast.operators.evaluate import metrics
+    from weekcast.operators.folds import temporal_folds
+
+    folds = temporal_folds(t.scored).where("fold > 0")
+    return runs.cv_summary(metrics(folds, "quantity", "p_ma4", ["fold"]))
+
+
+@query("leaderboard", "run:s strategy:s value:f",
+       f"SELECT run, strategy, rmse AS value FROM {WIDE} ORDER BY rmse, run LIMIT 3")
+def leaderboard(t: Tables):
+    return runs.leaderboard(run_table(t), "rmse", 3)
+
+
+@query("top_k_runs", "strategy:s run:s value:f rank:i",
+       f"""SELECT strategy, run, wmape AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY strategy
+ORDER BY wmape, run) AS rank FROM {WIDE}) WHERE rank <= 2""")
+def top_k_runs(t: Tables):
+    return runs.top_k_runs(run_table(t))
+
+
+@query("pareto_front", f"run:s strategy:s {METRICS}",
+       f"""WITH r AS (SELECT run, strategy, wmape, mae, rmse, mape FROM {WIDE}) SELECT * FROM r a WHERE NOT EXISTS
+(SELECT 1 FROM r b WHERE b.wmape <= a.wmape AND b.rmse <= a.rmse AND (b.wmape < a.wmape OR b.rmse < a.rmse))""")
+def pareto_front(t: Tables):
+    return runs.pareto_front(runs.compare_runs(run_table(t)), "wmape", "rmse")
+
+
+@query("pareto_front_series", "store:s product:s run:s mae:f rmse:f",
+       f"""WITH r AS (SELECT store, product, run, round(mae, 9) AS mae, round(rmse, 9) AS rmse FROM {WIDE_SERIES})
+SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE a.store = b.store AND a.product = b.product
+AND b.mae <= a.mae AND b.rmse <= a.rmse AND (b.mae < a.mae OR b.rmse < a.rmse))""")
+def pareto_front_series(t: Tables):
+    table = runs.per_series(run_table(t)).groupBy("store", "product", "run").pivot("metric", ["mae", "rmse"])
+    wide = table.agg(F.round(F.first("value"), 9))
+    return runs.pareto_front(wide, "mae", "rmse", ["store", "product"])
+
+
+@query("export_runs_csv", f"run:s strategy:s {METRICS}", f"SELECT run, strategy, wmape, mae, rmse, mape FROM {WIDE}")
+def export_runs_csv(t: Tables):
+    path = scratch_path(t.spark, "runs-csv")
+    sinks.export_runs_csv(run_table(t), path)
+    schema = "run string, strategy string, wmape double, mae double, rmse double, mape double"
+    return t.spark.read.schema(schema).option("header", True).csv(path)
+
+
+# -- streaming -----------------------------------------------------------------------------------------------
+
+
+@query("stream_score", "week:i store:s product:s quantity:i")
+def streamed(t: Tables):
+    """The feature table scored as a stream of files, P95/P99 taken once from the whole table."""
+    frame, model = _tree(t)
+    source, target = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "scored")
+    frame.write.parquet(source)
+    limits = materialize(forecast.extreme_thresholds(models.predict(model, frame)), "limits")
+    run = stream_score(t.spark, source, frame.schema, model, target, thresholds=limits, files_per_batch=4)
+    run.awaitTermination()
+    return t.spark.read.parquet(target)
