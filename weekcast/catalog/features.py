@@ -247,12 +247,19 @@ CATEGORIES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
+def with_absent(df, columns: str):
+    """One-hot columns of values that the data does not hold, as 0."""
+    names = [c.split(":")[0] for c in columns.split()]
+    absent = [n for n in names if n not in df.columns and n.startswith(("category_", "store_", "region_"))]
+    return df.withColumns({n: F.lit(0) for n in absent}) if absent else df
+
+
 @query("category_onehot", f"{KEY} category:s " + "category_economy:i category_standard:i category_other:i",
        f"""SELECT {KEY_SQL}, category, CAST(category = 'ECONOMY' AS INTEGER) AS category_economy,
 CAST(category = 'STANDARD' AS INTEGER) AS category_standard, CAST(category NOT IN (SELECT category FROM panel
 GROUP BY category ORDER BY count(*) DESC, category LIMIT 10) AS INTEGER) AS category_other FROM panel""")
 def category_onehot(t: Tables):
-    return entity.category_onehot(t.panel_table)
+    return with_absent(entity.category_onehot(t.panel_table), "category_economy category_standard")
 
 
 ZIPS = " ".join(f"region_{d}:i" for d in range(1, 5))
@@ -267,7 +274,7 @@ substr(CAST(CAST(zipcode AS INTEGER) AS VARCHAR), 1, 1) AS zip_region, """ + ",
 
 @query("store_type_onehot", f"{KEY} {ONEHOT}", f"SELECT {KEY_SQL}, {ONEHOT_SQL} FROM panel")
 def store_type_onehot(t: Tables):
-    return entity.store_type_onehot(t.panel_table, t.stores)
+    return with_absent(entity.store_type_onehot(t.panel_table, t.stores), ONEHOT)
 
 
 ZIP_SQL = """
@@ -511,7 +518,7 @@ FROM (SELECT *, week_date AS d FROM {source}) t JOIN ({DISTANCE_SQL.format(d='we
 
 @query("temporal_features", f"{KEY} {TEMPORAL}", temporal_sql("weekly"))
 def temporal_features(t: Tables):
-    return features.temporal_features(t.weekly)
+    return features.temporal_features(t.weekly_table)
 
 
 PRODUCT_SET = ("category_economy:i category_other:i is_cheap:i is_mid_price:i is_expensive:i brand_num_products:i "
@@ -535,7 +542,7 @@ PRODUCT_FROM = f"""JOIN ({BRAND_SQL}) b ON p.brand = b.brand JOIN ({PRODUCT_TABL
 @query("product_features", f"{KEY} {PRODUCT_SET}",
        f"SELECT p.store, p.product, p.year, p.week, {PRODUCT_SELECT} FROM panel p {PRODUCT_FROM}")
 def product_features(t: Tables):
-    return entity.product_features(t.panel_table)
+    return with_absent(entity.product_features(t.panel_table), PRODUCT_SET)
 
 
 STORE_SET = (ONEHOT + " zip_density:i is_urban:i " + STATS.format(n="store") + " store_num_products:i store_weeks_span:f "
@@ -555,7 +562,7 @@ STORE_FROM = f"JOIN ({ZIP_SQL}) d ON zipcode = d.z JOIN ({STORE_TABLE}) y ON p.s
 @query("store_features", f"{KEY} {STORE_SET}",
        f"SELECT p.store, p.product, p.year, p.week, {STORE_SELECT} FROM panel p {STORE_FROM}")
 def store_features(t: Tables):
-    return entity.store_features(t.panel_table, stores=t.stores)
+    return with_absent(entity.store_features(t.panel_table, stores=t.stores), STORE_SET)
 
 
 SERIES_SET = (f"quantity_lag_1:f quantity_lag_2:f quantity_lag_4:f quantity_lag_8:f {RATIOS} {ROLLING} {CV} {ROLL_TREND} "
@@ -588,12 +595,12 @@ EVERYTHING = f"{KEY} quantity:f {TEMPORAL} {PRODUCT_SET} {STORE_SET} {SERIES_SET
 
 @query("all_features", EVERYTHING, ALL_SQL)
 def all_features(t: Tables):
-    return features.all_features(t.panel_table, stores=t.stores)
+    return with_absent(features.all_features(t.panel_table, stores=t.stores), EVERYTHING)
 
 
 @query("all_features_parallel", EVERYTHING, ALL_SQL)
 def all_features_parallel(t: Tables):
-    return features.all_features_parallel(t.panel_table, stores=t.stores)
+    return with_absent(features.all_features_parallel(t.panel_table, stores=t.stores), EVERYTHING)
 
 
 @query("simplified_features",

@@ -307,7 +307,7 @@ SELECT * REPLACE (coalesce(premise, 'Unknown') AS premise, coalesce(store_catego
 
 @query("fill_unmatched_dims", MASTER, FILLED_SQL)
 def fill_unmatched_dims(t: Tables):
-    return joins.merge_master_data(t.fine_weekly, _partial(t.products, "product"), _partial(t.stores, "store"))
+    return joins.merge_master_data(t.fine_weekly_table, _partial(t.products, "product"), _partial(t.stores, "store"))
 
 
 @query("join_stores", PANEL + " premise:s store_category:s zipcode:f",
@@ -316,7 +316,7 @@ LEFT JOIN ({PARTIAL_STORES}) s ON w.store = s.store)
 SELECT * REPLACE (coalesce(premise, 'Unknown') AS premise, coalesce(store_category, 'Unknown') AS store_category,
   coalesce(zipcode, (SELECT median(zipcode) FROM merged)) AS zipcode) FROM merged""")
 def join_stores(t: Tables):
-    return joins.join_stores(t.fine_weekly, _partial(t.stores, "store").withColumnRenamed("store", "pdv_id"))
+    return joins.join_stores(t.fine_weekly_table, _partial(t.stores, "store").withColumnRenamed("store", "pdv_id"))
 
 
 @query("join_products", PANEL + " category:s subcategory:f brand:s unit_price:f",
@@ -326,7 +326,7 @@ SELECT * REPLACE (coalesce(category, 'Unknown') AS category, coalesce(brand, 'Un
   coalesce(subcategory, (SELECT median(subcategory) FROM merged)) AS subcategory,
   coalesce(unit_price, (SELECT median(unit_price) FROM merged)) AS unit_price) FROM merged""")
 def join_products(t: Tables):
-    return joins.join_products(t.fine_weekly, _partial(t.products, "product").withColumnRenamed("product", "product_id"))
+    return joins.join_products(t.fine_weekly_table, _partial(t.products, "product").withColumnRenamed("product", "product_id"))
 
 
 @query("merge_master_data", MASTER, "SELECT * FROM panel")

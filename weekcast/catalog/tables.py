@@ -99,10 +99,15 @@ class Tables:
     def fine_weekly(self) -> DataFrame:
         return weekly_sales(self.fine)
 
+    @cached_property
+    def fine_weekly_table(self) -> DataFrame:
+        """``fine_weekly`` written once, clustered by series."""
+        return materialize(self.fine_weekly, "fine-weekly", ["store", "product"])
+
     @cached_property
     def panel(self) -> DataFrame:
         """Weekly FINE panel with store and product attributes."""
-        return merge_master_data(self.fine_weekly, self.products, self.stores)
+        return merge_master_data(self.fine_weekly_table, self.products, self.stores)
 
     @cached_property
     def panel_table(self) -> DataFrame:

@@ -21,6 +21,16 @@ def divide(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are present; NULL where one of them is constant.
+
+    The built-in ``corr`` fails on constants in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0 (also for NULL)."""
     return F.coalesce(condition.cast("int"), F.lit(0))
@@ -50,6 +60,11 @@ def text_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     ]
 
 
+def date_columns(df: DataFrame) -> list[str]:
+    kinds = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+
+
 def slug(text: str) -> str:
     """Lower-case name with blanks and dashes as underscores, usable in a column name."""
     return text.strip().lower().replace(" ", "_").replace("-", "_").replace(".", "_").replace("#", "_")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.functions.scalars import col, count_true, divide, is_digits, is_missing, parses_as_number
+from weekcast.functions.scalars import col, count_true, date_columns, divide, is_digits, is_missing, parses_as_number
 from weekcast.operators.profile import duplicate_count
 from weekcast.plans.scale import CALENDAR_ROWS, attach, quantile_row, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
@@ -129,10 +129,9 @@ def check_panel(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
             ("mean", "info", spec.target, F.avg(q)),
             ("total", "info", spec.target, F.sum(q)),
         ]
-    for name in df.columns:
-        if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType)):
-            day = F.unix_date(col(name).cast("date"))
-            found += [("first_day", "info", name, F.min(day)), ("last_day", "info", name, F.max(day))]
+    for name in date_columns(df):
+        day = F.unix_date(col(name).cast("date"))
+        found += [("first_day", "info", name, F.min(day)), ("last_day", "info", name, F.max(day))]
     return checks(df, found, [duplicates(df, "warning")])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.functions.scalars import col, numeric_columns, round_half_even
-from weekcast.plans.scale import CALENDAR_ROWS, attach, quantile_row, with_scalars
+from weekcast.plans.scale import CALENDAR_ROWS, attach, materialize, quantile_row, with_scalars
 from weekcast.spec import DEFAULT, SOURCE_NAMES, SeriesSpec
 
 
@@ -71,9 +71,9 @@ def impute_median_financials(
 
 def in_year(df: DataFrame, date: str, year: int) -> DataFrame:
     """Rows of one year as a half-open date range, which prunes parquet row groups."""
+    # Bounds of the column's own type: a cast of the column would hide it from the scan.
     kind = df.schema[date].dataType
-    target = "date" if isinstance(kind, T.DateType) else "timestamp"
-    low, high = (F.lit(f"{y}-01-01").cast(target) for y in (year, year + 1))
+    low, high = (F.lit(f"{y}-01-01").cast(kind) for y in (year, year + 1))
     return df.where((F.col(date) >= low) & (F.col(date) < high))
 
 
@@ -125,17 +125,20 @@ def clean_transactions(
     outliers: str | None = "iqr",
     keep_null_ids: bool = False,
 ) -> DataFrame:
-    """Raw transactions to clean ones: names, types, nulls, validity, duplicates, outliers."""
+    """Raw transactions to clean ones: names, types, nulls, validity, duplicates, outliers.
+
+    The deduplicated rows are written once before the outlier bounds are taken: the bounds need two
+    passes over one column, which must not repeat the parsing and the dedupe shuffle.
+    """
     df = standardize_columns(df)
     require(df, [spec.store, spec.product, spec.date, spec.target])
     df = drop_missing_critical(cast_types(df, spec, keep_null_ids), spec)
     df = impute_median_financials(df, spec)
     df = drop_duplicate_rows(filter_valid_rows(df, spec, year))
-    if outliers == "iqr":
-        return cap_outliers_iqr(df, spec)
-    if outliers == "percentile":
-        return cap_outliers_percentile(df, spec)
-    return df
+    if outliers is None:
+        return df
+    cap = {"iqr": cap_outliers_iqr, "percentile": cap_outliers_percentile}[outliers]
+    return cap(materialize(df, "clean"), spec)
 
 
 def fill_unmatched(

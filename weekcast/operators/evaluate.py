@@ -9,7 +9,7 @@ from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.scalars import absolute_error, count_true, divide, percent_error, residual
+from weekcast.functions.scalars import absolute_error, correlation, count_true, divide, percent_error, residual
 from weekcast.operators.clean import sales_band
 from weekcast.operators.series import series_window
 from weekcast.plans.scale import attach, quantile_row, quantiles, with_scalars
@@ -279,7 +279,7 @@ def residual_report(
         F.stddev_pop(r).alias("std"),
         count_true(r > 0).alias("under_forecast"),
         count_true(r < 0).alias("over_forecast"),
-        F.corr("residual", "_previous").alias("autocorrelation"),
+        correlation(r, F.col("_previous")).alias("autocorrelation"),
         divide(F.sum(r) * 100.0, F.sum(F.abs(F.col(actual)))).alias("bias_pct"),
     )
     quarts = quantiles(wide, "residual", [0.25, 0.75], by, names=["q1", "q3"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import flag, numeric_columns
 from weekcast.operators.clean import fill_unmatched, require, standardize_key
-from weekcast.plans.scale import attach, quantile_row, value_ranks
+from weekcast.plans.scale import attach, materialize, quantile_row, value_ranks
 from weekcast.spec import (
     DEFAULT,
     PRODUCT_ATTRIBUTES,
@@ -31,8 +31,9 @@ def _join_dimension(
     numeric = [c for c in filled if c in numeric_columns(dim)]
     medians = None
     if numeric:
-        # The median over the joined rows is a median over the dimension weighted by rows per key.
-        rows = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        # The median over the joined rows is a median over the dimension weighted by rows per key:
+        # one pass over the key column, kept because the quantile reads it twice.
+        rows = materialize(fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "rows")
         weighted = attach(rows, dim.select(key, *numeric), [key], "inner", rows=dim)
         medians = quantile_row(weighted, numeric, [0.5], "_median_{column}", weight="_rows")
     return fill_unmatched(attach(fact, dim, [key]), filled, medians=medians)

@@ -180,6 +180,16 @@ def load_model(path: str) -> PipelineModel:
 # -- M6 ------------------------------------------------------------------------------------------
 
 
+def _solve(gram: pd.Series, moments: pd.Series, shrink: float) -> pd.Series:
+    """Ridge coefficients of a batch of small systems given as flattened sums."""
+    size = len(moments.iloc[0]) if len(moments) else 1
+    a = np.array(gram.tolist(), dtype=float).reshape(-1, size, size)
+    penalty = np.eye(size) * shrink
+    penalty[0, 0] = 1e-9
+    solved = np.linalg.solve(a + penalty, np.array(moments.tolist(), dtype=float)[..., None])
+    return pd.Series(list(solved[..., 0]))
+
+
 def fit_seasonal_trend(
     frame: DataFrame,
     train: str,
@@ -190,46 +200,48 @@ def fit_seasonal_trend(
     shrink: float = 1.0,
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Linear trend plus yearly waves plus up to five regressors, one small least squares per series.
+    """Linear trend plus yearly waves plus up to five regressors, one ridge regression per series.
 
-    ``train`` names the boolean column of the rows to fit on; every row is predicted. Spark groups
-    the panel by series (at most one row a week each), NumPy solves inside the tasks.
+    ``train`` names the boolean column of the rows to fit on; every row is predicted. The normal
+    equations are sums, so Spark aggregates them per series (combined on the map side); a vectorised
+    UDF solves batches of the resulting small systems; the coefficients are joined back by series.
     """
     regressors = list(regressors)[:5]
-    keys, target, date = spec.series, spec.target, spec.week_date
-    needed = [*spec.panel_key, date, target, train, *regressors]
-    schema = frame.select(*spec.panel_key, date, F.col(target).cast("double").alias(target), train).schema.add(
-        prediction, "double"
+    day, q = F.col(spec.week_date), F.col(spec.target).cast("double")
+    y = F.log1p(F.greatest(q, F.lit(0.0))) if mode == "multiplicative" else q
+    angle = F.lit(TAU) * F.dayofyear(day) / 365.25
+    terms = [F.lit(1.0), F.datediff(day, F.lit("2000-01-01").cast("date")) / 365.25]
+    for k in range(1, harmonics + 1):
+        terms += [F.sin(angle * k), F.cos(angle * k)]
+    terms += [F.coalesce(F.col(r).cast("double"), F.lit(0.0)) for r in regressors]
+    size = len(terms)
+    names = [f"_x{i}" for i in range(size)]
+
+    wide = frame.withColumns({**dict(zip(names, terms)), "_y": y})
+    known = wide.where(F.coalesce(F.col(train), F.lit(False)) & F.col("_y").isNotNull())
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = known.groupBy(*spec.series).agg(
+        F.avg("_y").alias("_level"),
+        *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_g{i}_{j}") for i, j in cells],
+        *[F.sum(F.col(n) * F.col("_y")).alias(f"_m{i}") for i, n in enumerate(names)],
+    )
+    gram = F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)])
+    # Moments of y - level: sum(x y) - level * sum(x), and sum(x) is the first row of the Gram matrix.
+    moments = F.array(*[F.col(f"_m{i}") - F.col("_level") * F.col(f"_g0_{i}") for i in range(size)])
+
+    @F.pandas_udf("array<double>")
+    def solve(gram: pd.Series, moments: pd.Series) -> pd.Series:
+        return _solve(gram, moments, shrink)
+
+    weights = sums.select(*spec.series, "_level", solve(gram, moments).alias("_w"))
+    fitted = F.col("_level")
+    for i, name in enumerate(names):
+        fitted = fitted + F.col(name) * F.get(F.col("_w"), F.lit(i))
+    value = F.expm1(fitted) if mode == "multiplicative" else fitted
+    # A series has at most one row a week, so a join on the series key is not skewed.
+    return wide.join(weights, spec.series, "left").select(
+        *[c for c in frame.columns], F.greatest(value, F.when(value.isNotNull(), F.lit(0.0))).alias(prediction)
     )
-    multiplicative = mode == "multiplicative"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        day = pd.to_datetime(pdf[date])
-        years = ((day - day.iloc[0]).dt.days / 365.25).to_numpy(dtype=float)
-        angle = TAU * (day.dt.dayofyear / 365.25).to_numpy(dtype=float)
-        parts = [np.ones(len(pdf)), years]
-        for k in range(1, harmonics + 1):
-            parts += [np.sin(k * angle), np.cos(k * angle)]
-        parts += [pdf[r].fillna(0).to_numpy(dtype=float) for r in regressors]
-        x = np.column_stack(parts)
-        y = pdf[target].to_numpy(dtype=float)
-        y = np.log1p(np.maximum(y, 0)) if multiplicative else y
-        known = pdf[train].fillna(False).to_numpy(dtype=bool) & np.isfinite(y)
-        out = pdf[[*schema.names[:-1]]].copy()
-        if known.any():
-            level = y[known].mean()
-            penalty = np.eye(x.shape[1]) * shrink
-            penalty[0, 0] = 1e-9
-            weights = np.linalg.solve(x[known].T @ x[known] + penalty, x[known].T @ (y[known] - level))
-            fitted = level + x @ weights
-            out[prediction] = np.maximum(np.expm1(fitted) if multiplicative else fitted, 0.0)
-        else:
-            out[prediction] = np.nan
-        out[target] = out[target].astype(float)
-        return out
-
-    return frame.select(*needed).groupBy(*keys).applyInPandas(solve, schema)
 
 
 # -- V3 ------------------------------------------------------------------------------------------

@@ -7,9 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weekcast.functions.scalars import col, count_true, divide, is_missing, numeric_columns, slug, text_columns
+from weekcast.functions.scalars import col, count_true, date_columns, divide, is_missing, numeric_columns, slug, text_columns
 from weekcast.operators.clean import in_year
 from weekcast.plans.scale import attach, column_quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
@@ -113,13 +112,12 @@ def data_quality_profile(df: DataFrame) -> DataFrame:
     missing = [F.col(f"_m{i}") for i in range(len(df.columns))]
     total = reduce(lambda a, b: a + b, missing)
     affected = reduce(lambda a, b: a + b, [(m > 0).cast("long") for m in missing])
-    dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType))]
     entries = [
         ({"check": "total_records"}, rows),
         ({"check": "total_columns"}, F.lit(len(df.columns))),
         ({"check": "numeric_columns"}, F.lit(len(numeric_columns(df)))),
         ({"check": "categorical_columns"}, F.lit(len(text_columns(df)))),
-        ({"check": "datetime_columns"}, F.lit(len(dates))),
+        ({"check": "datetime_columns"}, F.lit(len(date_columns(df)))),
         ({"check": "total_missing"}, total),
         ({"check": "columns_with_missing"}, affected),
     ]

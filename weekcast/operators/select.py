@@ -12,7 +12,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.scalars import col, divide, numeric_columns
+from weekcast.functions.scalars import col, correlation, divide, numeric_columns
 from weekcast.plans.scale import attach, materialize, unpivot_numeric, value_ranks, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
@@ -39,12 +39,12 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tup
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        row = src.agg(*[F.corr(col(a), col(b)).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
+        row = src.agg(*[correlation(col(a), col(b)).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
         structs = [
             F.struct(
                 F.lit(a).alias("feature_1"),
                 F.lit(b).alias("feature_2"),
-                F.when(~F.isnan(f"_{i}"), F.col(f"_{i}")).alias("correlation"),
+                F.col(f"_{i}").alias("correlation"),
             )
             for i, (a, b) in enumerate(chunk)
         ]

@@ -108,6 +108,8 @@ def salted_join(
     The salt depends on the row and on its input partition, so neither a hot key nor a large group
     of equal rows ends in one task. ``side`` is repeated once per salt.
     """
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type for a salted join: {how}")
     row = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns])
     left = fact.withColumn("_salt", F.pmod(row + F.spark_partition_id(), F.lit(salts)).cast("int"))
     right = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -153,7 +153,7 @@ def fit_predict_strategy(
         if model.kind == "seasonal_trend":
             fitted = fit_seasonal_trend(marked, "is_train", spec, mode=model.params["mode"], prediction=name)
             out = out.join(fitted.where("NOT is_train").select(*spec.panel_key, name), spec.panel_key, "left")
-            out = out.withColumn(name, F.coalesce(F.when(~F.isnan(name), F.col(name)), F.lit(0.0)))
+            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
         else:
             out = predict(fit(train, features, limited(model, trees, depth), spec.target, name), out, name)
         names.append(name)
