@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
+from weekcast.catalog.registry import REGISTRY, tidy
+from weekcast.catalog.tables import Tables
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -17,17 +19,22 @@ def con(folder):
     connection.close()
 
 
+@pytest.fixture(scope="module")
+def run(spark, folder):
+    """Builds queries over one ``Tables``, so stored panels are written once for the whole module."""
+    tables = Tables(spark, folder)
+    return lambda name: tidy(REGISTRY[name].build(tables), REGISTRY[name].columns)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_matches_sql(spark, folder, con, name):
-    problem = compare(QUERIES[name](spark, folder), con, ORACLES[name])
+def test_matches_sql(run, con, name):
+    problem = compare(run(name), con, ORACLES[name])
     assert problem is None, problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_yields_rows(spark, folder, name):
-    from weekcast.catalog.registry import REGISTRY
-
-    frame = QUERIES[name](spark, folder)
+def test_yields_rows(run, name):
+    frame = run(name)
     assert frame.columns == [c for c, _ in REGISTRY[name].columns]
     assert frame.count() > 0
 

@@ -164,9 +164,12 @@ FOLDS = 2
 MODEL_COLUMNS = f"{KEY} quantity:f prediction:f"
 
 
-def learning(t: Tables, folds: int = FOLDS) -> tuple[DataFrame, list[str]]:
-    """Leak-safe feature table with fold ids, and its feature names."""
-    frame = models.folded(models.model_frame(t.weekly_table, lags=(1, 2, 4), windows=(4, 8)), n_splits=folds)
+def learning(t: Tables) -> tuple[DataFrame, list[str]]:
+    """Leak-safe feature table with fold ids, written once, and its feature names."""
+    if "learning" not in t.stored:
+        frame = models.model_frame(t.weekly_table, lags=(1, 2, 4), windows=(4, 8))
+        t.stored["learning"] = models.folded(frame, n_splits=FOLDS)
+    frame = t.stored["learning"]
     return frame, models.model_features(frame)
 
 

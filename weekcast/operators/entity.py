@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import col, divide, flag, slug, zip_region
 from weekcast.operators.joins import rank_entities, top_values
-from weekcast.plans.scale import attach, quantile_row, quantiles, with_scalars
+from weekcast.plans.scale import JOIN_SALTS, attach, quantile_row, quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 TOP_CATEGORIES = 10
@@ -176,16 +176,15 @@ def target_encoding(df: DataFrame, spec: SeriesSpec = DEFAULT, leak_safe: bool =
     }
     out = df
     for name, keys in groups.items():
+        salts = 1 if keys == spec.series else JOIN_SALTS
         if leak_safe:
-            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], rows=df)
+            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], rows=df, salts=salts)
         else:
-            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, rows=df)
+            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, rows=df, salts=salts)
     return out
 
 
 def _past_mean(df: DataFrame, keys: Sequence[str], name: str, spec: SeriesSpec) -> DataFrame:
-    from pyspark.sql import Window
-
     weekly = df.groupBy(*keys, spec.week_date).agg(F.sum(spec.target).alias("_s"), F.count(spec.target).alias("_c"))
     past = Window.partitionBy(*keys).orderBy(spec.week_date).rowsBetween(Window.unboundedPreceding, -1)
     return weekly.select(

@@ -109,8 +109,11 @@ def history_stats(history: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
 
 
 def join_history_bounds(forecast: DataFrame, history: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
-    """Historical mean and maximum of each series beside its forecasts."""
-    return attach(forecast, history_stats(history, spec), spec.series, rows=history)
+    """Historical mean and maximum of each series beside its forecasts.
+
+    A series has at most one forecast a week, so a shuffled join on the series needs no salt.
+    """
+    return attach(forecast, history_stats(history, spec), spec.series, rows=history, salts=1)
 
 
 def align_actual_predicted(actual: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:

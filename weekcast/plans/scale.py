@@ -129,6 +129,7 @@ def attach(
 
     Broadcast when the bound of the side (see ``size_bound``) is under ``limit``. Otherwise the side
     is written out once to learn its real size, and then broadcast or joined with salted keys.
+    ``salts=1`` asks for a plain shuffled join, right where the fact holds few rows per key.
     """
     on = list(on)
     limit = BROADCAST_LIMIT if limit is None else limit
@@ -137,7 +138,7 @@ def attach(
     side = materialize(side, "side")
     if fits(side, limit):
         return fact.join(F.broadcast(side), on, how)
-    return salted_join(fact, side, on, how, salts)
+    return salted_join(fact, side, on, how, salts) if salts > 1 else fact.join(side, on, how)
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
