@@ -86,6 +86,14 @@ def test_queries_without_any_broadcast(spark, folder, name, monkeypatch):
     assert problem is None, problem
 
 
+def test_scratch_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scale, "checkpoint_folder", lambda _: str(tmp_path))
+    assert scale.materialize(spark.range(3)).count() == 3
+    assert list(tmp_path.rglob("*.parquet"))
+    scale.clear_scratch(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_large_side_is_not_broadcast(spark, folder):
     fact = Tables(spark, folder).fine
     side = fact.groupBy("product").agg(F.avg("quantity").alias("m"))

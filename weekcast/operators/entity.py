@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.scalars import col, divide, flag, slug, zip_region
+from weekcast.functions.scalars import divide, flag, slug, zip_region
 from weekcast.operators.joins import rank_entities, top_values
 from weekcast.plans.scale import JOIN_SALTS, attach, quantile_row, quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec

@@ -27,16 +27,22 @@ def _join_dimension(
     clashes = {c: f"{c}_{suffix}" for c in dim.columns if c != key and c in fact.columns}
     dim = dim.withColumnsRenamed(clashes)
     fact = fact.withColumn(key, F.col(key).cast("string"))
-    filled = [clashes.get(a, a) for a in attributes]
+    filled = [clashes.get(a, a) for a in attributes if clashes.get(a, a) in dim.columns]
     numeric = [c for c in filled if c in numeric_columns(dim)]
-    medians = None
-    if numeric:
-        # The median over the joined rows is a median over the dimension weighted by rows per key:
-        # one pass over the key column, kept because the quantile reads it twice.
-        rows = materialize(fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "rows")
-        weighted = attach(rows, dim.select(key, *numeric), [key], "inner", rows=dim)
-        medians = quantile_row(weighted, numeric, [0.5], "_median_{column}", weight="_rows")
-    return fill_unmatched(attach(fact, dim, [key]), filled, medians=medians)
+    joined = fill_unmatched(attach(fact, dim, [key]), [c for c in filled if c not in numeric])
+    if not numeric:
+        return joined
+    # The median over the joined rows is a median over the dimension weighted by rows per key: one
+    # pass over the key column, kept because it is read several times.
+    rows = materialize(fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "rows")
+    weighted = attach(rows, dim.select(key, *numeric), [key], rows=dim)
+    holes = weighted.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).head()
+    open_columns = [c for c in numeric if holes[c]]
+    joined = joined.withColumns({c: F.col(c).cast("double") for c in numeric})
+    if not open_columns:
+        return joined
+    medians = quantile_row(weighted, open_columns, [0.5], "_median_{column}", weight="_rows")
+    return fill_unmatched(joined, open_columns, medians=medians)
 
 
 def join_stores(fact: DataFrame, stores: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:

@@ -37,8 +37,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/weekcast/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/weekcast/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables once their results are written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame, label: str = "table", cluster_by: Sequence[str] = ()) -> DataFrame:

@@ -32,12 +32,17 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Da
     return files.option("pathGlobFilter", pattern).load(path).select("path", "length")
 
 
+def _uri(path: str) -> str:
+    """Local paths come as ``file:/x``; Arrow wants ``file:///x``."""
+    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
         for path in batch["path"]:
             try:
-                filesystem, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                filesystem, name = fs.FileSystem.from_uri(_uri(path))
                 with filesystem.open_input_file(name) as handle:
                     found.append(",".join(sorted(pq.ParquetFile(handle).schema_arrow.names)))
             except (OSError, ValueError):
