@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -25,6 +29,23 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut batches into pieces of bounded text volume and decode the text column of each."""
     for batch in batches:
@@ -44,6 +65,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tupl
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` for a function from a batch to a list of columns in the order of ``schema``."""
+    ship_package(df.sparkSession)
     names = [part.split()[0] for part in schema.split(",")]
 
     def apply(batches):

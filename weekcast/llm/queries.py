@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcast.llm import bpe, chat
+from weekcast.llm import bpe, chat, quality, toxicity
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model of the labels that are not held out."""
+    return quality.classify_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document."""
     return bpe.token_digests(load(spark, sf_dir, "documents"), vocabulary_path())
@@ -32,9 +37,16 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(more)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the categories of the chain for every document."""
+    return toxicity.classify_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
