@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekcast.llm import bpe, chat, quality, toxicity
+from weekcast.llm import bpe, chat, linededup, mixing, quality, toxicity
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +27,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(load(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled so that their tokens meet the target shares of source, language and topic."""
+    mixed = mixing.mix_documents(load(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "topic", "tokens", F.round("factor", 9).alias("factor"), F.round("probability", 9).alias("probability")
+    )
+
+
 # A conversation whose texts are control strings of the template.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
@@ -42,11 +51,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later occurrences of passages of three lines."""
+    return linededup.dedup_lines(load(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
+    "op8_lines": op8_lines,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": mixing.sql(),
+    "op8_lines": linededup.sql(),
+}
