@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import bpe, chat, linededup, mixing, quality, toxicity
+from weekcast.llm import bpe, chat, linededup, mixing, quality, secrets, toxicity
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,6 +56,11 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(load(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets, and of weak candidates near complementary parts, of every document."""
+    return secrets.span_digests(secrets.scan_secrets(load(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
@@ -63,9 +68,11 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op8_lines": op8_lines,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.sql(),
     "op8_lines": linededup.sql(),
+    "op9_secrets": secrets.sql(),
 }
