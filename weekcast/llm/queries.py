@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import bpe, chat, linededup, mixing, quality, secrets, toxicity
+from weekcast.llm import bpe, chat, credentials, linededup, mixing, quality, simhash, toxicity
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later occurrences of passages of three lines."""
     return linededup.dedup_lines(load(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
@@ -58,7 +64,7 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets, and of weak candidates near complementary parts, of every document."""
-    return secrets.span_digests(secrets.scan_secrets(load(spark, sf_dir, "documents")))
+    return credentials.span_digests(credentials.scan_secrets(load(spark, sf_dir, "documents")))
 
 
 QUERIES = {
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
     "op8_lines": op8_lines,
     "op9_secrets": op9_secrets,
 }
@@ -74,5 +81,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_mixing": mixing.sql(),
     "op8_lines": linededup.sql(),
-    "op9_secrets": secrets.sql(),
+    "op9_secrets": credentials.sql(),
 }
