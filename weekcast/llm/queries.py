@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import bpe, chat, credentials, linededup, mixing, quality, simhash, toxicity
+from weekcast.llm import bpe, chat, credentials, knn, linededup, mixing, quality, simhash, toxicity, vecdedup
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector among all others."""
+    return knn.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % knn.EVERY == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a model of the labels that are not held out."""
     return quality.classify_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -67,7 +72,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.span_digests(credentials.scan_secrets(load(spark, sf_dir, "documents")))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among the near-duplicates of its label."""
+    return vecdedup.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
@@ -76,10 +87,13 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_lines": op8_lines,
     "op9_secrets": op9_secrets,
+    "op10_vectors": op10_vectors,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk": knn.sql(),
     "op4_mixing": mixing.sql(),
     "op8_lines": linededup.sql(),
     "op9_secrets": credentials.sql(),
+    "op10_vectors": vecdedup.sql(),
 }
