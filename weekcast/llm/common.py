@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weekcast.plans.scale import materialize
 
@@ -63,10 +64,11 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tupl
         yield batch.slice(offset), texts.slice(offset).to_pylist()
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for a function from a batch to a list of columns in the order of ``schema``."""
     ship_package(df.sparkSession)
-    names = [part.split()[0] for part in schema.split(",")]
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.fieldNames()
 
     def apply(batches):
         for batch in function(batches):

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weekcast.llm.common import arrow_map, text_blocks, text_or_empty
 from weekcast.llm.features import FeatureSpace, Ftrl, sigmoid, word_shape
@@ -41,26 +42,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``score`` of every whole text."""
+    """(c0, c1, ..., score): the columns ``keep`` of ``docs`` by number, and the score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB, set by the number of buckets
-    schema = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], text_or_empty().alias("text"))
+    schema = StructType([*kept.schema.fields[:-1], StructField("score", DoubleType())])
 
     def run(batches):
         caches = SPACE.caches()
-        for batch, texts in text_blocks(batches, "_text"):
+        for batch, texts in text_blocks(batches, "text"):
             w = shared.value
             score = sigmoid(SPACE.dot(texts, caches, [w[:-1]])[0] + float(w[-1]))
             yield [*(batch.column(i) for i in range(len(keep))), pa.array(score, pa.float64())]
 
-    return arrow_map(docs.select(*keep, text_or_empty().alias("_text")), run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     scored = score_texts(docs, fit_quality(docs, labels), ["doc_id"])
     return scored.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("c0").alias("doc_id"),
+        held_out(F.col("c0")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
@@ -68,5 +70,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    kept = score_texts(docs, fit_quality(docs, labels), docs.columns)
-    return kept.where(F.col("score") >= threshold).drop("score")
+    kept = score_texts(docs, fit_quality(docs, labels), docs.columns).where(F.col("score") >= threshold)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
