@@ -69,8 +69,9 @@ def test_cases(spark):
     assert "weak_id" in found[6].spans and "weak_id" not in found[7].spans and found[10].spans == ""
 
 
-def test_real_documents(spark, folder):
-    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+def test_real_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     found = check(spark, rows)
     assert any(r.spans for r in found.values())
 
