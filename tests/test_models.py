@@ -232,7 +232,7 @@ def test_streamed_scores_equal_batch_scores(spark, panel, tmp_path):
 def test_saved_models_score_the_same(spark, panel, tmp_path):
     frame = models.folded(models.model_frame(panel, lags=(1,), windows=(4,)), n_splits=2)
     specs = {"tree": models.ModelSpec("tree", {"max_depth": 2}), "linear": models.ModelSpec("linear", {"alpha": 1.0})}
-    stacked, oof = ensemble.fit_stacking(frame, models.model_features(frame), specs, n_splits=2)
+    stacked, oof = ensemble.fit_stacking(frame, models.model_features(frame), specs)
     assert oof.count() == 16 and {"tree", "linear"} <= set(oof.columns)
     stacked.save(str(tmp_path / "m"))
     again = ensemble.StackedModel.load(str(tmp_path / "m"), list(specs))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcast.catalog.features import FOLD_WEEKS
 from weekcast.catalog.registry import query
 from weekcast.catalog.reports import COMPARED, KEY, KEY_SQL, METRICS, PREDICTIONS, metrics_sql
 from weekcast.catalog.tables import SERIES, Tables
@@ -157,10 +158,7 @@ def select_features(t: Tables):
 
 
 # -- models ------------------------------------------------------------------------------------------
-# Tree counts are small so that a query is one quick fit; the parameters are the caller's.
-
-SMALL = {"n_estimators": 5, "max_depth": 4}
-FOLDS = 2
+# Trees have the engine's default sizes.
 MODEL_COLUMNS = f"{KEY} quantity:f prediction:f"
 
 
@@ -168,7 +166,7 @@ def learning(t: Tables) -> tuple[DataFrame, list[str]]:
     """Leak-safe feature table with fold ids, written once, and its feature names."""
     if "learning" not in t.stored:
         frame = models.model_frame(t.weekly_table, lags=(1, 2, 4), windows=(4, 8))
-        t.stored["learning"] = models.folded(frame, n_splits=FOLDS)
+        t.stored["learning"] = models.folded(frame)
     frame = t.stored["learning"]
     return frame, models.model_features(frame)
 
@@ -183,18 +181,18 @@ def _holdout(t: Tables, kind: str, **params):
 def fit_gbt(t: Tables):
     frame, features = learning(t)
     marked = models.mark_validation(frame.where("week_rank > 4").withColumn("week_rank", F.col("week_rank") - 4))
-    model = models.fit_gbt(marked, features, validation="is_validation", **SMALL)
+    model = models.fit_gbt(marked, features, validation="is_validation")
     return models.predict(model, frame.where("week_rank <= 4"))
 
 
 @query("fit_gbt_alt", MODEL_COLUMNS)
 def fit_gbt_alt(t: Tables):
-    return _holdout(t, "gbt_alt", **SMALL)
+    return _holdout(t, "gbt_alt")
 
 
 @query("fit_forest", MODEL_COLUMNS)
 def fit_forest(t: Tables):
-    return _holdout(t, "forest", **SMALL)
+    return _holdout(t, "forest")
 
 
 @query("fit_tree", MODEL_COLUMNS)
@@ -225,7 +223,7 @@ def fit_seasonal_trend(t: Tables):
 @query("importances", "feature:s importance:f")
 def importances(t: Tables):
     frame, features = learning(t)
-    return models.importances(models.fit_forest(frame, features, **SMALL), frame)
+    return models.importances(models.fit_forest(frame, features), frame)
 
 
 @query("save_load_model", MODEL_COLUMNS)
@@ -239,18 +237,79 @@ def save_load_model(t: Tables):
 @query("cross_validate_temporal", f"fold:i rows:i {METRICS}")
 def cross_validate_temporal(t: Tables):
     frame, features = learning(t)
-    return models.cross_validate_temporal(frame, features, models.ModelSpec("tree", {"max_depth": 4}), n_splits=FOLDS)
+    return models.cross_validate_temporal(frame, features, models.ModelSpec("tree", {"max_depth": 4}))
 
 
 @query("tune", "trial:i n_estimators:f max_depth:f learning_rate:f wmape:f")
 def tune(t: Tables):
     frame, features = learning(t)
     space = {"n_estimators": (2, 6), "max_depth": (2, 4), "learning_rate": (0.05, 0.3)}
-    return models.tune(frame, features, space=space, trials=2, n_splits=1)
+    return models.tune(frame, features, space=space, trials=2)
+
+
+# One regressor has a closed form in every fold. Ridge of MLlib: penalty n * reg_param / std(target).
+TRIALS = models.sample_parameters({"reg_param": (0.0, 50.0)}, 4)
+FOLDED = f"""(SELECT s.*, CASE WHEN ceil(r / 4) <= 5 THEN 6 - ceil(r / 4) ELSE 0 END AS fold
+FROM scored s JOIN {FOLD_WEEKS.replace("weekly", "scored")} ON date_trunc('week', s.week_date) = k.ws)"""
+RIDGE = f"""SELECT p.trial, p.reg_param, f.fold,
+  covar_pop(p_ma4, quantity) / (var_pop(p_ma4) + p.reg_param / stddev_pop(quantity)) AS b, avg(p_ma4) AS x, avg(quantity) AS y
+FROM {FOLDED} t, (SELECT unnest(range(1, 6)) AS fold) f, (VALUES {", ".join(f"({i}, {p['reg_param']})" for i, p in enumerate(TRIALS))})
+p(trial, reg_param) WHERE t.fold < f.fold GROUP BY p.trial, p.reg_param, f.fold"""
+
+
+def folded_scored(t: Tables) -> DataFrame:
+    return models.folded(t.scored.select("store", "product", "year", "week", "week_date", "quantity", "p_ma4"))
+
+
+@query("tune_linear", "trial:i reg_param:f wmape:f",
+       f"""SELECT trial, reg_param, 100.0 * sum(abs(quantity - (y + b * (p_ma4 - x)))) / sum(abs(quantity)) AS wmape
+FROM ({RIDGE}) JOIN {FOLDED} t USING (fold) GROUP BY trial, reg_param""")
+def tune_linear(t: Tables):
+    return models.tune(folded_scored(t), ["p_ma4"], "linear", {"reg_param": (0.0, 50.0)}, 4)
+
+
+PLAIN = f"""SELECT f.fold, regr_intercept(quantity, p_ma4) AS a, regr_slope(quantity, p_ma4) AS b
+FROM {FOLDED} t, (SELECT unnest(range(1, 6)) AS fold) f WHERE t.fold < f.fold GROUP BY f.fold"""
+OUT_OF_FOLD = f"(SELECT t.*, a + b * p_ma4 AS prediction FROM {FOLDED} t JOIN ({PLAIN}) USING (fold))"
+
+
+@query("cross_validate_linear", f"fold:i rows:i {METRICS}",
+       f"SELECT fold, rows, {', '.join(('wmape', 'mae', 'rmse', 'mape'))} FROM (SELECT fold, count(*) AS rows, {metrics_sql('prediction')} "
+       f"FROM {OUT_OF_FOLD} GROUP BY fold) AS m(fold, rows, wmape, mae, rmse, mape)")
+def cross_validate_linear(t: Tables):
+    return models.cross_validate_temporal(folded_scored(t), ["p_ma4"], models.ModelSpec("linear"))
+
+
+@query("oof_linear", f"{KEY} fold:i quantity:f linear:f",
+       f"SELECT {KEY_SQL}, fold, quantity, prediction AS linear FROM {OUT_OF_FOLD}")
+def oof_linear(t: Tables):
+    return models.oof_predictions(folded_scored(t), ["p_ma4"], {"linear": models.ModelSpec("linear")})
+
+
+@query("stacking_linear", f"{KEY} quantity:f prediction:f",
+       f"""WITH m AS (SELECT regr_intercept(quantity, prediction) AS a, regr_slope(quantity, prediction) AS b FROM {OUT_OF_FOLD}),
+w AS (SELECT regr_intercept(quantity, p_ma4) AS a, regr_slope(quantity, p_ma4) AS b FROM scored)
+SELECT {KEY_SQL}, quantity, (SELECT a FROM m) + (SELECT b FROM m) * ((SELECT a FROM w) + (SELECT b FROM w) * p_ma4) AS prediction
+FROM scored""")
+def stacking_linear(t: Tables):
+    frame = folded_scored(t)
+    model, _ = ensemble.fit_stacking(frame, ["p_ma4"], {"base": models.ModelSpec("linear")}, models.ModelSpec("linear"))
+    return model.transform(frame)
+
+
+@query("stacking_passthrough", f"{KEY} quantity:f prediction:f")
+def stacking_passthrough(t: Tables):
+    """A forest over the base predictions and the features."""
+    frame, features = learning(t)
+    model, _ = ensemble.fit_stacking(
+        frame, features, {"tree": BASE_MODELS["tree"], "linear": BASE_MODELS["linear"]},
+        models.ModelSpec("forest"), passthrough=True,
+    )
+    return model.transform(frame)
 
 
 BASE_MODELS = {
-    "forest": models.ModelSpec("forest", {"n_estimators": 4, "max_depth": 4}),
+    "forest": models.ModelSpec("forest"),
     "tree": models.ModelSpec("tree", {"max_depth": 4}),
     "linear": models.ModelSpec("linear", {"alpha": 1.0}),
 }
@@ -259,13 +318,13 @@ BASE_MODELS = {
 @query("oof_predictions", f"{KEY} fold:i quantity:f forest:f tree:f linear:f")
 def oof_predictions(t: Tables):
     frame, features = learning(t)
-    return models.oof_predictions(frame, features, BASE_MODELS, n_splits=FOLDS)
+    return models.oof_predictions(frame, features, BASE_MODELS)
 
 
 @query("stacking", f"{KEY} quantity:f prediction:f")
 def stacking(t: Tables):
     frame, features = learning(t)
-    model, _ = ensemble.fit_stacking(frame, features, BASE_MODELS, n_splits=FOLDS)
+    model, _ = ensemble.fit_stacking(frame, features, BASE_MODELS)
     return model.transform(frame)
 
 
@@ -342,9 +401,17 @@ def stack_vs_simple(t: Tables):
     return ensemble.stack_vs_simple(t.scored, "quantity", "p_mean", ["p_lag1", "p_ma4"])
 
 
-@query("bootstrap_stability", "mean:f std:f cv:f stability:f")
+_DRAW = "CASE " + " ".join(f"WHEN u < {c} THEN {k}" for k, c in enumerate(ensemble.POISSON_CUMULATIVE)) + (
+    f" ELSE {len(ensemble.POISSON_CUMULATIVE)} END")
+
+
+@query("bootstrap_stability", "mean:f std:f cv:f stability:f",
+       f"""WITH d AS (SELECT b, p_ma4, CAST('0x' || substr(md5(concat_ws('|', store, product, year, week) || '|' || b), 1, 8) AS BIGINT)
+  / 4294967296.0 AS u FROM scored, (SELECT unnest(range(1, 101)) AS b)),
+m AS (SELECT sum(p_ma4 * n) / sum(n) AS m FROM (SELECT b, p_ma4, {_DRAW} AS n FROM d) GROUP BY b)
+SELECT avg(m) AS mean, stddev_pop(m) AS std, stddev_pop(m) / avg(m) AS cv, 1 / (1 + stddev_pop(m)) AS stability FROM m""")
 def bootstrap_stability(t: Tables):
-    return ensemble.bootstrap_stability(t.scored, "p_ma4", ["store", "product", "year", "week"], 20)
+    return ensemble.bootstrap_stability(t.scored, "p_ma4", ["store", "product", "year", "week"])
 
 
 # -- scoring and strategies -----------------------------------------------------------------------------------
@@ -372,19 +439,53 @@ def generate_forecast(t: Tables):
     return forecast.generate_forecast(newest.select("week", "store", "product", "_r.*"), model, t.weekly_table)
 
 
+MOVED = """(SELECT DISTINCT store, product, year(d) AS year, week(d) AS week FROM (SELECT store, product,
+  CAST(week_date + INTERVAL 1 MONTH AS DATE) AS d, (SELECT max(week_date) FROM weekly) AS last FROM weekly
+  WHERE week_date > (SELECT max(week_date) FROM weekly) - 28) WHERE d > last)"""
+
+
+@query("forecast_horizon", "week:i store:s product:s quantity:i",
+       f"""WITH c AS (SELECT regr_intercept(quantity, p_ma4) AS a, regr_slope(quantity, p_ma4) AS b FROM scored),
+h AS (SELECT store, product, avg(quantity) FILTER (n <= 4) AS m, max(quantity) AS hi, avg(quantity) AS mean FROM (SELECT *,
+  row_number() OVER (PARTITION BY store, product ORDER BY week_date DESC, year DESC, week DESC) AS n FROM weekly) GROUP BY ALL),
+s AS (SELECT store, product, week, least(greatest(c.a + c.b * m, 0), 3 * hi, 10 * mean) AS p
+  FROM {MOVED} JOIN h USING (store, product), c),
+t AS (SELECT quantile_cont(p, 0.95) AS p95, quantile_cont(p, 0.99) AS p99 FROM s)
+SELECT week, store, product, CAST(round_even(CASE WHEN p > p99 THEN p95 ELSE p END, 0) AS INTEGER) AS quantity FROM s, t""")
+def forecast_horizon(t: Tables):
+    """The weeks after the newest: moved, scored by a model of all history, bounded, checked, written, read back."""
+    out = forecast.forecast_horizon(t.weekly_table, models.fit_linear, sizes=(4,))
+    path = scratch_path(t.spark, "horizon")
+    sinks.write_forecast_parquet(out, path)
+    return sinks.read_forecast(t.spark, path, "parquet")
+
+
+# Strategies small enough for a check; the shipped ones are run by passing them.
+QUICK = (
+    strategy.Strategy(
+        "quick_boosted", {"gbt": (1.0, models.ModelSpec("gbt", {"n_estimators": 5, "max_depth": 3}))}, max_features=25
+    ),
+    strategy.Strategy(
+        "quick_mixed",
+        {
+            "tree": (0.25, models.ModelSpec("tree", {"max_depth": 4})),
+            "seasonal_trend": (0.75, models.ModelSpec("seasonal_trend", {"mode": "additive"})),
+        },
+        lags=(1, 2, 4), windows=(4, 8), smoothing=0.15, cap_multiplier=2.0,
+    ),
+)
 STRATEGY = f"strategy:s {KEY} quantity:f prediction:f"
 
 
 @query("fit_predict_strategy", STRATEGY)
 def fit_predict_strategy(t: Tables):
-    chosen = strategy.STRATEGIES[2]
-    frame = strategy.strategy_frame(t.weekly_table, [chosen])
-    return strategy.fit_predict_strategy(frame, chosen, trees=3, depth=3)
+    frame = strategy.strategy_frame(t.weekly_table, QUICK[1:])
+    return strategy.fit_predict_strategy(frame, QUICK[1])
 
 
 @query("run_all_strategies", "strategy:s wmape:f mae:f rmse:f mape:f")
 def run_all_strategies(t: Tables):
-    return strategy.strategy_metrics(strategy.run_all_strategies(t.weekly_table, trees=2, depth=3))
+    return strategy.strategy_metrics(strategy.run_all_strategies(t.weekly_table, QUICK))
 
 
 @query("strategy_postprocess", f"{KEY} prediction:f",

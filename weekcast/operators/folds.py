@@ -42,10 +42,12 @@ def week_ranks(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
 
 
 def temporal_folds(
-    df: DataFrame, spec: SeriesSpec = DEFAULT, n_splits: int = N_SPLITS, test_weeks: int = TEST_WEEKS, gap: int = GAP
+    df: DataFrame, spec: SeriesSpec = DEFAULT, n_splits: int = N_SPLITS, test_weeks: int = TEST_WEEKS
 ) -> DataFrame:
     """Adds ``fold``: 0 for weeks before every test block, else the number (1 = oldest) of the test
-    block the row's week belongs to. Fold k trains on rows with ``fold < k`` (see ``fold_train``)."""
+    block the row's week belongs to. Fold k trains on rows with ``fold < k`` (see ``fold_train``).
+
+    The ids are the only record of the folds: what trains or tests later reads them and takes no counts."""
     block = F.ceil(F.col("week_rank") / test_weeks).cast("int")
     fold = F.when(block <= n_splits, n_splits + 1 - block).otherwise(0)
     table = week_ranks(df, spec).select(
@@ -55,10 +57,18 @@ def temporal_folds(
     return out.drop("week_start")
 
 
-def fold_train(df: DataFrame, fold: int, n_splits: int = N_SPLITS, test_weeks: int = TEST_WEEKS, gap: int = GAP):
-    """Rows strictly before the test block of ``fold``, less ``gap`` weeks."""
-    newest_test = (n_splits - fold + 1) * test_weeks
-    return df.where(F.col("week_rank") > newest_test + gap)
+def fold_ids(df: DataFrame) -> list[int]:
+    """The folds present in a frame from ``temporal_folds``, oldest first."""
+    return list(range(1, int(df.agg(F.max("fold")).first()[0] or 0) + 1))
+
+
+def fold_train(df: DataFrame, fold: int, gap: int = GAP) -> DataFrame:
+    """Rows strictly before the test block of ``fold``, less the ``gap`` weeks right before it."""
+    before = df.where(F.col("fold") < fold)
+    if gap <= 0:
+        return before
+    newest = before.agg(F.min("week_rank").alias("_newest"))
+    return with_scalars(before, newest).where(F.col("week_rank") >= F.col("_newest") + gap).drop("_newest")
 
 
 def fold_test(df: DataFrame, fold: int) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import add, calendar_basic, calendar_flags, cyclic_encoding, season_flags
@@ -14,7 +14,7 @@ from weekcast.functions.scalars import round_half_even
 from weekcast.operators.checks import WEEKS, check_forecast, check_scoring_input, ensure_valid
 from weekcast.operators.clean import clip_nonnegative, filter_horizon, require
 from weekcast.operators.joins import join_history_bounds
-from weekcast.plans.scale import quantile_row, with_scalars
+from weekcast.plans.scale import materialize, quantile_row, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 MAX_MULTIPLIER = 3.0
@@ -38,6 +38,53 @@ def shift_to_horizon(df: DataFrame, first_date: dt.date | str, spec: SeriesSpec
     return add(moved, present)
 
 
+def recent_means(sizes: Sequence[int], spec: SeriesSpec = DEFAULT) -> dict[str, Column]:
+    """Mean of the last rows of a series before each row, per number of rows."""
+    q, w = F.col(spec.target).cast("double"), Window.partitionBy(*spec.series).orderBy(spec.week_date, spec.year, spec.week)
+    return {f"{spec.target}_mean_{n}": F.avg(q).over(w.rowsBetween(-n, -1)) for n in sizes}
+
+
+def future_frame(
+    panel: DataFrame, sizes: Sequence[int] = (4, 8), spec: SeriesSpec = DEFAULT, weeks: int = 4, months: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Training rows and rows of weeks that have not happened.
+
+    The newest ``weeks`` weeks are moved into the horizon, with the calendar of the new date and without their
+    target. Both frames carry the mean of the last rows of history: of the rows before each training row, and of
+    the last rows of the series for every row of the horizon. No row is in both.
+    """
+    key = [*spec.panel_key, spec.week_date]
+    history = panel.select(*key, F.col(spec.target).cast("double").alias(spec.target))
+    train = history.withColumns(recent_means(sizes, spec)).where(F.col(f"{spec.target}_mean_{sizes[0]}").isNotNull())
+    last = history.agg(F.max(spec.week_date).alias("_last"))
+    recent = with_scalars(history, last).where(F.col(spec.week_date) > F.date_sub("_last", 7 * weeks)).drop("_last")
+    moved = shift_to_horizon(recent, dt.date.min, spec, months).drop(spec.target)
+    # A month ahead of the newest weeks can still be history; only later weeks are forecast.
+    future = with_scalars(moved, last).where(F.col(spec.week_date) > F.col("_last")).drop("_last")
+    future = future.groupBy(*spec.panel_key).agg(F.min(spec.week_date).alias(spec.week_date))
+    newest = Window.partitionBy(*spec.series).orderBy(F.desc(spec.week_date), F.desc(spec.year), F.desc(spec.week))
+    ranked = history.withColumn("_nth", F.row_number().over(newest))
+    means = ranked.groupBy(*spec.series).agg(
+        *[F.avg(F.when(F.col("_nth") <= n, F.col(spec.target))).alias(f"{spec.target}_mean_{n}") for n in sizes]
+    )
+    return train, future.join(means, spec.series)
+
+
+def forecast_horizon(
+    panel: DataFrame, fit: Callable[[DataFrame, list[str]], Transformer], sizes: Sequence[int] = (4, 8),
+    spec: SeriesSpec = DEFAULT, weeks: int = 4, months: int = 1,
+) -> DataFrame:
+    """Fit on all of history, then score, bound, tame, round and check the weeks after it."""
+    train, future = future_frame(panel, sizes, spec, weeks, months)
+    train = materialize(train, "horizon", spec.series)
+    model = fit(train, [f"{spec.target}_mean_{n}" for n in sizes])
+    scored = materialize(score(future, model).select(*future.columns, "prediction"), "horizon")
+    out = format_forecast(postprocess(scored, panel, spec=spec), None, spec=spec)
+    found = [r[0] for r in out.select(spec.week).distinct().collect()]  # at most the weeks of the horizon
+    ensure_valid(check_forecast(out, sorted(found), spec))
+    return out
+
+
 def bound_by_history(
     forecast: DataFrame,
     history: DataFrame,

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weekcast.functions.calendar import TAU, add, calendar_basic, cyclic_encoding
 from weekcast.functions.scalars import numeric_columns
 from weekcast.operators.evaluate import metrics
-from weekcast.operators.folds import N_SPLITS, TEST_WEEKS, fold_test, fold_train, temporal_folds
+from weekcast.operators.folds import GAP, N_SPLITS, TEST_WEEKS, fold_ids, fold_test, fold_train, temporal_folds
 from weekcast.operators.series import LAGS, WINDOWS, series_features
 from weekcast.plans.scale import materialize
 from weekcast.spec import DEFAULT, SeriesSpec
@@ -200,13 +200,13 @@ def fit_seasonal_trend(
     shrink: float = 1.0,
     prediction: str = "prediction",
 ) -> DataFrame:
-    """Linear trend plus yearly waves plus up to five regressors, one ridge regression per series.
+    """Linear trend plus yearly waves plus regressors, one ridge regression per series.
 
     ``train`` names the boolean column of the rows to fit on; every row is predicted. The normal
     equations are sums, so Spark aggregates them per series (combined on the map side); a vectorised
     UDF solves batches of the resulting small systems; the coefficients are joined back by series.
     """
-    regressors = list(regressors)[:5]
+    regressors = list(regressors)
     day, q = F.col(spec.week_date), F.col(spec.target).cast("double")
     y = F.log1p(F.greatest(q, F.lit(0.0))) if mode == "multiplicative" else q
     angle = F.lit(TAU) * F.dayofyear(day) / 365.25
@@ -273,8 +273,7 @@ def oof_predictions(
     features: Sequence[str],
     models: Mapping[str, ModelSpec],
     spec: SeriesSpec = DEFAULT,
-    n_splits: int = N_SPLITS,
-    test_weeks: int = TEST_WEEKS,
+    gap: int = GAP,
 ) -> DataFrame:
     """Test rows of every fold with one prediction column per model, each fitted on earlier weeks.
 
@@ -282,13 +281,15 @@ def oof_predictions(
     the other, so no pivot or join is needed.
     """
     parts = []
-    for fold in range(1, n_splits + 1):
-        train = fold_train(frame, fold, n_splits, test_weeks)
+    for fold in fold_ids(frame):
+        train = fold_train(frame, fold, gap)
         test = fold_test(frame, fold)
         for name, model in models.items():
             fitted = fit(train, features, model, spec.target, prediction=name)
             test = predict(fitted, test, name)
         parts.append(test)
+    if not parts:
+        raise ValueError("the frame has no folds")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -297,11 +298,10 @@ def cross_validate_temporal(
     features: Sequence[str],
     model: ModelSpec,
     spec: SeriesSpec = DEFAULT,
-    n_splits: int = N_SPLITS,
-    test_weeks: int = TEST_WEEKS,
+    gap: int = GAP,
 ) -> DataFrame:
     """(fold, rows, wmape, mae, rmse, mape) over expanding training windows."""
-    scored = oof_predictions(frame, features, {"prediction": model}, spec, n_splits, test_weeks)
+    scored = oof_predictions(frame, features, {"prediction": model}, spec, gap)
     sizes = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
     return sizes.join(metrics(scored, spec.target, "prediction", ["fold"]), "fold")
 
@@ -335,13 +335,12 @@ def tune(
     space: Mapping[str, tuple] = SEARCH_SPACE,
     trials: int = 10,
     spec: SeriesSpec = DEFAULT,
-    n_splits: int = 3,
-    test_weeks: int = TEST_WEEKS,
+    gap: int = GAP,
 ) -> DataFrame:
-    """(trial, parameters..., wmape) of a random search, best first; error over all folds."""
+    """(trial, parameters..., wmape) of a random search, best first; error over all folds of ``frame``."""
     rows = []
     for trial, params in enumerate(sample_parameters(space, trials)):
-        scored = oof_predictions(frame, features, {"prediction": ModelSpec(kind, params)}, spec, n_splits, test_weeks)
+        scored = oof_predictions(frame, features, {"prediction": ModelSpec(kind, params)}, spec, gap)
         error = metrics(scored, spec.target, "prediction").head()["wmape"]
         rows.append((trial, *[float(params[n]) for n in space], float(error)))
     fields = ", ".join(["trial int", *[f"{n} double" for n in space], "wmape double"])

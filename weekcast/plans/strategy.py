@@ -86,16 +86,6 @@ STRATEGIES = (
 )
 
 
-def limited(model: ModelSpec, trees: int | None, depth: int | None) -> ModelSpec:
-    """The model with its tree count and depth bounded, for quick runs; None keeps the settings."""
-    params = dict(model.params)
-    if trees is not None and "n_estimators" in params:
-        params["n_estimators"] = min(int(params["n_estimators"]), trees)
-    if depth is not None and "max_depth" in params:
-        params["max_depth"] = min(int(params["max_depth"]), depth)
-    return ModelSpec(model.kind, params)
-
-
 def strategy_frame(panel: DataFrame, strategies: Sequence[Strategy], spec: SeriesSpec = DEFAULT) -> DataFrame:
     """One leak-safe feature table holding every lag and window any of the strategies asks for."""
     lags = sorted({n for s in strategies for n in s.lags})
@@ -136,12 +126,11 @@ def fit_predict_strategy(
     strategy: Strategy,
     spec: SeriesSpec = DEFAULT,
     holdout_weeks: int = 4,
-    trees: int | None = None,
-    depth: int | None = None,
 ) -> DataFrame:
     """Forecasts of the newest weeks by the strategy, fitted on the weeks before them.
 
-    ``frame`` comes from ``strategy_frame``. Returns the panel key, the actual and the prediction.
+    ``frame`` comes from ``strategy_frame``. Returns the panel key, the actual and the prediction. A series
+    that a model can't forecast (a new one has no seasonal fit) gets the others, their weights summing to one.
     """
     last = frame.agg(F.max(spec.week_date).alias("_last"))
     recent = F.col(spec.week_date) > F.date_sub("_last", 7 * holdout_weeks)
@@ -153,9 +142,8 @@ def fit_predict_strategy(
         if model.kind == "seasonal_trend":
             fitted = fit_seasonal_trend(marked, "is_train", spec, mode=model.params["mode"], prediction=name)
             out = out.join(fitted.where("NOT is_train").select(*spec.panel_key, name), spec.panel_key, "left")
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
         else:
-            out = predict(fit(train, features, limited(model, trees, depth), spec.target, name), out, name)
+            out = predict(fit(train, features, model, spec.target, name), out, name)
         names.append(name)
         weights.append(weight)
     combined = weighted_ensemble(out, names, weights, "prediction")
@@ -170,14 +158,12 @@ def run_all_strategies(
     strategies: Sequence[Strategy] = STRATEGIES,
     spec: SeriesSpec = DEFAULT,
     holdout_weeks: int = 4,
-    trees: int | None = None,
-    depth: int | None = None,
 ) -> DataFrame:
     """Forecasts of every strategy over one shared feature table."""
     frame = strategy_frame(panel, strategies, spec)
     out = None
     for strategy in strategies:
-        part = fit_predict_strategy(frame, strategy, spec, holdout_weeks, trees, depth)
+        part = fit_predict_strategy(frame, strategy, spec, holdout_weeks)
         out = part if out is None else out.unionByName(part)
     return out
 
