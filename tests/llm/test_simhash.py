@@ -62,18 +62,20 @@ def test_trie_walk_finds_each_pair_once(seed):
             v ^= np.uint64(1) << draw.integers(0, 56, n).astype(np.uint64)
         return np.unique(v & np.uint64(2**56 - 1) | np.uint64(top << 56))
 
-    a, b = some(90, 5), some(70, 7)
-    for same, x, y in ((True, a, a), (False, a, b)):
-        got = [(int(i), int(j)) for p, q in simhash.trie_links(x, y, same, 3, 55) for i, j in zip(p, q, strict=True)]
-        got = [(min(g), max(g)) if same else g for g in got]
-        near = np.argwhere(np.bitwise_count(x[:, None] ^ y[None, :]) <= 3)
-        want = {(int(i), int(j)) for i, j in near if not same or i < j}
-        assert len(got) == len(set(got)) and set(got) == want
-
-
-def test_many_blocks_and_prefixes(spark, monkeypatch):
-    """Small limits make several prefixes, and several blocks for a crowded one."""
-    monkeypatch.setattr(simhash, "PREFIX_ROWS", 16)
+    for lead, a, b in ((8, some(90, 5), some(70, 5)), (0, some(90, 5), some(70, 7)), (58, some(90, 5), some(70, 5)[:0])):
+        for same, x, y in ((True, a, a), (False, a, b)):
+            got = [(int(i), int(j)) for p, q in simhash.trie_links(x, y, same, 3, lead) for i, j in zip(p, q, strict=True)]
+            got = [(min(g), max(g)) if same else g for g in got]
+            apart = x[:, None] ^ y[None, :]
+            equal = (apart >> np.uint64(64 - lead)) == 0 if lead else np.ones(apart.shape, bool)
+            near = np.argwhere((np.bitwise_count(apart) <= 3) & equal)
+            want = {(int(i), int(j)) for i, j in near if not same or i < j}
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_tasks_and_blocks(spark, monkeypatch):
+    """Small limits make several tasks, and several blocks for a crowded segment."""
+    monkeypatch.setattr(simhash, "TASK_ROWS", 50)
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
     draw = random.Random(4)
     values = {draw.getrandbits(64) for _ in range(60)}

@@ -3,9 +3,13 @@
 A fingerprint bit is the majority over the hashes of a text's word shingles. Fingerprints link if they differ in
 at most ``max_bits`` bits. The distinct fingerprints form a binary trie by their bits; pairs of its nodes are
 walked together, the bits in which their paths differ add up, and a pair is dropped as soon as the sum exceeds the
-budget. The upper levels of the walk decide what a task gets: a pair of prefixes within the budget, so each
-fingerprint goes to the prefixes near its own. Prefixes with many fingerprints are split into blocks, and pairs of
-blocks are walked. A task walks the rest level by level in arrays and returns a spanning forest of its links.
+budget.
+
+There is one trie for each of ``max_bits + 1`` rotations of the bits. Fingerprints within the budget agree in the
+leading segment of at least one rotation, so each walk starts from the nodes below equal leading segments, and these
+nodes are what is dealt to tasks: a fingerprint goes to one task per rotation, however many there are. Segments with
+many fingerprints are split into blocks of rows, and pairs of blocks are walked. A task walks level by level in
+arrays and returns a spanning forest of its links.
 
 Exact copies are one fingerprint and never meet as pairs. Null and empty texts have fingerprint zero and link
 like any other; a null ``doc_id`` gets the component of its fingerprint but never names one (null if no other
@@ -15,7 +19,6 @@ row does); repeated rows are one text; other columns are ignored; an empty table
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,9 +31,8 @@ from weekcast.llm.common import arrow_map, materialize, ship_package, text_block
 from weekcast.llm.components import Forest, connected
 
 SHINGLE, SEED, BITS, MAX_BITS = 3, 42, 64, 3
-# Fingerprints of a prefix that the upper levels aim at, and beyond which a prefix is split into blocks.
-PREFIX_ROWS, BLOCK_ROWS = 4096, 8192
-MAX_PREFIX_BITS = 20
+# Fingerprints that a task is dealt, and number in one segment beyond which it is split into blocks.
+TASK_ROWS, BLOCK_ROWS = 8192, 8192
 # Sizes inside a task: pairs of nodes walked at once, and the product of node sizes that is compared directly.
 FRONTIER, LEAF = 1_000_000, 8
 _CHUNK = 1 << 16
@@ -82,14 +84,27 @@ def _expand(alo, ahi, blo, bhi):
     return alo[which] + nth // wide[which], blo[which] + nth % wide[which], which
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, first_bit: int = BITS - 1):
-    """Yield (i, j) arrays of positions with a[i] and b[j] at most ``budget`` bits apart, walking the tries of
-    the sorted arrays from ``first_bit`` down. ``same``: a is b, and a pair is found once."""
+def runs_of(sorted_values: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs with equal ``lead`` leading bits."""
+    heads = sorted_values >> np.uint64(BITS - lead)
+    cuts = np.flatnonzero(heads[1:] != heads[:-1]) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(heads)]])
+
+
+def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, lead: int = 0):
+    """Yield (i, j) arrays of positions with equal ``lead`` leading bits and at most ``budget`` differing ones,
+    walking the tries of the sorted arrays together. ``same``: a is b, and a pair is found once.
+
+    If a is not b, all values must have the same leading bits.
+    """
     if not len(a) or not len(b):
         return
-    used = a[0] ^ b[0]
-    above = int(np.bitwise_count(used >> np.uint64(first_bit + 1))) if first_bit < BITS - 1 else 0
-    start = [np.array([x]) for x in (0, len(a), 0, len(b), above)]
+    if same:
+        low, high = runs_of(a, lead) if lead else (np.array([0]), np.array([len(a)]))
+        start = [low, high, low, high, np.zeros(len(low), np.int64)]
+    else:
+        start = [np.array([x]) for x in (0, len(a), 0, len(b), 0)]
+    first_bit = BITS - 1 - lead
     ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def counts(bit):
@@ -136,55 +151,54 @@ def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, first_bit:
 # -- links over all fingerprints -------------------------------------------------------------
 
 
-def prefix_bits(rows: int) -> int:
-    return min(MAX_PREFIX_BITS, max(1, math.ceil(math.log2(max(rows, 1) / PREFIX_ROWS)) if rows else 1))
+def rotate(values: np.ndarray, by: int) -> np.ndarray:
+    """Bits moved up by ``by`` places, the highest ones to the bottom."""
+    by %= BITS
+    return values << np.uint64(by) | values >> np.uint64(BITS - by) if by else values
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, root): links among distinct fingerprints (column ``fp``) that connect what is within ``max_bits``."""
-    spark = prints.sparkSession
-    ship_package(spark)
-    bits = prefix_bits(prints.count())
-    near = [0] + [
-        sum(1 << b for b in some) for n in range(1, min(max_bits, bits) + 1) for some in combinations(range(bits), n)
-    ]
-    prefix = F.shiftrightunsigned("fp", BITS - bits)
-    sizes = materialize(
-        prints.groupBy(prefix.alias("p")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")),
-        "prefixes",
+    ship_package(prints.sparkSession)
+    lead = BITS // (max_bits + 1)
+    tasks = max(1, math.ceil(prints.count() * (max_bits + 1) / TASK_ROWS))
+
+    def segment(turn: int):
+        return F.shiftrightunsigned("fp", BITS - lead * (turn + 1)).bitwiseAND(F.lit((1 << lead) - 1).cast("long"))
+
+    turns = [F.struct(F.lit(t).alias("turn"), segment(t).alias("segment")) for t in range(max_bits + 1)]
+    dealt = prints.select("fp", F.inline(F.array(*turns)))
+    # At most (max_bits + 1) * 2 ** lead rows, of which only crowded segments stay.
+    crowded = dealt.groupBy("turn", "segment").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
+    crowded = materialize(
+        crowded.select("turn", "segment", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "segments"
     )
-    own = prints.select("fp", prefix.alias("p")).join(sizes, "p")
-    own = own.select("fp", "p", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"))
-    spread = own.select("*", F.explode(F.lit(near).cast("array<bigint>")).alias("flip"))
-    spread = spread.withColumn("q", F.col("p").bitwiseXOR(F.col("flip"))).drop("flip")
-    other = sizes.select(F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = spread.join(other, "q")
-    ahead = (F.col("p") < F.col("q")) | ((F.col("p") == F.col("q")) & (F.col("own") <= F.col("other")))
-
-    def side(first, second):
-        return F.when(ahead, F.col(first)).otherwise(F.col(second))
-
-    pairs = met.select(
-        "fp", side("p", "q").alias("a"), side("q", "p").alias("b"),
-        side("own", "other").alias("i"), side("other", "own").alias("j"), ahead.alias("first"),
+    placed = dealt.join(crowded, ["turn", "segment"], "left")
+    shared = F.pmod(F.xxhash64("segment"), F.lit(tasks))
+    placed = placed.select(
+        "fp", "turn", "blocks",
+        F.when(F.col("blocks").isNull(), shared).otherwise(F.col("segment") + tasks).alias("place"),
+        F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")), F.lit(0)).cast("int").alias("own"),
     )
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    pairs = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def walk(key, frame):
-        p, q, i, j = key
-        values = frame["fp"].to_numpy().view(np.uint64)
-        first = frame["first"].to_numpy()
-        same = p == q and i == j
+        turn, _, i, j = key
+        values = rotate(frame["fp"].to_numpy().view(np.uint64), lead * turn)
+        first = frame["own"].to_numpy() == i
         a = np.sort(values[first])
-        b = a if same else np.sort(values[~first])
-        points = a if same else np.concatenate([a, b])
-        forest, shift = Forest(len(points)), 0 if same else len(a)
-        for x, y in trie_links(a, b, same, max_bits, BITS - 1 - bits):
+        b = a if i == j else np.sort(values[~first])
+        points = a if i == j else np.concatenate([a, b])
+        forest, shift = Forest(len(points)), 0 if i == j else len(a)
+        for x, y in trie_links(a, b, i == j, max_bits, lead):
             forest.add(x, y + shift)
         linked = np.flatnonzero(forest.root != np.arange(len(points)))
-        signed = points.view(np.int64)
+        signed = rotate(points, BITS - lead * turn).view(np.int64)
         return pd.DataFrame({"fp": signed[linked], "root": signed[forest.root[linked]]})
 
-    return pairs.groupBy("a", "b", "i", "j").applyInPandas(walk, "fp bigint, root bigint")
+    pairs = pairs.select("turn", "place", "i", "j", "fp", "own")
+    return pairs.groupBy("turn", "place", "i", "j").applyInPandas(walk, "fp bigint, root bigint")
 
 
 def near_duplicates(
