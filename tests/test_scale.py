@@ -54,6 +54,50 @@ def test_buckets_keep_the_order(spark):
     assert buckets == sorted(buckets)
 
 
+@pytest.mark.parametrize("low,step", [(1e9, 1.0), (0.0, 1e-9)])
+def test_narrow_bands_are_split(spark, low, step):
+    """Values that share a bucket are ordered in small parts, and the results stay exact."""
+    n = 200_000
+    df = spark.range(n).select((F.lit(low) + F.col("id") * step).alias("value"))
+    assert df.select(scale.value_bucket(F.col("value"))).distinct().count() <= 2
+    got = scale.quantiles(df, "value", [0.25, 0.5, 0.999]).head()
+    assert np.allclose(list(got), np.quantile(low + np.arange(n) * step, [0.25, 0.5, 0.999]), rtol=1e-15, atol=1e-18)
+    bounds = df.withColumn("b", scale.value_bucket(F.col("value"))).groupBy("b").agg(F.min("value").alias("l"), F.max("value").alias("h"))
+    parts = df.withColumn("b", scale.value_bucket(F.col("value"))).join(bounds, "b")
+    sizes = parts.groupBy("b", scale.part_of_bucket(F.col("value"), F.col("l"), F.col("h"))).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 8
+    ranks = scale.value_ranks(df.limit(5000), "value")
+    assert ranks.where(F.col("rows_below") != F.col("values_below")).isEmpty()
+    assert ranks.agg(F.max("rows_below")).first()[0] == 4999
+
+
+def test_compressible_text_is_measured_not_guessed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "side")
+    wide = F.concat(F.repeat(F.lit("x"), 5000), F.col("id").cast("string"))
+    spark.range(2000).select(F.col("id").alias("key"), wide.alias("note")).write.parquet(path)
+    side, fact = spark.read.parquet(path), spark.range(50).withColumnRenamed("id", "key")
+    monkeypatch.setattr(scale, "BROADCAST_LIMIT", 4 << 20)
+    assert scale.planned_bytes(side) < 4 << 20 < scale.measured_bytes(side)
+    text = scale.attach(fact, side, ["key"])._jdf.queryExecution().toString()
+    assert "_salt" in text
+    assert scale.attach(fact, side, ["key"]).count() == 50
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.checkpoint_folder(Session())
+
+
 def test_salted_join_equals_plain_join(spark):
     fact, side = skewed(spark), skewed(spark).groupBy("key").agg(F.sum("value").alias("total"))
     side = side.where("key <> 'k7'")

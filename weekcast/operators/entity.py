@@ -33,7 +33,7 @@ def entity_stats(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEFAU
     )
     median = quantiles(df, spec.target, [0.5], [entity], names=[f"{name}_qty_median"])
     variation = divide(F.col(f"{name}_qty_std"), F.col(f"{name}_qty_mean"))
-    return attach(stats, median, [entity], rows=df).withColumn(f"{name}_qty_cv", F.coalesce(variation, F.lit(0.0)))
+    return attach(stats, median, [entity]).withColumn(f"{name}_qty_cv", F.coalesce(variation, F.lit(0.0)))
 
 
 def product_stats(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -153,7 +153,7 @@ def zip_table(df: DataFrame, zipcode: str = "zipcode") -> DataFrame:
 
 def zip_density(df: DataFrame, zipcode: str = "zipcode", source: DataFrame | None = None) -> DataFrame:
     source = df if source is None else source
-    out = attach(df, zip_table(source, zipcode), [zipcode], rows=source)
+    out = attach(df, zip_table(source, zipcode), [zipcode])
     return out.withColumn("is_urban", F.coalesce(F.col("is_urban"), F.lit(0)))
 
 
@@ -178,9 +178,9 @@ def target_encoding(df: DataFrame, spec: SeriesSpec = DEFAULT, leak_safe: bool =
     for name, keys in groups.items():
         salts = 1 if keys == spec.series else JOIN_SALTS
         if leak_safe:
-            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], rows=df, salts=salts)
+            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], salts=salts)
         else:
-            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, rows=df, salts=salts)
+            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, salts=salts)
     return out
 
 
@@ -199,15 +199,15 @@ def product_table(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     if "subcategory" in df.columns:
         parts.append(product_subcategories(df, spec))
     for part in parts:
-        table = attach(table, part, [spec.product], rows=df)
+        table = attach(table, part, [spec.product])
     return rank_entities(table, "product_qty_total", "product")
 
 
 def store_table(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """All store-grain features, one row per store."""
-    table = attach(store_stats(df, spec), store_diversity(df, spec), [spec.store], rows=df)
+    table = attach(store_stats(df, spec), store_diversity(df, spec), [spec.store])
     if spec.week_date in df.columns:
-        table = attach(table, store_activity(df, spec), [spec.store], rows=df)
+        table = attach(table, store_activity(df, spec), [spec.store])
     return rank_entities(table, "store_qty_total", "store")
 
 
@@ -224,8 +224,8 @@ def product_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFram
     if "unit_price" in df.columns:
         out = price_tiers(out, source=source)
     if "brand" in df.columns:
-        out = attach(out, brand_breadth(source, spec), ["brand"], rows=source)
-    return attach(out, product_table(source, spec), [spec.product], rows=source)
+        out = attach(out, brand_breadth(source, spec), ["brand"])
+    return attach(out, product_table(source, spec), [spec.product])
 
 
 def store_features(
@@ -239,4 +239,4 @@ def store_features(
     out = store_type_onehot(df, stores if stores is not None else source)
     if "zipcode" in df.columns:
         out = zip_density(out, source=source)
-    return attach(out, store_table(source, spec), [spec.store], rows=source)
+    return attach(out, store_table(source, spec), [spec.store])

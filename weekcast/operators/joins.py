@@ -35,7 +35,7 @@ def _join_dimension(
     # The median over the joined rows is a median over the dimension weighted by rows per key: one
     # pass over the key column, kept because it is read several times.
     rows = materialize(fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "rows")
-    weighted = attach(rows, dim.select(key, *numeric), [key], rows=dim)
+    weighted = attach(rows, dim.select(key, *numeric), [key])
     holes = weighted.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).head()
     open_columns = [c for c in numeric if holes[c]]
     joined = joined.withColumns({c: F.col(c).cast("double") for c in numeric})
@@ -70,14 +70,14 @@ def merge_master_data(
 
 def match_rate(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Rows of the fact and how many found a partner in the dimension."""
-    marked = attach(fact.select(key), dim.select(key).distinct().withColumn("_hit", F.lit(1)), [key], rows=dim)
+    marked = attach(fact.select(key), dim.select(key).distinct().withColumn("_hit", F.lit(1)), [key])
     return marked.agg(F.count(F.lit(1)).alias("rows"), F.count("_hit").alias("matched"))
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
     """Group statistics on every row: one aggregation (partial on the map side), one side join."""
     stats = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()])
-    return attach(df, stats, keys, rows=df)
+    return attach(df, stats, keys)
 
 
 def combine_feature_sets(
@@ -119,7 +119,7 @@ def join_history_bounds(forecast: DataFrame, history: DataFrame, spec: SeriesSpe
 
     A series has at most one forecast a week, so a shuffled join on the series needs no salt.
     """
-    return attach(forecast, history_stats(history, spec), spec.series, rows=history, salts=1)
+    return attach(forecast, history_stats(history, spec), spec.series, salts=1)
 
 
 def align_actual_predicted(actual: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,7 +132,7 @@ def rank_entities(totals: DataFrame, value: str, name: str) -> DataFrame:
     dense = F.col("values_total") - F.col("values_below")
     percentile = (F.col("rows_below") + (F.col("peers") + 1) / 2) / F.col("rows_total")
     table = ranks.select(value, dense.cast("long").alias(f"{name}_rank"), percentile.alias(f"{name}_percentile"))
-    return attach(totals, table, [value], rows=totals).withColumns(
+    return attach(totals, table, [value]).withColumns(
         {
             f"is_{name}_top10": flag(F.col(f"{name}_rank") <= 10),
             f"is_{name}_top100": flag(F.col(f"{name}_rank") <= 100),

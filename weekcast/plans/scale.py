@@ -23,15 +23,20 @@ BROADCAST_LIMIT = 64 << 20
 JOIN_SALTS = 16
 # Value buckets per factor of two. Bucket tables stay below 2 * 1024 * log2(range) rows.
 BUCKETS_PER_OCTAVE = 1024
+# Parts into which the range of the values found in one bucket is cut again.
+PARTS_PER_BUCKET = 1 << 16
 
 
 # -- materialisation -------------------------------------------------------------------------
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``. A folder of this machine only where everything runs on it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -77,38 +82,47 @@ def planned_bytes(df: DataFrame) -> int | None:
         return None
 
 
-# Bytes assumed per value where the type does not tell.
-TEXT_BYTES, NESTED_BYTES, ROW_BYTES = 32, 64, 16
+# Bytes counted per row and for a text of unknown length.
+TEXT_BYTES, ROW_BYTES = 32, 16
 # No calendar table of days, weeks or months is longer than this (about 270 years of days).
 CALENDAR_ROWS = 100_000
+FIXED_BYTES = {"double": 8, "bigint": 8, "timestamp": 8, "timestamp_ntz": 8, "int": 4, "date": 4, "float": 4, "boolean": 1}
 
 
 def row_width(df: DataFrame) -> int:
-    sizes = {"double": 8, "bigint": 8, "timestamp": 8, "int": 4, "date": 4, "float": 4, "boolean": 1}
-    kinds = [f.dataType.simpleString() for f in df.schema.fields]
-    return ROW_BYTES + sum(sizes.get(k, TEXT_BYTES if k == "string" else NESTED_BYTES) for k in kinds)
+    """Bytes of a row whose texts have the usual length of keys."""
+    return ROW_BYTES + sum(FIXED_BYTES.get(f.dataType.simpleString(), TEXT_BYTES) for f in df.schema.fields)
 
 
-def size_bound(side: DataFrame, rows: int | DataFrame | None = None) -> int | None:
-    """Upper bound of the bytes of ``side``.
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, uncompressed: fixed widths times the counted rows, and the summed lengths of the rest."""
+    fixed, sums = ROW_BYTES, []
+    for f in df.schema.fields:
+        kind, column = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in FIXED_BYTES:
+            fixed += FIXED_BYTES[kind]
+        elif kind in ("string", "binary"):
+            sums.append(F.octet_length(column))
+        elif kind.startswith(("array", "map", "struct")):
+            sums.append(F.octet_length(F.to_json(F.struct(column))))
+        else:
+            fixed += 16
+    length = sums[0] * 0 if sums else F.lit(0)
+    for part in sums:
+        length = F.coalesce(length, F.lit(0)) + F.coalesce(part, F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(length.cast("long")).alias("b")).first()
+    return int(row["n"]) * fixed + int(row["b"] or 0)
 
-    ``rows`` is what the caller knows: a number of rows it cannot exceed, or a frame with at least as
-    many rows. It replaces Catalyst's estimate, which multiplies the sizes of joined tables.
-    """
-    if isinstance(rows, int):
-        return rows * row_width(side)
-    own = planned_bytes(side)
-    if rows is None:
-        return own
-    base = planned_bytes(rows)
-    scaled = None if base is None else base * row_width(side) // row_width(rows)
-    known = [b for b in (own, scaled) if b is not None]
-    return min(known) if known else None
+
+_measured: dict[tuple[str, int], int] = {}
 
 
-def fits(side: DataFrame, limit: int = BROADCAST_LIMIT, rows: int | DataFrame | None = None) -> bool:
-    size = size_bound(side, rows)
-    return size is not None and size <= limit
+def side_bytes(side: DataFrame) -> int:
+    """``measured_bytes``, remembered per application and plan."""
+    key = (side.sparkSession.sparkContext.applicationId, side.semanticHash())
+    if key not in _measured:
+        _measured[key] = measured_bytes(side)
+    return _measured[key]
 
 
 def salted_join(
@@ -132,22 +146,26 @@ def attach(
     side: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    rows: int | DataFrame | None = None,
+    rows: int | None = None,
     limit: int | None = None,
     salts: int = JOIN_SALTS,
 ) -> DataFrame:
     """Join a per-entity table to a fact table without shuffling the fact where that is safe.
 
-    Broadcast when the bound of the side (see ``size_bound``) is under ``limit``. Otherwise the side
-    is written out once to learn its real size, and then broadcast or joined with salted keys.
-    ``salts=1`` asks for a plain shuffled join, right where the fact holds few rows per key.
+    Broadcast only where the side is known to fit into ``limit`` bytes: by ``rows``, a number of rows that it can't
+    exceed, or by counting its rows and text. A side whose input is larger than the limit is written out first, so
+    that it is computed once. Beyond the limit it is joined with salted keys. ``salts=1`` asks for a plain shuffled
+    join, right where the fact holds few rows per key.
     """
     on = list(on)
     limit = BROADCAST_LIMIT if limit is None else limit
-    if fits(side, limit, rows):
-        return fact.join(F.broadcast(side), on, how)
-    side = materialize(side, "side")
-    if fits(side, limit):
+    if rows is not None:
+        if rows * row_width(side) <= limit:
+            return fact.join(F.broadcast(side), on, how)
+    planned = planned_bytes(side)
+    if planned is None or planned > limit:
+        side = materialize(side, "side")
+    if limit > 0 and side_bytes(side) <= limit:
         return fact.join(F.broadcast(side), on, how)
     return salted_join(fact, side, on, how, salts) if salts > 1 else fact.join(side, on, how)
 
@@ -171,17 +189,18 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -magnitude - 1).otherwise(magnitude).cast("long")
 
 
-def _bucket_offsets(totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows before each bucket. One row per (group, bucket): bounded by the bucket count."""
+def part_of_bucket(value: Column, low: Column, high: Column) -> Column:
+    """Order-preserving part of a bucket whose smallest and largest values are known."""
+    share = F.try_divide(value.cast("double") - low, high - low)
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS_PER_BUCKET), F.lit(PARTS_PER_BUCKET - 1)).cast("long")
+
+
+def _offsets(totals: DataFrame, by: Sequence[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """Adds for each (sum, name) what lies before each row of its group in ``order``. The rows of a group are
+    buckets or their parts, so their number is bounded by the bucket scheme, not by the data."""
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *by,
-        "_bucket",
-        "_n",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_total"),
-    )
+    before = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for c, n in sums.items()})
 
 
 def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -203,9 +222,10 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group.
 
-    First pass: rows per value bucket (map-side combined). Second pass: only the buckets that hold
-    a wanted position are counted by value and ordered. No task sees a group's full set of values.
-    ``weight`` counts a row that many times. Nulls and NaN are ignored. ``groups`` is the largest
+    First pass: rows per value bucket, with the smallest and largest value found in it (map-side combined). Second
+    pass: only the buckets that hold a wanted position are counted by value. Their ranges are cut into many parts,
+    and only values of a part that holds a wanted position are ordered, so a narrow band of values is split as well
+    as a wide one. ``weight`` counts a row that many times. Nulls and NaN are ignored. ``groups`` is the largest
     possible number of groups where the caller knows it.
     """
     by = list(by)
@@ -218,25 +238,39 @@ def quantiles(
     )
     src = src.where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     src = src.withColumn("_bucket", value_bucket(F.col("_value")))
+    most = groups * 2 * len(probabilities) if groups else None
 
-    totals = src.groupBy(*by, "_bucket").agg(F.sum("_weight").alias("_n"))
-    offsets = _bucket_offsets(totals, by)
     ranks = []
     for p in probabilities:
         position = F.lit(float(p)) * (F.col("_total") - 1)
         ranks += [F.floor(position).cast("long"), F.ceil(position).cast("long")]
-    wanted = F.filter(
-        F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
-    )
-    needed = offsets.where(F.size(wanted) > 0).drop("_n")
 
+    def holds_rank(frame: DataFrame) -> DataFrame:
+        wanted = F.filter(
+            F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+        )
+        return frame.where(F.size(wanted) > 0)
+
+    totals = src.groupBy(*by, "_bucket").agg(
+        F.sum("_weight").alias("_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high")
+    )
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    totals = _offsets(totals.withColumn("_total", F.sum("_n").over(group)), by, "_bucket", {"_n": "_before"})
+    needed = holds_rank(totals).drop("_n")
     counts = (
-        attach(src, needed, [*by, "_bucket"], "inner", rows=groups * 2 * len(probabilities) if groups else df)
-        .groupBy(*by, "_bucket", "_before", "_total", "_value")
+        attach(src, needed, [*by, "_bucket"], "inner", rows=most)
+        .groupBy(*by, "_bucket", "_before", "_total", "_low", "_high", "_value")
         .agg(F.sum("_weight").alias("_n"))
+        .withColumn("_part", part_of_bucket(F.col("_value"), F.col("_low"), F.col("_high")))
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_value")
-    end = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    parts = counts.groupBy(*by, "_bucket", "_total", "_part").agg(F.sum("_n").alias("_n"), F.min("_before").alias("_first"))
+    parts = _offsets(parts, [*by, "_bucket"], "_part", {"_n": "_inside"})
+    parts = holds_rank(parts.withColumn("_before", F.col("_first") + F.col("_inside")))
+    parts = parts.select(*by, "_bucket", "_part", F.col("_before").alias("_from"))
+    counts = attach(counts, parts, [*by, "_bucket", "_part"], "inner", rows=most)
+
+    inside = Window.partitionBy(*by, "_bucket", "_part").orderBy("_value")
+    end = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
     located = counts.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_n"))
 
     picks = []
@@ -292,7 +326,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank statistics of every distinct value: one row per (group, value).
 
     ``peers`` rows share the value, ``rows_below`` rows and ``values_below`` distinct values are
-    smaller, out of ``rows_total`` and ``values_total``. Ordering happens inside value buckets.
+    smaller, out of ``rows_total`` and ``values_total``. Ordering happens inside parts of value buckets.
     """
     by = list(by)
     counts = (
@@ -301,27 +335,25 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("peers"))
         .withColumn("_bucket", value_bucket(F.col(value)))
     )
+    plain = F.col(value).cast("double")
     totals = counts.groupBy(*by, "_bucket").agg(
-        F.sum("peers").alias("_n"), F.count(F.lit(1)).alias("_d")
+        F.sum("peers").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min(plain).alias("_low"), F.max(plain).alias("_high")
     )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by,
-        "_bucket",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows0"),
-        F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_values0"),
-        F.sum("_n").over(group).alias("rows_total"),
-        F.sum("_d").over(group).alias("values_total"),
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value)
+    totals = totals.withColumns({"rows_total": F.sum("_n").over(group), "values_total": F.sum("_d").over(group)})
+    buckets = _offsets(totals, by, "_bucket", {"_n": "_rows0", "_d": "_values0"}).drop("_n", "_d")
+    placed = attach(counts, buckets, [*by, "_bucket"], "inner")
+    placed = placed.withColumn("_part", part_of_bucket(plain, F.col("_low"), F.col("_high")))
+    parts = placed.groupBy(*by, "_bucket", "_part").agg(F.sum("peers").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    parts = _offsets(parts, [*by, "_bucket"], "_part", {"_n": "_rows1", "_d": "_values1"}).drop("_n", "_d")
+    inside = Window.partitionBy(*by, "_bucket", "_part").orderBy(value)
     below = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return attach(counts, offsets, [*by, "_bucket"], "inner", rows=df).select(
+    return attach(placed, parts, [*by, "_bucket", "_part"], "inner").select(
         *by,
         value,
         "peers",
-        (F.col("_rows0") + F.coalesce(F.sum("peers").over(below), F.lit(0))).alias("rows_below"),
-        (F.col("_values0") + F.row_number().over(inside) - 1).alias("values_below"),
+        (F.col("_rows0") + F.col("_rows1") + F.coalesce(F.sum("peers").over(below), F.lit(0))).alias("rows_below"),
+        (F.col("_values0") + F.col("_values1") + F.row_number().over(inside) - 1).alias("values_below"),
         "rows_total",
         "values_total",
     )
