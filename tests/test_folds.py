@@ -59,3 +59,27 @@ def test_seasonal_model_takes_all_regressors(panel):
     frame = frame.withColumn("quantity", F.col("x5") * 3 + 1).withColumn("train", F.lit(True))
     out = models.fit_seasonal_trend(frame, "train", harmonics=0, regressors=[f"x{i}" for i in range(6)], shrink=1e-6)
     assert out.where(F.abs(F.col("prediction") - F.col("quantity")) > 0.01).isEmpty()
+
+
+def test_leak_safe_features_do_not_see_later_weeks(spark, panel):
+    from weekcast.plans.features import all_features
+
+    full = panel.withColumns({"category": F.lit("c"), "unit_price": F.lit(2.0), "brand": F.lit("b"), "subcategory": F.lit(1)})
+    changed = full.withColumn("quantity", F.when(F.col("week_date") > "2022-03-20", F.col("quantity") * 100 + 7).otherwise(F.col("quantity")))
+    early = F.col("week_date") <= "2022-03-20"
+    a, b = (all_features(x, leak_safe=True).where(early) for x in (full, changed))
+    assert a.columns == b.columns and {"product_past_mean", "store_past_std", "quantity_lag_1"} <= set(a.columns)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    # The first changed week already has its own past only.
+    row = all_features(changed, leak_safe=True).where("store = 'ramp' and week_date = date'2022-01-10'").first()
+    assert row is None or row.store_past_weeks == 0
+
+
+def test_one_hot_values_can_be_given(spark):
+    from weekcast.operators.entity import category_onehot, dimension_values, store_type_onehot
+
+    df = spark.range(1500).select(F.concat(F.lit("v"), "id").alias("premise"), F.lit("x").alias("category"))
+    assert len(dimension_values(df, "premise")) == 1500
+    out = store_type_onehot(df, values={"premise": ["v7", "none"]})
+    assert out.agg(F.sum("store_type_v7"), F.sum("store_type_none")).first() == (1, 0)
+    assert category_onehot(df, values=["x", "y"]).agg(F.sum("category_x"), F.sum("category_y"), F.sum("category_other")).first() == (1500, 0, 0)

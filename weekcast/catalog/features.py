@@ -247,34 +247,35 @@ CATEGORIES = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
-def with_absent(df, columns: str):
-    """One-hot columns of values that the data does not hold, as 0."""
-    names = [c.split(":")[0] for c in columns.split()]
-    absent = [n for n in names if n not in df.columns and n.startswith(("category_", "store_", "region_"))]
-    return df.withColumns({n: F.lit(0) for n in absent}) if absent else df
-
-
-@query("category_onehot", f"{KEY} category:s " + "category_economy:i category_standard:i category_other:i",
-       f"""SELECT {KEY_SQL}, category, CAST(category = 'ECONOMY' AS INTEGER) AS category_economy,
-CAST(category = 'STANDARD' AS INTEGER) AS category_standard, CAST(category NOT IN (SELECT category FROM panel
+VALUES = {
+    "category": CATEGORIES,
+    "premise": REGIONS,
+    "store_category": tuple(f"NATION_{i}" for i in range(25)),
+    "zip_region": tuple("123456789"),
+}
+CATEGORY_SET = " ".join(f"category_{c.lower()}:i" for c in CATEGORIES) + " category_other:i"
+CATEGORY_SQL = ", ".join(f"CAST({{p}}category = '{c}' AS INTEGER) AS category_{c.lower()}" for c in CATEGORIES)
+
+
+@query("category_onehot", f"{KEY} category:s {CATEGORY_SET}",
+       f"""SELECT {KEY_SQL}, category, {CATEGORY_SQL.format(p='')}, CAST(category NOT IN (SELECT category FROM panel
 GROUP BY category ORDER BY count(*) DESC, category LIMIT 10) AS INTEGER) AS category_other FROM panel""")
 def category_onehot(t: Tables):
-    return with_absent(entity.category_onehot(t.panel_table), "category_economy category_standard")
+    return entity.category_onehot(t.panel_table)
 
 
-ZIPS = " ".join(f"region_{d}:i" for d in range(1, 5))
-ONEHOT = "store_type_africa:i store_type_middle_east:i store_category_nation_0:i store_category_nation_7:i zip_region:s " + ZIPS
-ONEHOT_SQL = """CAST(premise = 'AFRICA' AS INTEGER) AS store_type_africa,
-CAST(premise = 'MIDDLE EAST' AS INTEGER) AS store_type_middle_east,
-CAST(store_category = 'NATION_0' AS INTEGER) AS store_category_nation_0,
-CAST(store_category = 'NATION_7' AS INTEGER) AS store_category_nation_7,
-substr(CAST(CAST(zipcode AS INTEGER) AS VARCHAR), 1, 1) AS zip_region, """ + ", ".join(
-    f"CAST(substr(CAST(CAST(zipcode AS INTEGER) AS VARCHAR), 1, 1) = '{d}' AS INTEGER) AS region_{d}" for d in range(1, 5))
+_PREMISES = {f"store_type_{v.lower().replace(' ', '_')}": f"premise = '{v}'" for v in REGIONS}
+_STORE_CATEGORIES = {f"store_category_{v.lower()}": f"store_category = '{v}'" for v in VALUES["store_category"]}
+_ZIP = "substr(CAST(CAST(zipcode AS INTEGER) AS VARCHAR), 1, 1)"
+_ZIPS = {f"region_{d}": f"{_ZIP} = '{d}'" for d in VALUES["zip_region"]}
+_HOT = {**_PREMISES, **_STORE_CATEGORIES, **_ZIPS}
+ONEHOT = " ".join(f"{n}:i" for n in _HOT) + " zip_region:s"
+ONEHOT_SQL = ", ".join(f"CAST({c} AS INTEGER) AS {n}" for n, c in _HOT.items()) + f", {_ZIP} AS zip_region"
 
 
 @query("store_type_onehot", f"{KEY} {ONEHOT}", f"SELECT {KEY_SQL}, {ONEHOT_SQL} FROM panel")
 def store_type_onehot(t: Tables):
-    return with_absent(entity.store_type_onehot(t.panel_table, t.stores), ONEHOT)
+    return entity.store_type_onehot(t.panel_table, t.stores, VALUES)
 
 
 ZIP_SQL = """
@@ -521,7 +522,7 @@ def temporal_features(t: Tables):
     return features.temporal_features(t.weekly_table)
 
 
-PRODUCT_SET = ("category_economy:i category_other:i is_cheap:i is_mid_price:i is_expensive:i brand_num_products:i "
+PRODUCT_SET = (CATEGORY_SET + " is_cheap:i is_mid_price:i is_expensive:i brand_num_products:i "
                "is_top_brand:i " + STATS.format(n="product") + " product_weeks_span:f product_weeks_active:i "
                "product_velocity:f product_num_subcategories:i product_rank:i product_percentile:f is_product_top10:i "
                "is_product_top100:i is_product_top_percentile:i")
@@ -534,7 +535,7 @@ JOIN (SELECT product, {ACTIVITY_SQL.format(n='product', r='product_velocity')} F
 JOIN (SELECT product, count(DISTINCT subcategory) AS product_num_subcategories FROM panel GROUP BY product) c
   ON s.product = c.product
 JOIN ({RANK_SQL.format(e='product', n='product')}) r ON s.product = r.product"""
-PRODUCT_SELECT = f"""CAST(category = 'ECONOMY' AS INTEGER) AS category_economy, 0 AS category_other, {PRICE_SQL},
+PRODUCT_SELECT = f"""{CATEGORY_SQL.format(p='p.')}, 0 AS category_other, {PRICE_SQL},
 b.brand_num_products, b.is_top_brand, x.* EXCLUDE (product)"""
 PRODUCT_FROM = f"""JOIN ({BRAND_SQL}) b ON p.brand = b.brand JOIN ({PRODUCT_TABLE}) x ON p.product = x.product, {PRICE_CUTS}"""
 
@@ -542,7 +543,7 @@ PRODUCT_FROM = f"""JOIN ({BRAND_SQL}) b ON p.brand = b.brand JOIN ({PRODUCT_TABL
 @query("product_features", f"{KEY} {PRODUCT_SET}",
        f"SELECT p.store, p.product, p.year, p.week, {PRODUCT_SELECT} FROM panel p {PRODUCT_FROM}")
 def product_features(t: Tables):
-    return with_absent(entity.product_features(t.panel_table), PRODUCT_SET)
+    return entity.product_features(t.panel_table, values=VALUES)
 
 
 STORE_SET = (ONEHOT + " zip_density:i is_urban:i " + STATS.format(n="store") + " store_num_products:i store_weeks_span:f "
@@ -562,7 +563,7 @@ STORE_FROM = f"JOIN ({ZIP_SQL}) d ON zipcode = d.z JOIN ({STORE_TABLE}) y ON p.s
 @query("store_features", f"{KEY} {STORE_SET}",
        f"SELECT p.store, p.product, p.year, p.week, {STORE_SELECT} FROM panel p {STORE_FROM}")
 def store_features(t: Tables):
-    return with_absent(entity.store_features(t.panel_table, stores=t.stores), STORE_SET)
+    return entity.store_features(t.panel_table, stores=t.stores, values=VALUES)
 
 
 SERIES_SET = (f"quantity_lag_1:f quantity_lag_2:f quantity_lag_4:f quantity_lag_8:f {RATIOS} {ROLLING} {CV} {ROLL_TREND} "
@@ -581,26 +582,26 @@ def series_features(t: Tables):
 
 ALL_SQL = f"""
 SELECT u.* FROM (WITH m AS ({temporal_sql('panel')}), n AS ({series_sql('panel')})
-SELECT m.*, {PRODUCT_SELECT.replace('CAST(category', 'CAST(p.category')}, {STORE_SELECT},
+SELECT m.*, {PRODUCT_SELECT}, {STORE_SELECT},
   n.* EXCLUDE (store, product, year, week, quantity, week_date, gross_value, net_value, discount, taxes, week_label,
     premise, store_category, zipcode, category, subcategory, brand, unit_price)
 FROM m JOIN panel p USING (store, product, year, week) JOIN n USING (store, product, year, week)
 JOIN ({BRAND_SQL}) b ON p.brand = b.brand JOIN ({PRODUCT_TABLE}) x ON p.product = x.product
 JOIN ({ZIP_SQL}) d ON p.zipcode = d.z JOIN ({STORE_TABLE}) y ON p.store = y.store, {PRICE_CUTS}, {ZIP_CUT} z) u"""
 ALL_SQL = (ALL_SQL.replace("CAST(premise", "CAST(p.premise").replace("CAST(store_category", "CAST(p.store_category")
-           .replace("CAST(CAST(zipcode", "CAST(CAST(p.zipcode").replace("CAST(unit_price", "CAST(p.unit_price")
+           .replace("CAST(zipcode AS", "CAST(p.zipcode AS").replace("CAST(unit_price", "CAST(p.unit_price")
            .replace("AND unit_price <=", "AND p.unit_price <="))
 EVERYTHING = f"{KEY} quantity:f {TEMPORAL} {PRODUCT_SET} {STORE_SET} {SERIES_SET}"
 
 
 @query("all_features", EVERYTHING, ALL_SQL)
 def all_features(t: Tables):
-    return with_absent(features.all_features(t.panel_table, stores=t.stores), EVERYTHING)
+    return features.all_features(t.panel_table, stores=t.stores, values=VALUES)
 
 
 @query("all_features_parallel", EVERYTHING, ALL_SQL)
 def all_features_parallel(t: Tables):
-    return with_absent(features.all_features_parallel(t.panel_table, stores=t.stores), EVERYTHING)
+    return features.all_features_parallel(t.panel_table, stores=t.stores, values=VALUES)
 
 
 @query("simplified_features",
@@ -617,3 +618,23 @@ def simplified_features(t: Tables):
     return features.simplified_features(t.weekly)
 
 
+def _past_sql(entity_column: str, name: str) -> str:
+    over = f"OVER (PARTITION BY {entity_column} ORDER BY week_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""SELECT {entity_column}, week_date, s / c AS {name}_past_mean,
+  sqrt(greatest((s2 - s * s / c) / nullif(c - 1, 0), 0)) AS {name}_past_std, lo AS {name}_past_min, hi AS {name}_past_max,
+  coalesce(s, 0) AS {name}_past_total, coalesce(c, 0) AS {name}_past_rows, n AS {name}_past_weeks
+FROM (SELECT {entity_column}, week_date, sum(sum(quantity)) {over} AS s, sum(sum(quantity * quantity)) {over} AS s2,
+  sum(count(quantity)) {over} AS c, min(min(quantity)) {over} AS lo, max(max(quantity)) {over} AS hi, count(*) {over} AS n
+  FROM weekly GROUP BY {entity_column}, week_date)"""
+
+
+PAST_SET = " ".join(
+    f"{n}_past_mean:f {n}_past_std:f {n}_past_min:f {n}_past_max:f {n}_past_total:f {n}_past_rows:i {n}_past_weeks:i"
+    for n in ("product", "store"))
+
+
+@query("past_features", f"{KEY} {PAST_SET}",
+       f"""SELECT {KEY_SQL}, p.* EXCLUDE (product, week_date), s.* EXCLUDE (store, week_date) FROM weekly
+JOIN ({_past_sql('product', 'product')}) p USING (product, week_date) JOIN ({_past_sql('store', 'store')}) s USING (store, week_date)""")
+def past_features(t: Tables):
+    return entity.past_features(t.weekly_table)

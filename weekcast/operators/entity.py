@@ -6,34 +6,56 @@ shuffled on a product or store key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import divide, flag, slug, zip_region
 from weekcast.operators.joins import rank_entities, top_values
-from weekcast.plans.scale import JOIN_SALTS, attach, quantile_row, quantiles, with_scalars
+from weekcast.plans.scale import JOIN_SALTS, attach, materialize, quantile_row, quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 TOP_CATEGORIES = 10
 TOP_BRANDS = 20
 
 
-def entity_stats(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEFAULT) -> DataFrame:
-    """Mean, median, std, min, max, total, rows and variation of the target per entity."""
+def _stat_columns(name: str, spec: SeriesSpec) -> list[Column]:
     q = F.col(spec.target)
-    stats = df.groupBy(entity).agg(
+    return [
         F.avg(q).alias(f"{name}_qty_mean"),
         F.stddev_samp(q).alias(f"{name}_qty_std"),
         F.min(q).alias(f"{name}_qty_min"),
         F.max(q).alias(f"{name}_qty_max"),
         F.sum(q).alias(f"{name}_qty_total"),
         F.count(q).alias(f"{name}_num_sales"),
-    )
+    ]
+
+
+def _activity_columns(name: str, spec: SeriesSpec) -> list[Column]:
+    week = F.col(spec.week_date)
+    # Weeks of one entity are a part of the calendar.
+    return [
+        (F.datediff(F.max(week), F.min(week)) / 7).alias(f"{name}_weeks_span"),
+        F.size(F.collect_set(week)).cast("long").alias(f"{name}_weeks_active"),
+    ]
+
+
+def _with_median(table: DataFrame, df: DataFrame, entity: str, name: str, spec: SeriesSpec) -> DataFrame:
+    """Adds the median and the variation. Both tables have one row per entity and are partitioned by it."""
     median = quantiles(df, spec.target, [0.5], [entity], names=[f"{name}_qty_median"])
     variation = divide(F.col(f"{name}_qty_std"), F.col(f"{name}_qty_mean"))
-    return attach(stats, median, [entity]).withColumn(f"{name}_qty_cv", F.coalesce(variation, F.lit(0.0)))
+    joined = table.join(median, entity, "left")
+    return joined.withColumn(f"{name}_qty_cv", F.coalesce(variation, F.lit(0.0)))
+
+
+def _with_rate(table: DataFrame, name: str, ratio: str) -> DataFrame:
+    return table.withColumn(ratio, F.col(f"{name}_weeks_active") / (F.col(f"{name}_weeks_span") + 1))
+
+
+def entity_stats(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """Mean, median, std, min, max, total, rows and variation of the target per entity."""
+    return _with_median(df.groupBy(entity).agg(*_stat_columns(name, spec)), df, entity, name, spec)
 
 
 def product_stats(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -46,13 +68,7 @@ def store_stats(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
 
 def entity_activity(df: DataFrame, entity: str, name: str, ratio: str, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """Weeks between first and last sale, distinct active weeks, and their ratio."""
-    week = F.col(spec.week_date)
-    table = df.groupBy(entity).agg(
-        (F.datediff(F.max(week), F.min(week)) / 7).alias(f"{name}_weeks_span"),
-        F.count_distinct(week).alias(f"{name}_weeks_active"),
-    )
-    rate = F.col(f"{name}_weeks_active") / (F.col(f"{name}_weeks_span") + 1)
-    return table.withColumn(ratio, rate)
+    return _with_rate(df.groupBy(entity).agg(*_activity_columns(name, spec)), name, ratio)
 
 
 def product_velocity(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -104,39 +120,44 @@ def _one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) ->
 
 
 def category_onehot(
-    df: DataFrame, column: str = "category", k: int = TOP_CATEGORIES, source: DataFrame | None = None
+    df: DataFrame, column: str = "category", k: int = TOP_CATEGORIES, source: DataFrame | None = None,
+    values: Sequence[str] | None = None,
 ) -> DataFrame:
-    """0/1 columns for the k most frequent categories (ties by name) and for the rest.
+    """0/1 columns for the k most frequent categories (ties by name), or for ``values``, and for the rest.
 
     The category names become column names, so at most k of them are read on the driver.
     """
     counted = df if source is None else source
-    names = [row[0] for row in top_values(counted, column, k).select(column).collect()]
+    names = list(values) if values is not None else [r[0] for r in top_values(counted, column, k).select(column).collect()]
     other = {f"{column}_other": flag(~F.coalesce(F.col(column).isin(names), F.lit(False)))}
     return df.withColumns({**_one_hot(df, column, names, column), **other})
 
 
-def dimension_values(dim: DataFrame, column: str, limit: int = 1000) -> list:
-    """Distinct attribute values in order. They become column names, so more than ``limit`` fails."""
-    rows = dim.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values; too many for columns")
-    return [row[0] for row in rows]
+def dimension_values(dim: DataFrame, column: str) -> list:
+    """Distinct attribute values in order. They become column names, so they are read on the driver."""
+    return [r[0] for r in dim.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
 
 
-def store_type_onehot(df: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+def store_type_onehot(
+    df: DataFrame, stores: DataFrame | None = None, values: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """0/1 columns for premise, store category and first zip digit.
 
-    The distinct values come from the store master when given, which spares a pass over the facts.
+    ``values`` fixes the values of an attribute, and so the columns. Otherwise the distinct values come from the
+    store master when given, which spares a pass over the facts.
     """
     source = stores if stores is not None else df
+    values = values or {}
     added = {}
     for column, prefix in (("premise", "store_type"), ("store_category", "store_category")):
         if column in df.columns:
-            added.update(_one_hot(df, column, dimension_values(source, column), prefix))
+            found = values[column] if column in values else dimension_values(source, column)
+            added.update(_one_hot(df, column, found, prefix))
     if "zipcode" in df.columns:
         region = zip_region(F.col("zipcode"))
-        regions = dimension_values(source.select(zip_region(F.col("zipcode")).alias("r")), "r")
+        regions = values.get("zip_region")
+        if regions is None:
+            regions = dimension_values(source.select(zip_region(F.col("zipcode")).alias("r")), "r")
         added["zip_region"] = region
         added.update({f"region_{slug(r)}": flag(region == F.lit(r)) for r in regions})
     return df.withColumns(added)
@@ -192,26 +213,73 @@ def _past_mean(df: DataFrame, keys: Sequence[str], name: str, spec: SeriesSpec)
     )
 
 
+def _entity_table(
+    df: DataFrame, entity: str, name: str, ratio: str, spec: SeriesSpec, distinct: str | None, distinct_name: str
+) -> DataFrame:
+    """One aggregation for everything but the median, written once before it is ranked."""
+    columns = _stat_columns(name, spec)
+    dated = spec.week_date in df.columns
+    if dated:
+        columns += _activity_columns(name, spec)
+    if distinct is not None:
+        columns.append(F.count_distinct(distinct).alias(distinct_name))
+    table = _with_median(df.groupBy(entity).agg(*columns), df, entity, name, spec)
+    table = _with_rate(table, name, ratio) if dated else table
+    return rank_entities(materialize(table, f"{name}-table"), f"{name}_qty_total", name)
+
+
 def product_table(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """All product-grain features, one row per product."""
-    table = product_stats(df, spec)
-    parts = [product_velocity(df, spec)] if spec.week_date in df.columns else []
-    if "subcategory" in df.columns:
-        parts.append(product_subcategories(df, spec))
-    for part in parts:
-        table = attach(table, part, [spec.product])
-    return rank_entities(table, "product_qty_total", "product")
+    subcategory = "subcategory" if "subcategory" in df.columns else None
+    return _entity_table(
+        df, spec.product, "product", "product_velocity", spec, subcategory, "product_num_subcategories"
+    )
 
 
 def store_table(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """All store-grain features, one row per store."""
-    table = attach(store_stats(df, spec), store_diversity(df, spec), [spec.store])
-    if spec.week_date in df.columns:
-        table = attach(table, store_activity(df, spec), [spec.store])
-    return rank_entities(table, "store_qty_total", "store")
+    return _entity_table(df, spec.store, "store", "store_activity", spec, spec.product, "store_num_products")
+
+
+def entity_history(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """(entity, week_date, statistics of the rows in earlier weeks): a table of entities x weeks.
+
+    Weekly sums are combined on the map side; running sums go over the weeks of one entity.
+    """
+    q = F.col(spec.target).cast("double")
+    weekly = df.groupBy(entity, spec.week_date).agg(
+        F.sum(q).alias("_s"), F.sum(q * q).alias("_s2"), F.count(q).alias("_c"), F.min(q).alias("_lo"), F.max(q).alias("_hi")
+    )
+    past = Window.partitionBy(entity).orderBy(spec.week_date).rowsBetween(Window.unboundedPreceding, -1)
+    total, squares, rows = F.sum("_s").over(past), F.sum("_s2").over(past), F.sum("_c").over(past)
+    mean = divide(total, rows)
+    spread = divide(squares - rows * mean * mean, rows - 1)
+    return weekly.select(
+        entity,
+        spec.week_date,
+        mean.alias(f"{name}_past_mean"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias(f"{name}_past_std"),
+        F.min("_lo").over(past).alias(f"{name}_past_min"),
+        F.max("_hi").over(past).alias(f"{name}_past_max"),
+        F.coalesce(total, F.lit(0.0)).alias(f"{name}_past_total"),
+        F.coalesce(rows, F.lit(0)).alias(f"{name}_past_rows"),
+        F.count(F.lit(1)).over(past).alias(f"{name}_past_weeks"),
+    )
+
+
+def past_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFrame | None = None) -> DataFrame:
+    """Product and store statistics of earlier weeks on every row."""
+    source = df if source is None else source
+    out = attach(df, entity_history(source, spec.product, "product", spec), [spec.product, spec.week_date])
+    return attach(out, entity_history(source, spec.store, "store", spec), [spec.store, spec.week_date])
 
 
-def product_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFrame | None = None) -> DataFrame:
+def product_features(
+    df: DataFrame,
+    spec: SeriesSpec = DEFAULT,
+    source: DataFrame | None = None,
+    values: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
     """Category, brand, price, performance and rank columns of the product.
 
     ``source`` holds the rows the statistics are taken from; it is ``df`` itself by default, or the
@@ -220,7 +288,7 @@ def product_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFram
     source = df if source is None else source
     out = df
     if "category" in df.columns:
-        out = category_onehot(out, source=source)
+        out = category_onehot(out, source=source, values=(values or {}).get("category"))
     if "unit_price" in df.columns:
         out = price_tiers(out, source=source)
     if "brand" in df.columns:
@@ -233,10 +301,11 @@ def store_features(
     spec: SeriesSpec = DEFAULT,
     stores: DataFrame | None = None,
     source: DataFrame | None = None,
+    values: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Type, location, performance, diversity, activity and rank columns of the store."""
     source = df if source is None else source
-    out = store_type_onehot(df, stores if stores is not None else source)
+    out = store_type_onehot(df, stores if stores is not None else source, values)
     if "zipcode" in df.columns:
         out = zip_density(out, source=source)
     return attach(out, store_table(source, spec), [spec.store])

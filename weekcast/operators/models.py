@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import TAU, add, calendar_basic, cyclic_encoding
 from weekcast.functions.scalars import numeric_columns
+from weekcast.operators.entity import past_features
 from weekcast.operators.evaluate import metrics
 from weekcast.operators.folds import GAP, N_SPLITS, TEST_WEEKS, fold_ids, fold_test, fold_train, temporal_folds
 from weekcast.operators.series import LAGS, WINDOWS, series_features
@@ -47,15 +48,18 @@ def model_frame(
     spec: SeriesSpec = DEFAULT,
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = WINDOWS,
+    entities: bool = True,
 ) -> DataFrame:
-    """Panel with features known before each row's week: calendar, lags, shifted rolling statistics.
+    """Panel with features known before each row's week: calendar, lags, shifted rolling statistics, and with
+    ``entities`` the past of the row's product and store.
 
     Money totals of the same week are left out.
     """
     base = panel.select(*spec.panel_key, spec.week_date, F.col(spec.target).cast("double").alias(spec.target))
     day = F.col(spec.week_date)
     basic = {n: e for n, e in calendar_basic(day).items() if n in ("month", "quarter", "day_of_year")}
-    return series_features(add(base, basic, cyclic_encoding(day)), spec, lags, windows, leak_safe=True)
+    known = past_features(base, spec) if entities else base
+    return series_features(add(known, basic, cyclic_encoding(day)), spec, lags, windows, leak_safe=True)
 
 
 def model_features(frame: DataFrame, spec: SeriesSpec = DEFAULT) -> list[str]:

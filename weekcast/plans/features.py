@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from weekcast.functions.calendar import (
     season_flags,
     trend_features,
 )
-from weekcast.operators.entity import product_features, store_features
+from weekcast.operators.entity import past_features, product_features, store_features
 from weekcast.operators.joins import combine_feature_sets
 from weekcast.operators.series import lags, rolling_stats, series_features
 from weekcast.plans.scale import materialize
@@ -54,13 +54,20 @@ def all_features(
     stores: DataFrame | None = None,
     leak_safe: bool = False,
     cut: bool = False,
+    values: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Temporal, product, store and series features in one plan.
 
-    ``cut`` writes the entity-level result once before the series windows.
+    ``cut`` writes the entity-level result once before the series windows. With ``leak_safe`` a row's features are
+    taken from earlier weeks only: products and stores have the statistics of their past (``past_features``)
+    instead of those of the whole panel, and no ranks, tiers or frequencies over all weeks.
     """
     out = temporal_features(panel, spec, holidays)
-    out = store_features(product_features(out, spec, source=panel), spec, stores, source=panel)
+    if leak_safe:
+        out = past_features(out, spec, source=panel)
+    else:
+        out = product_features(out, spec, panel, values)
+        out = store_features(out, spec, stores, panel, values)
     if cut:
         out = materialize(out, "features", spec.series)
     return series_features(out, spec, leak_safe=leak_safe)
@@ -71,12 +78,13 @@ def all_features_parallel(
     spec: SeriesSpec = DEFAULT,
     holidays: DataFrame | None = None,
     stores: DataFrame | None = None,
+    values: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """The same columns with every set built from the panel on its own and joined on the panel key."""
     return combine_feature_sets(
         temporal_features(panel, spec, holidays),
-        product_features(panel, spec),
-        store_features(panel, spec, stores),
+        product_features(panel, spec, values=values),
+        store_features(panel, spec, stores, values=values),
         series_features(panel, spec),
         spec=spec,
     )

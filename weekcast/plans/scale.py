@@ -114,6 +114,15 @@ def measured_bytes(df: DataFrame) -> int:
     return int(row["n"]) * fixed + int(row["b"] or 0)
 
 
+def _is_computed(df: DataFrame) -> bool:
+    """Whether the plan does more than scan, filter and project."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except AttributeError:
+        return True
+    return any(step in plan for step in ("Aggregate", "Join", "Window", "Sort", "Generate", "Python", "Union"))
+
+
 _measured: dict[tuple[str, int], int] = {}
 
 
@@ -153,8 +162,8 @@ def attach(
     """Join a per-entity table to a fact table without shuffling the fact where that is safe.
 
     Broadcast only where the side is known to fit into ``limit`` bytes: by ``rows``, a number of rows that it can't
-    exceed, or by counting its rows and text. A side whose input is larger than the limit is written out first, so
-    that it is computed once. Beyond the limit it is joined with salted keys. ``salts=1`` asks for a plain shuffled
+    exceed, or by counting its rows and text. A side that is more than a scan of a small table is written out first,
+    so that it is computed once. Beyond the limit it is joined with salted keys. ``salts=1`` asks for a plain shuffled
     join, right where the fact holds few rows per key.
     """
     on = list(on)
@@ -163,7 +172,7 @@ def attach(
         if rows * row_width(side) <= limit:
             return fact.join(F.broadcast(side), on, how)
     planned = planned_bytes(side)
-    if planned is None or planned > limit:
+    if planned is None or planned > limit or _is_computed(side):
         side = materialize(side, "side")
     if limit > 0 and side_bytes(side) <= limit:
         return fact.join(F.broadcast(side), on, how)
