@@ -75,7 +75,7 @@ def test_selection_pipeline_stages(collinear):
 
 def test_spearman_forms_agree(collinear):
     columns = ["f1", "f3", "y"]
-    a = {(r[0], r[1]): r[2] for r in select.spearman_pairs(collinear, columns, []).collect()}
+    a = {(r[0], r[1]): r[2] for r in select.spearman_pairs(collinear, columns).collect()}
     b = {(r[0], r[1]): r[2] for r in select.correlation_matrix(collinear, columns, "spearman").collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 

@@ -103,12 +103,12 @@ def test_retail_dates(spark):
 
 def test_holiday_distances(spark):
     df = spark.createDataFrame([(dt.date(2022, 12, 20),), (dt.date(2022, 12, 25),), (dt.date(2022, 7, 15),)], "d date")
-    rows = calendar.holiday_flags(df, "d", calendar.holiday_table(spark)).orderBy("d").collect()
+    rows = calendar.holiday_flags(df, "d", calendar.holidays_around(df, "d")).orderBy("d").collect()
     july, before, on = rows
     assert (july.days_to_holiday, july.days_since_holiday, july.is_pre_holiday) == (0, 0, 1)
     assert (before.days_to_holiday, before.is_holiday) == (5, 0)
     assert (on.is_holiday, on.days_to_holiday) == (1, 7)
-    strict = calendar.holiday_flags(df, "d", calendar.holiday_table(spark), strict=True).orderBy("d").collect()
+    strict = calendar.holiday_flags(df, "d", calendar.holidays_around(df, "d"), strict=True).orderBy("d").collect()
     assert strict[0].is_pre_holiday == 0 and strict[1].is_pre_holiday == 1
 
 
@@ -137,9 +137,11 @@ def test_optional_columns_may_be_absent(panel):
     assert wide.count() == 40
 
 
-def test_dimension_with_too_many_values_fails(spark):
-    with pytest.raises(ValueError, match="too many"):
-        entity.dimension_values(spark.range(20).selectExpr("string(id) AS v"), "v", limit=10)
+def test_dimension_values_have_no_limit(spark):
+    from weekcast.operators import entity
+
+    values = entity.dimension_values(spark.range(1200).selectExpr("string(id) AS v"), "v")
+    assert len(values) == 1200 and values == sorted(values)
 
 
 def test_folds_are_ordered_and_disjoint(panel):

@@ -139,7 +139,7 @@ HOLIDAY = "is_holiday:i days_to_holiday:i days_since_holiday:i"
        "SELECT o_orderkey, is_holiday, days_to_holiday, days_since_holiday FROM orders JOIN ("
        + DISTANCE_SQL.format(d="o_orderdate", src="orders") + ") k ON CAST(o_orderdate AS DATE) = k.dd")
 def holiday_distance(t: Tables):
-    return calendar.holiday_distance(t.read("orders"), "o_orderdate", calendar.holiday_table(t.spark))
+    return calendar.holiday_distance(t.read("orders"), "o_orderdate", calendar.holidays_around(t.read("orders"), "o_orderdate"))
 
 
 PRE_POST_SQL = """CAST(days_to_holiday <= 7 AS INTEGER) AS is_pre_holiday, CAST(days_since_holiday <= 7 AS INTEGER)
@@ -150,7 +150,7 @@ AS is_post_holiday"""
        f"SELECT o_orderkey, is_holiday, days_to_holiday, days_since_holiday, {PRE_POST_SQL} FROM orders JOIN ("
        + DISTANCE_SQL.format(d="o_orderdate", src="orders") + ") k ON CAST(o_orderdate AS DATE) = k.dd")
 def holiday_flags(t: Tables):
-    return calendar.holiday_flags(t.read("orders"), "o_orderdate", calendar.holiday_table(t.spark))
+    return calendar.holiday_flags(t.read("orders"), "o_orderdate", calendar.holidays_around(t.read("orders"), "o_orderdate"))
 
 
 @query("holiday_flags_strict", "o_orderkey:i is_pre_holiday:i is_post_holiday:i",
@@ -158,7 +158,7 @@ def holiday_flags(t: Tables):
        "CAST(days_since_holiday BETWEEN 1 AND 7 AS INTEGER) AS is_post_holiday FROM orders JOIN ("
        + DISTANCE_SQL.format(d="o_orderdate", src="orders") + ") k ON CAST(o_orderdate AS DATE) = k.dd")
 def holiday_flags_strict(t: Tables):
-    return calendar.holiday_flags(t.read("orders"), "o_orderdate", calendar.holiday_table(t.spark), strict=True)
+    return calendar.holiday_flags(t.read("orders"), "o_orderdate", calendar.holidays_around(t.read("orders"), "o_orderdate"), strict=True)
 
 
 TREND = "days_since_start:i weeks_since_start:i trend:f trend_squared:f annual_trend:f"

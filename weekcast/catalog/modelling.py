@@ -64,7 +64,7 @@ def correlation_matrix(t: Tables):
     return select.correlation_matrix(matrix(t), FEATURES)
 
 
-RANKED = ("quantity", "lag_1", "mean_4")
+RANKED = ("quantity", *FEATURES)
 AVERAGE_RANKS = "(SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in RANKED) + f" FROM {MATRIX}) y"
 SPEARMAN = " UNION ALL ".join(
@@ -74,7 +74,27 @@ SPEARMAN = " UNION ALL ".join(
 
 @query("spearman_pairs", "feature_1:s feature_2:s correlation:f", SPEARMAN)
 def spearman_pairs(t: Tables):
-    return select.spearman_pairs(matrix(t), RANKED, [])
+    return select.spearman_pairs(matrix(t), RANKED)
+
+
+HOLES = ("quantity", "lag_1", "lag_3", "discount")
+HOLED = f"""(SELECT quantity, lag(quantity, 1) OVER w AS lag_1, lag(quantity, 3) OVER w AS lag_3,
+nullif(CAST(week AS DOUBLE), 7) AS discount FROM weekly {SERIES}) h"""
+
+
+@query("spearman_nulls", "feature_1:s feature_2:s correlation:f", " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr(x, y) AS correlation FROM (SELECT "
+    + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {n}" for c, n in ((a, "x"), (b, "y")))
+    + f" FROM {HOLED} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    for i, a in enumerate(HOLES) for b in HOLES[i + 1:]))
+def spearman_nulls(t: Tables):
+    """Columns with missing values and many ties, each pair over its complete rows."""
+    w, q = Window.partitionBy("store", "product").orderBy("week_date", "year", "week"), F.col("quantity")
+    holed = t.weekly_table.select(
+        q, F.lag(q, 1).over(w).alias("lag_1"), F.lag(q, 3).over(w).alias("lag_3"),
+        F.nullif(F.col("week").cast("double"), F.lit(7.0)).alias("discount"),
+    )
+    return select.spearman_pairs(holed, HOLES)
 
 
 @query("spearman_matrix", "feature_1:s feature_2:s correlation:f", SPEARMAN)
@@ -105,7 +125,7 @@ def f_regression_scores(t: Tables):
     return select.f_regression_scores(matrix(t), FEATURES, "quantity")
 
 
-MI_FEATURES = ("week", "lag_1", "mean_4")
+MI_FEATURES = FEATURES
 BIN = "least(floor((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER () * 10), 9)"
 BINNED = "(SELECT " + ", ".join(f"{BIN.format(c=c)} AS {c}" for c in (*MI_FEATURES, "quantity")) + f" FROM {MATRIX}) y"
 MI_SQL = " UNION ALL ".join(

@@ -27,14 +27,17 @@ FORECAST = "week:i store:s product:s quantity:i"
 # -- sources -----------------------------------------------------------------------------------
 
 
-@query("scan_parquet", "l_orderkey:i l_linenumber:i l_quantity:f l_shipdate:d",
-       "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem")
+LINEITEM = ("l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f "
+            "l_returnflag:s l_linestatus:s l_shipdate:d")
+ORDERS = "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f o_orderdate:d o_orderpriority:s"
+
+
+@query("scan_parquet", LINEITEM, "SELECT * FROM lineitem")
 def scan_parquet(t: Tables):
     return parquet.scan_parquet(t.spark, t.path("lineitem"))
 
 
-@query("scan_parquet_dir", "o_orderkey:i o_custkey:i o_totalprice:f o_orderdate:d",
-       "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
+@query("scan_parquet_dir", ORDERS, "SELECT * FROM orders")
 def scan_parquet_dir(t: Tables):
     return parquet.scan_parquet_dir(t.spark, t.folder, "orders.parquet")
 
@@ -42,26 +45,25 @@ def scan_parquet_dir(t: Tables):
 # Tables of the folder that share a set of columns with no other table, with their column count.
 SCHEMA_TABLES = {
     "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
-    "documents": 5, "embeddings": None, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+    "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
 }
 
 
 @query("scan_by_schema", "table:s columns:i rows:i", " UNION ALL ".join(
     f"SELECT '{n}' AS \"table\", {c} AS columns, count(*) AS rows FROM {n}"
-    for n, c in SCHEMA_TABLES.items() if c))
+    for n, c in SCHEMA_TABLES.items()))
 def scan_by_schema(t: Tables):
     # The first column prefix tells which table a signature belongs to.
     first = {
         "r_regionkey": "region", "n_nationkey": "nation", "c_custkey": "customer", "s_suppkey": "supplier",
         "p_partkey": "part", "o_orderkey": "orders", "l_orderkey": "lineitem", "event_id": "events",
         "n_chars": "documents", "html": "pages", "item_id": "benchmark", "toxic": "labels", "conv_id": "conversations",
+        "vec_id": "embeddings",
     }
     out = None
     for signature, frame in parquet.scan_by_schema(t.spark, t.folder).items():
         names = signature.split(",")
-        table = next((v for k, v in first.items() if k in names), None)
-        if table is None:
-            continue
+        table = next(v for k, v in first.items() if k in names)
         row = frame.agg(
             F.lit(table).alias("table"), F.lit(len(names)).alias("columns"), F.count(F.lit(1)).alias("rows")
         )
@@ -69,9 +71,8 @@ def scan_by_schema(t: Tables):
     return out
 
 
-@query("scan_filtered_sorted", "l_orderkey:i l_linenumber:i l_quantity:f l_shipdate:d",
-       "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem "
-       "WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL")
+@query("scan_filtered_sorted", LINEITEM,
+       "SELECT * FROM lineitem WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL")
 def scan_filtered_sorted(t: Tables):
     return parquet.scan_filtered_sorted(t.spark, t.path("lineitem"), "l_quantity", "l_shipdate")
 
@@ -105,7 +106,7 @@ def chunk_function(t: Tables):
     return large.groupBy("store").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("units"))
 
 
-@query("file_inventory", "file:s bytes:i rows:i columns:i")
+@query("file_inventory", "folder:s file:s bytes:i rows:i columns:i schema:s folder_files:i folder_bytes:i")
 def file_inventory(t: Tables):
     return parquet.file_inventory(t.spark, t.path("lineitem"))
 

@@ -123,18 +123,17 @@ def temporal_summary(t: Tables):
 
 
 def _category_sql() -> str:
-    # product and store hold too many values at the checked scale and are dropped by the limits.
     parts = []
     for role, columns, most, keep in (
         ("product", ("product", "store_category", "category"), 100, 10),
         ("store", ("store", "premise", "store_category"), 50, 50),
     ):
         top = _top_sql("panel", columns, keep)
-        parts.append(f"SELECT '{role}' AS role, * FROM ({top}) WHERE distinct_values < {most}")
+        parts.append(f"SELECT '{role}' AS role, *, CAST(distinct_values < {most} AS INTEGER) AS is_category FROM ({top})")
     return " UNION ALL ".join(parts)
 
 
-@query("category_profile", "role:s column:s distinct_values:i rank:i value:s n:i", _category_sql())
+@query("category_profile", "role:s column:s distinct_values:i is_category:i rank:i value:s n:i", _category_sql())
 def category_profile(t: Tables):
     return profile.category_profile(t.panel)
 
@@ -179,8 +178,8 @@ o AS ({_outlier_sql('panel', ('year', 'week', *NUMBERS, 'zipcode', 'subcategory'
 r AS (SELECT week(week_date) AS k, sum(quantity) AS total FROM panel GROUP BY 1)
 SELECT 'NO_MISSING' AS insight, 0.0 AS value UNION ALL SELECT 'TEMPORAL_DATA', 1.0 UNION ALL
 SELECT * FROM (SELECT 'HIGH_SEASONALITY', stddev_samp(total) / avg(total) AS v FROM r) WHERE v > 0.3 UNION ALL
-SELECT 'PRODUCT_CATEGORIES', count(DISTINCT "column") FROM ({_category_sql()}) WHERE role = 'product' UNION ALL
-SELECT 'STORE_CATEGORIES', count(DISTINCT "column") FROM ({_category_sql()}) WHERE role = 'store' UNION ALL
+SELECT 'PRODUCT_CATEGORIES', count(DISTINCT "column") FROM ({_category_sql()}) WHERE role = 'product' AND is_category = 1 UNION ALL
+SELECT 'STORE_CATEGORIES', count(DISTINCT "column") FROM ({_category_sql()}) WHERE role = 'store' AND is_category = 1 UNION ALL
 SELECT * FROM (SELECT 'HIGH_OUTLIERS', CAST(count(*) AS DOUBLE) AS v FROM o WHERE outlier_pct > 5) WHERE v > 0 UNION ALL
 SELECT * FROM (SELECT 'MULTICOLLINEARITY', CAST(count(*) AS DOUBLE) AS v FROM
 ({_pairs_sql('panel', ('year', 'week', *NUMBERS, 'zipcode', 'subcategory', 'unit_price'))}) WHERE abs(correlation) > 0.8) WHERE v > 0""")
@@ -201,12 +200,12 @@ def preprocessing_summary(t: Tables):
 CATEGORIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
-@query("month_category_pivot", "month:i " + " ".join(f"{c.lower()}:f" for c in CATEGORIES),
+@query("month_category_pivot", "month:i " + " ".join(f"{c.lower()}:f" for c in CATEGORIES[:4]) + " other:f",
        "SELECT month(week_date) AS month, " + ", ".join(
-           f"coalesce(sum(quantity) FILTER (category = '{c}'), 0) AS {c.lower()}" for c in CATEGORIES)
-       + " FROM panel GROUP BY 1")
+           f"coalesce(sum(quantity) FILTER (category = '{c}'), 0) AS {c.lower()}" for c in CATEGORIES[:4])
+       + ", coalesce(sum(quantity) FILTER (category IN ('SMALL', 'STANDARD')), 0) AS other FROM panel GROUP BY 1")
 def month_category_pivot(t: Tables):
-    return profile.month_category_pivot(t.panel, CATEGORIES, date="week_date")
+    return profile.month_category_pivot(t.panel, CATEGORIES[:4], date="week_date")
 
 
 @query("totals_by_dim", "dimension:s value:s total:f", " UNION ALL ".join(
@@ -237,7 +236,7 @@ def feature_inventory(t: Tables):
 
 @query("feature_families", "family:s columns:i")
 def feature_families(t: Tables):
-    wide = temporal_features(t.weekly_table, holidays=holiday_table(t.spark))
+    wide = temporal_features(t.weekly_table)
     return profile.feature_inventory(wide).groupBy("family").agg(F.count(F.lit(1)).alias("columns"))
 
 

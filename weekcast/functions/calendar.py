@@ -48,11 +48,19 @@ def holiday_rows(first_year: int, last_year: int) -> list[tuple[dt.date, str]]:
     return sorted(rows)
 
 
-def holiday_table(spark: SparkSession, first_year: int = 1990, last_year: int = 2035) -> DataFrame:
+def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """(date, name) of the national holidays; nine rows a year, so always small."""
     return spark.createDataFrame(holiday_rows(first_year, last_year), "date date, name string")
 
 
+def holidays_around(df: DataFrame, date: str) -> DataFrame:
+    """The national holidays of all years of a date column, and of the years next to them."""
+    first, last = df.agg(F.min(F.year(date)), F.max(F.year(date))).first()
+    if first is None:
+        return holiday_table(df.sparkSession, 2000, 2000)
+    return holiday_table(df.sparkSession, max(first - 1, 1), min(last + 1, 9998))
+
+
 # -- F1-F3, F5, F7-F10 -------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.scalars import col, count_true, date_columns, divide, is_missing, numeric_columns, slug, text_columns
+from weekcast.functions.scalars import col, count_true, date_columns, divide, is_missing, numeric_columns, slug, text_columns, flag
 from weekcast.operators.clean import in_year
 from weekcast.operators.select import pair_correlations
 from weekcast.plans.scale import attach, column_quantiles, with_scalars
@@ -192,7 +192,10 @@ def temporal_summary(profile: DataFrame) -> DataFrame:
 
 
 def category_profile(df: DataFrame, top: int = 10) -> DataFrame:
-    """Value distribution of product-like (<100 distinct) and store-like (<50) text columns."""
+    """Value distribution of product-like and store-like text columns: the most frequent values of each.
+
+    ``is_category`` tells whether a column has as few values as a category (below 100 and 50).
+    """
     roles = []
     for name in text_columns(df):
         if any(w in name.lower() for w in PRODUCT_WORDS):
@@ -213,15 +216,17 @@ def category_profile(df: DataFrame, top: int = 10) -> DataFrame:
     sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
     small = (
         sizes.withColumn("_role", F.explode(F.filter(role, lambda r: r["column"] == F.col("column"))))
-        .select("column", "distinct_values", "_role.role", "_role.most", "_role.keep")
-        .where(F.col("distinct_values") < F.col("most"))
+        .select(
+            "column", "distinct_values", "_role.role", "_role.keep",
+            flag(F.col("distinct_values") < F.col("_role.most")).alias("is_category"),
+        )
     )
     kept = attach(counts, small, ["column"], "inner", rows=len(roles))
     order = Window.partitionBy("role", "column").orderBy(F.desc("n"), F.asc("value"))
     return (
         kept.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= F.col("keep"))
-        .select("role", "column", "distinct_values", "rank", "value", "n")
+        .select("role", "column", "distinct_values", "is_category", "rank", "value", "n")
     )
 
 
@@ -284,7 +289,7 @@ def insight_rules(df: DataFrame, date: str | None = None, target: str | None = N
             out.append(season.where(cv > 0.3).select(F.lit("HIGH_SEASONALITY").alias("insight"), cv.alias("value")))
     else:
         out.append(spark.range(1).select(F.lit("NO_TEMPORAL").alias("insight"), F.lit(1.0).alias("value")))
-    profile = category_profile(df)
+    profile = category_profile(df).where("is_category = 1")
     for role, name in (("product", "PRODUCT_CATEGORIES"), ("store", "STORE_CATEGORIES")):
         n = profile.where(F.col("role") == role).agg(F.count_distinct("column").cast("double").alias("value"))
         out.append(n.where("value > 0").select(F.lit(name).alias("insight"), "value"))
@@ -317,14 +322,12 @@ def preprocessing_summary(before: DataFrame, after: DataFrame, spec: SeriesSpec
 def month_category_pivot(
     df: DataFrame, categories: Sequence[str], date: str = "date", category: str = "category", target: str = "quantity"
 ) -> DataFrame:
-    """Month by category totals, missing combinations as 0. The category list fixes the columns."""
+    """Month by category totals, missing combinations as 0. The category list fixes the columns; what is in none
+    of them, or in no category, is in ``other``."""
     src = df.groupBy(F.month(date).alias("month"))
-    return src.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col(category) == c, F.col(target))), F.lit(0.0)).alias(slug(c))
-            for c in categories
-        ]
-    )
+    listed = F.coalesce(F.col(category).isin(list(categories)), F.lit(False))
+    total = {slug(c): F.col(category) == c for c in categories} | {"other": ~listed}
+    return src.agg(*[F.coalesce(F.sum(F.when(rows, F.col(target))), F.lit(0.0)).alias(n) for n, rows in total.items()])
 
 
 def totals_by_dim(df: DataFrame, dimensions: Sequence[str], target: str = "quantity") -> DataFrame:

@@ -32,9 +32,33 @@ def _long(row: DataFrame, structs: list) -> DataFrame:
 def pair_correlations(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple] | None = None) -> DataFrame:
     """(feature_1, feature_2, correlation) of every pair; NULL where a column is constant.
 
-    All pairs of a pass share one scan with partial aggregation; only k x k numbers are exchanged.
+    All pairs of a pass share one scan with partial aggregation; only k x k numbers are exchanged. Where there are
+    more pairs than an aggregation can hold, those of columns without nulls come from one Gram matrix.
     """
     pairs = list(pairs or combinations(columns, 2))
+    if len(pairs) > PAIRS_PER_PASS:
+        return _many_pairs(df, pairs)
+    return _few_pairs(df, pairs)
+
+
+def _many_pairs(df: DataFrame, pairs: list[tuple]) -> DataFrame:
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    src = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    facts = src.agg(*[F.count_if(col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
+    whole = [c for c in columns if facts[c] == 0]
+    place = {c: i for i, c in enumerate(whole)}
+    rest = [p for p in pairs if not (p[0] in place and p[1] in place)]
+    assembled = VectorAssembler(inputCols=whole, outputCol="_v").transform(src.select(*whole))
+    matrix = Correlation.corr(assembled, "_v").head()[0].toArray()  # columns x columns
+    rows = [
+        (a, b, None if np.isnan(matrix[place[a], place[b]]) else float(matrix[place[a], place[b]]))
+        for a, b in pairs if a in place and b in place
+    ]
+    out = df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
+    return out.unionByName(_few_pairs(df, rest)) if rest else out
+
+
+def _few_pairs(df: DataFrame, pairs: list[tuple]) -> DataFrame:
     src = df.select(*[col(c).cast("double").alias(c) for c in dict.fromkeys(c for p in pairs for c in p)])
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
@@ -83,25 +107,55 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
         return pair_correlations(df, columns)
     if method != "spearman":
         raise ValueError(f"unsupported method: {method}")
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(filled(df, columns))
-    matrix = Correlation.corr(assembled, "_v", "spearman").head()[0].toArray()
-    rows = [
-        (a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for (i, a), (j, b) in combinations(list(enumerate(columns)), 2)
-    ]
-    return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
+    return spearman_pairs(df, columns)
 
 
-def spearman_pairs(df: DataFrame, columns: Sequence[str], row_key: Sequence[str]) -> DataFrame:
-    """Spearman correlation as Pearson over average ranks, ranked without a single-task sort."""
-    ranked = df.select(*row_key, *[col(c).cast("double").alias(c) for c in columns])
-    ranks = value_ranks(unpivot_numeric(ranked, columns), "value", ["column"]).select(
+def _average_ranks(long: DataFrame) -> DataFrame:
+    """Adds ``_rank``, the average rank of each value within its column, to (column, value) rows."""
+    ranks = value_ranks(long, "value", ["column"]).select(
         "column", "value", (F.col("rows_below") + (F.col("peers") + 1) / 2).alias("_rank")
     )
-    for c in columns:
-        table = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("_rank").alias(f"_r_{c}"))
-        ranked = attach(ranked, table, [c])
-    return pair_correlations(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
+    return attach(long, ranks, ["column", "value"], "inner")
+
+
+def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman correlation as Pearson over average ranks, ranked without a single-task sort.
+
+    Each pair is ranked over the rows where both values are present. Columns without nulls are ranked once, in one
+    plan, however many there are; only pairs with nulls are ranked by themselves, and those together in another.
+    """
+    columns = list(columns)
+    rows = materialize(
+        df.select(F.monotonically_increasing_id().alias("_id"), *[col(c).cast("double").alias(c) for c in columns]), "rows"
+    )
+    nulls = rows.agg(*[F.count_if(col(c).isNull()).alias(c) for c in columns]).first() if columns else {}
+    whole = [c for c in columns if nulls[c] == 0]
+    found = None
+    if len(whole) > 1:
+        ranked = _average_ranks(unpivot_numeric(rows, whole, ["_id"]))
+        wide = ranked.groupBy("_id").agg(*[F.max(F.when(F.col("column") == c, F.col("_rank"))).alias(c) for c in whole])
+        found = pair_correlations(wide, whole)
+    partial = [(a, b) for a, b in combinations(columns, 2) if nulls[a] or nulls[b]]
+    if partial:
+        sides = [
+            F.struct(
+                F.lit(i).alias("pair"), F.lit(side).alias("side"), F.concat_ws("|", F.lit(i), F.lit(side)).alias("column"),
+                F.when(col(a).isNotNull() & col(b).isNotNull(), col(c)).alias("value"),
+            )
+            for i, (a, b) in enumerate(partial)
+            for side, c in enumerate((a, b))
+        ]
+        long = rows.select("_id", F.inline(F.array(*sides))).where(F.col("value").isNotNull())
+        both = _average_ranks(long).groupBy("pair", "_id").agg(
+            *[F.max(F.when(F.col("side") == s, F.col("_rank"))).alias(n) for s, n in ((0, "_x"), (1, "_y"))]
+        )
+        by_pair = both.groupBy("pair").agg(correlation(F.col("_x"), F.col("_y")).alias("correlation"))
+        names = F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2")) for a, b in partial])
+        every = df.sparkSession.range(len(partial)).select(F.col("id").cast("int").alias("pair"))
+        part = every.join(by_pair, "pair", "left").select(F.get(names, F.col("pair")).alias("_n"), "correlation")
+        part = part.select("_n.*", "correlation")
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else pair_correlations(df, columns)
 
 
 def high_pairs(matrix: DataFrame, threshold: float, target: str | None = None) -> DataFrame:

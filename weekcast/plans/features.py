@@ -14,7 +14,7 @@ from weekcast.functions.calendar import (
     calendar_flags,
     cyclic_encoding,
     holiday_flags,
-    holiday_table,
+    holidays_around,
     retail_periods,
     season_flags,
     trend_features,
@@ -43,7 +43,7 @@ def temporal_features(
         {"is_black_friday": black_friday_window(day)},
         retail_periods(day),
     )
-    out = holiday_flags(out, date, holidays if holidays is not None else holiday_table(df.sparkSession))
+    out = holiday_flags(out, date, holidays if holidays is not None else holidays_around(df, date))
     return trend_features(out, date)
 
 

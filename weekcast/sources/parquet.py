@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.operators.checks import check_generic, ensure_valid
 from weekcast.operators.clean import standardize_columns
+from weekcast.plans.scale import materialize
 from weekcast.spec import DEFAULT, SeriesSpec
 
 
@@ -20,10 +23,24 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_parquet_dir(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """All parquet files below a directory that share a schema; unreadable files are skipped."""
-    reader = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", pattern).parquet(path)
+def scan_parquet_dir(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", skip_unreadable: bool = True
+) -> DataFrame:
+    """All parquet files below a directory that share a schema. Unreadable files are skipped, and reported by
+    ``unreadable_files``; without ``skip_unreadable`` they fail the read."""
+    reader = spark.read.option("ignoreCorruptFiles", skip_unreadable).option("recursiveFileLookup", True)
+    reader = reader.option("pathGlobFilter", pattern)
+    try:
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if not skip_unreadable or error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return reader.option("mergeSchema", True).parquet(path)  # the file taken for the schema was unreadable
+
+
+def unreadable_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path) of the files below a directory that are no parquet files: what a scan of it leaves out."""
+    return file_signatures(spark, path, pattern).where(F.col("signature").isNull()).select("path")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
@@ -41,11 +58,12 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
         for path in batch["path"]:
+            # A scheme that Arrow doesn't know raises; it is no unreadable file.
+            filesystem, name = fs.FileSystem.from_uri(_uri(path))
             try:
-                filesystem, name = fs.FileSystem.from_uri(_uri(path))
                 with filesystem.open_input_file(name) as handle:
                     found.append(",".join(sorted(pq.ParquetFile(handle).schema_arrow.names)))
-            except (OSError, ValueError):
+            except (OSError, pa.ArrowInvalid):
                 found.append(None)
         yield pd.DataFrame({"path": batch["path"], "signature": found})
 
@@ -57,18 +75,29 @@ def file_signatures(spark: SparkSession, path: str, pattern: str = "*.parquet")
 
 
 def scan_by_schema(spark: SparkSession, path: str, pattern: str = "*.parquet") -> dict[str, DataFrame]:
-    """One lazy table per distinct set of columns, keyed by that set.
+    """One lazy table per distinct set of columns, keyed by that set. Unreadable files fail the scan.
 
-    Only the file list and the footers' column names reach the driver.
+    The driver learns of folders, and of single files only in folders that hold several sets.
     """
-    rows = (
-        file_signatures(spark, path, pattern)
-        .where(F.col("signature").isNotNull())
-        .groupBy("signature")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-        .collect()
-    )
-    return {r["signature"]: spark.read.parquet(*r["paths"]) for r in sorted(rows)}
+    files = materialize(file_signatures(spark, path, pattern), "signatures")
+    unreadable = [r["path"] for r in files.where(F.col("signature").isNull()).limit(3).collect()]
+    if unreadable:
+        raise ValueError(f"no parquet files: {', '.join(unreadable)}, ...")
+    files = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    folders = files.groupBy("folder").agg(F.min("signature").alias("a"), F.max("signature").alias("b")).collect()
+    ordered = sorted(f"{r['folder']}/" for r in folders)
+    parents = {a for a, b in zip(ordered, ordered[1:], strict=False) if b.startswith(a)}
+    places: dict[str, list[str]] = {}
+    mixed = []
+    for row in folders:
+        if row["a"] == row["b"] and f"{row['folder']}/" not in parents:
+            places.setdefault(row["a"], []).append(row["folder"])
+        else:
+            mixed.append(row["folder"])
+    for row in files.where(F.col("folder").isin(mixed)).select("signature", "path").collect() if mixed else []:
+        places.setdefault(row["signature"], []).append(row["path"])
+    reader = spark.read.option("pathGlobFilter", pattern)
+    return {signature: reader.parquet(*sorted(found)) for signature, found in sorted(places.items())}
 
 
 def route_by_role(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -105,25 +134,30 @@ def scan_filtered_sorted(spark: SparkSession, path: str, target: str = "quantity
 def map_chunks(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, rows: int | None = None
 ) -> DataFrame:
-    """Apply a user function to batches of rows inside tasks."""
+    """Apply a user function to batches of rows inside tasks, of at most ``rows`` rows where that is given."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield fn(batch)
+            step = rows or max(len(batch), 1)
+            for start in range(0, len(batch), step):
+                yield fn(batch.iloc[start : start + step])
 
-    if rows is not None:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInPandas(run, schema)
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, rows, columns) of a table's files; row counts come from footers where possible."""
+    """(folder, file, bytes, rows, columns, schema, folder_files, folder_bytes) of a table's files."""
     table = spark.read.parquet(path)
     meta = table.select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")
+        F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_size").alias("bytes"),
     )
-    return meta.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "columns", F.lit(len(table.columns))
+    files = meta.groupBy("folder", "file", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+    totals = files.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("folder_files"), F.sum("bytes").alias("folder_bytes")
     )
+    described = files.withColumns({"columns": F.lit(len(table.columns)), "schema": F.lit(table.schema.simpleString())})
+    return described.join(totals, "folder")
 
 
 def load_validated(
