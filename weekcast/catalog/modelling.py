@@ -166,6 +166,28 @@ def vif(t: Tables):
     return select.vif(matrix(t), FEATURES)
 
 
+@query("vif_pair", "feature:s vif:f is_high:i",
+       f"""SELECT unnest(['lag_1', 'mean_4']) AS feature, 1 / (1 - r) AS vif, CAST(1 / (1 - r) > 10 AS INTEGER) AS is_high
+FROM (SELECT power(sum(lag_1 * mean_4), 2) / (sum(lag_1 * lag_1) * sum(mean_4 * mean_4)) AS r FROM {MATRIX})""")
+def vif_pair(t: Tables):
+    return select.vif(matrix(t), ["lag_1", "mean_4"])
+
+
+@query("rfe_pair", "feature:s ranking:i selected:i",
+       f"""WITH s AS (SELECT var_pop(lag_1) AS aa, var_pop(mean_4) AS bb, covar_pop(lag_1, mean_4) AS ab,
+  covar_pop(lag_1, quantity) AS ay, covar_pop(mean_4, quantity) AS b_y FROM {MATRIX}),
+w AS (SELECT abs(ay * bb - b_y * ab) AS lag_1, abs(b_y * aa - ay * ab) AS mean_4 FROM s)
+SELECT feature, CASE WHEN best THEN 1 ELSE 2 END AS ranking, CAST(best AS INTEGER) AS selected FROM
+(SELECT 'lag_1' AS feature, lag_1 >= mean_4 AS best FROM w UNION ALL SELECT 'mean_4', lag_1 < mean_4 FROM w)""")
+def rfe_pair(t: Tables):
+    return select.rfe(matrix(t), ["lag_1", "mean_4"], "quantity", 1, "linear_regression")
+
+
+@query("rfe_forest", "feature:s ranking:i selected:i")
+def rfe_forest(t: Tables):
+    return select.rfe(matrix(t), FEATURES, "quantity", 4, step=2)
+
+
 @query("selection_pipeline", "feature:s stage:s importance:f")
 def selection_pipeline(t: Tables):
     return select.selection_pipeline(matrix(t), FEATURES, "quantity", selection="kbest", k=4, trees=5, depth=4)
@@ -448,6 +470,27 @@ def score(t: Tables):
     return forecast.score(frame, model)
 
 
+LINE = """(SELECT regr_intercept(quantity, p_ma4) AS a, regr_slope(quantity, p_ma4) AS b FROM scored) c"""
+
+
+def _line(t: Tables):
+    scored = materialize(t.scored, "scored")
+    return scored, models.fit_linear(scored, ["p_ma4"])
+
+
+@query("score_linear", f"{KEY} prediction:f", f"SELECT {KEY_SQL}, c.a + c.b * p_ma4 AS prediction FROM scored, {LINE}")
+def score_linear(t: Tables):
+    return forecast.score(*_line(t))
+
+
+@query("save_load_linear", f"{KEY} prediction:f", f"SELECT {KEY_SQL}, c.a + c.b * p_ma4 AS prediction FROM scored, {LINE}")
+def save_load_linear(t: Tables):
+    frame, model = _line(t)
+    path = scratch_path(t.spark, "model")
+    models.save_model(model, path)
+    return models.predict(models.load_model(path), frame)
+
+
 @query("generate_forecast", "week:i store:s product:s quantity:i")
 def generate_forecast(t: Tables):
     """Newest row of each series and week, scored by a tree, for the weeks of the horizon."""
@@ -661,3 +704,21 @@ def streamed(t: Tables):
     run = stream_score(t.spark, source, frame.schema, model, target, thresholds=limits, files_per_batch=4)
     run.awaitTermination()
     return t.spark.read.parquet(target)
+
+
+@query("stream_linear", "week:i store:s product:s quantity:i",
+       f"""WITH s AS (SELECT week, store, product, c.a + c.b * p_ma4 AS p FROM scored, {LINE}),
+q AS (SELECT quantile_cont(p, 0.95) AS p95, quantile_cont(p, 0.99) AS p99 FROM s)
+SELECT week, store, product, CAST(round_even(CASE WHEN greatest(p, 0) > p99 THEN p95 ELSE greatest(p, 0) END, 0) AS INTEGER)
+AS quantity FROM s, q""")
+def stream_linear(t: Tables):
+    """Every week of the panel scored as a stream by a line, thresholds taken once."""
+    frame, model = _line(t)
+    source, target = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "scored")
+    frame.repartition(6).write.parquet(source)
+    limits = materialize(forecast.extreme_thresholds(models.predict(model, frame)), "limits")
+    run = stream_score(
+        t.spark, source, frame.schema, model, target, thresholds=limits, weeks=None, files_per_batch=2
+    )
+    run.awaitTermination()
+    return t.spark.read.parquet(target)

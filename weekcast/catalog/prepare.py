@@ -401,7 +401,9 @@ def drop_incomplete(t: Tables):
     return clean.drop_incomplete(clean.cast_types(clean.standardize_columns(t.raw)))
 
 
-@query("sample_rows", PANEL)
+@query("sample_rows", PANEL,
+       "SELECT * FROM weekly WHERE CAST('0x' || substr(md5(concat_ws('|', store, product, year, week, 42)), 1, 8) AS BIGINT) "
+       "/ 4294967296.0 < 0.2")
 def sample_rows(t: Tables):
     return clean.sample_rows(t.weekly, 0.2, keys=["store", "product", "year", "week"])
 

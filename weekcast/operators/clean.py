@@ -241,8 +241,9 @@ def sample_rows(df: DataFrame, fraction: float, keys: Sequence[str] | None = Non
     whatever the partitioning."""
     if keys is None:
         return df.sample(fraction=fraction, seed=seed)
-    slots = 1_000_000
-    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(slots)) < int(round(fraction * slots)))
+    text = F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed)))
+    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return df.where(draw < float(fraction))
 
 
 def interaction_features(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
