@@ -9,7 +9,8 @@ from tests.oracle import compare, duck
 from weekcast.catalog.registry import REGISTRY, tidy
 from weekcast.catalog.tables import Tables
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in REGISTRY}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")
