@@ -173,8 +173,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, **col
     trees = build_trees(rows, shards)
     asked = rows.where(is_query).select("dim", F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     home = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(shards)).cast("int")
-    # Blocks of queries: a block is expected to hold BLOCK_QUERIES of them in each shard.
-    blocks = max(1, -(-total // BLOCK_QUERIES))
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     spread = F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int")
     first = asked.select("dim", home.alias("shard"), F.lit(0).alias("part"), "query_id", "q",
                          F.lit(None).cast("double").alias("floor"))
