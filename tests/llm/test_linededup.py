@@ -46,9 +46,10 @@ def test_windows_overlap_and_long_text(spark):
 
 def test_repeated_rows_and_clashing_columns(spark):
     rows = documents(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (2, "zero\na\nb\nc")],
-                     ["1 AS _doc", "2 AS _hash", "3 AS spans", "4 AS at", "5 AS w1", "6 AS first"])
+                     ["1 AS _row", "1 AS _text", "9 AS removed_lines", "1 AS _doc", "2 AS _hash", "3 AS spans", "4 AS at", "5 AS w1", "6 AS first"])
     out = dedup_lines(rows)
-    assert out.columns == [*rows.columns, "removed_lines"]
+    assert out.columns == [*(c for c in rows.columns if c != "removed_lines"), "removed_lines"]
+    assert {r.removed_lines for r in out.collect()} == {0, 3}
     assert sorted((r.doc_id, r.text, r.spans) for r in out.collect()) == [
         (1, "a\nb\nc", 3), (1, "a\nb\nc", 3), (2, "", 3), (2, "zero", 3),
     ]

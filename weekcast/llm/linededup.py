@@ -82,7 +82,8 @@ def dedup_lines(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = "removed_lines",
     size: int = WINDOW,
 ) -> DataFrame:
-    """``df`` with later occurrences of passages taken out of ``text``, and how many lines went (``removed``)."""
+    """``df`` with later occurrences of passages taken out of ``text``, and how many lines went (``removed``; an
+    input column of that name is replaced)."""
     rows = keyed(df, doc_id, text)
     spans = later_spans(rows, size)
     same = [rows["_doc"].eqNullSafe(spans["_doc"]), rows["_hash"] == spans["_hash"]]
@@ -93,7 +94,7 @@ def dedup_lines(
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a + 1)))
     gone = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
     new = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    columns = [new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns]
+    columns = [new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns if c != removed]
     if removed:
         columns.append(F.coalesce(gone, F.lit(0)).cast("long").alias(removed))
     return joined.select(*columns)

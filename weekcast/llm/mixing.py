@@ -113,7 +113,8 @@ def mix_documents(
     df: DataFrame, topic: Column | None = None, targets: Mapping[str, DataFrame] | None = None,
     budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED, keep_figures: bool = True,
 ) -> DataFrame:
-    """The sampled rows of ``df``; with ``keep_figures`` also topic, tokens, factor and probability."""
+    """The sampled rows of ``df``; with ``keep_figures`` also topic, tokens, factor and probability, in place of
+    input columns of these names."""
     names = {d: f"_{d}" for d in DIMENSIONS}
     values = {
         "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
@@ -130,8 +131,10 @@ def mix_documents(
     cells = mixture(rows.drop("_row", "_u"), list(names.values()), "_tokens", inner, budget, rounds)
     cells = materialize(cells.select(*names.values(), "factor", "probability"), "cells")
     sampled = attach(rows, cells, list(names.values()), "inner").where(F.col("_u") < F.col("probability"))
-    figures = [F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "factor", "probability"]
-    return sampled.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns], *(figures if keep_figures else []))
+    figures = {"topic": "_topic", "tokens": "_tokens", "factor": "factor", "probability": "probability"}
+    figures = figures if keep_figures else {}
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in figures]
+    return sampled.select(*kept, *[F.col(c).alias(n) for n, c in figures.items()])
 
 
 def sql(documents: str = "documents") -> str:
