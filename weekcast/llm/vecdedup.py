@@ -81,9 +81,15 @@ def usable(vector: str = "embedding"):
     return F.col(vector).isNotNull() & good & F.exists(vector, lambda x: x != 0)
 
 
+def component_type(groups: DataFrame) -> str:
+    """How components travel: as they are stored, so nothing is lost and nothing added."""
+    return "<f4" if groups.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def _emit(groups: DataFrame, cosine: float, payload: bool) -> DataFrame:
     """Rows of every vector's cells; with ``payload`` also the vector as bytes."""
     kind = groups.schema["label"].dataType.simpleString()
+    stored = component_type(groups)
 
     def run(batches):
         for batch in batches:
@@ -91,7 +97,7 @@ def _emit(groups: DataFrame, cosine: float, payload: bool) -> DataFrame:
             frame["dim"] = [len(v) for v in frame["vector"]]
             for dim, part in frame.groupby("dim"):
                 vectors = np.array(part["vector"].tolist(), dtype=np.float64)
-                raw = [v.tobytes() for v in vectors] if payload else None
+                raw = [v.tobytes() for v in vectors.astype(stored)] if payload else None
                 labels = pa.array(part["label"].to_numpy(), batch.schema.field("label").type)
                 for block, cells, home in cells_of(vectors, cosine):
                     n = len(part)
@@ -111,9 +117,11 @@ def _emit(groups: DataFrame, cosine: float, payload: bool) -> DataFrame:
     return arrow_map(groups.select("label", "vector", "rep", "copies"), run, schema + more * payload)
 
 
-def _compare(a: int, b: int, same: bool, frame: pd.DataFrame, block: int, cosine: float) -> pd.DataFrame:
+def _compare(
+    a: int, b: int, same: bool, frame: pd.DataFrame, block: int, cosine: float, stored: str
+) -> pd.DataFrame:
     """Links between the rows of blocks ``a`` and ``b`` of a cell: (rep, root, links) of each linked row."""
-    vectors = np.frombuffer(b"".join(frame["vector"]), np.float64).reshape(len(frame), -1)
+    vectors = np.frombuffer(b"".join(frame["vector"]), stored).astype(np.float64).reshape(len(frame), -1)
     dim = vectors.shape[1]
     bounds, shares = block_bounds(dim), block_budgets(dim, cosine)
     turned, norms = rotated(vectors), np.sqrt((vectors * vectors).sum(axis=1))
@@ -163,9 +171,11 @@ def vector_links(groups: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
 
+    stored = component_type(groups)
+
     def compare(key, frame):
         block, i, j = key[2], key[4], key[5]
-        return _compare(i, j, i == j, frame, block, cosine)
+        return _compare(i, j, i == j, frame, block, cosine, stored)
 
     kept = rows.select(*place, "i", "j", "home", "rep", "copies", "vector", "part")
     return kept.groupBy(*place, "i", "j").applyInPandas(compare, "rep bigint, root bigint, links bigint")
