@@ -157,8 +157,9 @@ def rotate(values: np.ndarray, by: int) -> np.ndarray:
     return values << np.uint64(by) | values >> np.uint64(BITS - by) if by else values
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root): links among distinct fingerprints (column ``fp``) that connect what is within ``max_bits``."""
+def deal(prints: DataFrame, max_bits: int, split: str = "fp") -> DataFrame:
+    """(turn, place, i, j, own) beside the columns of ``prints``: what is within ``max_bits`` meets in some group of
+    turn, place, i and j. Crowded segments are split into blocks by the column ``split``."""
     ship_package(prints.sparkSession)
     lead = BITS // (max_bits + 1)
     tasks = max(1, math.ceil(prints.count() * (max_bits + 1) / TASK_ROWS))
@@ -167,7 +168,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         return F.shiftrightunsigned("fp", BITS - lead * (turn + 1)).bitwiseAND(F.lit((1 << lead) - 1).cast("long"))
 
     turns = [F.struct(F.lit(t).alias("turn"), segment(t).alias("segment")) for t in range(max_bits + 1)]
-    dealt = prints.select("fp", F.inline(F.array(*turns)))
+    dealt = prints.select(*prints.columns, F.inline(F.array(*turns)))
     # At most (max_bits + 1) * 2 ** lead rows, of which only crowded segments stay.
     crowded = dealt.groupBy("turn", "segment").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
     crowded = materialize(
@@ -176,12 +177,18 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     placed = dealt.join(crowded, ["turn", "segment"], "left")
     shared = F.pmod(F.xxhash64("segment"), F.lit(tasks))
     placed = placed.select(
-        "fp", "turn", "blocks",
+        *prints.columns, "turn", "blocks",
         F.when(F.col("blocks").isNull(), shared).otherwise(F.col("segment") + tasks).alias("place"),
-        F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")), F.lit(0)).cast("int").alias("own"),
+        F.coalesce(F.pmod(F.xxhash64(split), F.col("blocks")), F.lit(0)).cast("int").alias("own"),
     )
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     pairs = placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return pairs.select("turn", "place", "i", "j", "own", *prints.columns)
+
+
+def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root): links among distinct fingerprints (column ``fp``) that connect what is within ``max_bits``."""
+    lead = BITS // (max_bits + 1)
 
     def walk(key, frame):
         turn, _, i, j = key
@@ -197,7 +204,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         signed = rotate(points, BITS - lead * turn).view(np.int64)
         return pd.DataFrame({"fp": signed[linked], "root": signed[forest.root[linked]]})
 
-    pairs = pairs.select("turn", "place", "i", "j", "fp", "own")
+    pairs = deal(prints.select("fp"), max_bits)
     return pairs.groupBy("turn", "place", "i", "j").applyInPandas(walk, "fp bigint, root bigint")
 
 
