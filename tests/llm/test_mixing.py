@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents
-from weekcast.llm.mixing import calibrate, mix_documents, rake, target_shares
+from weekcast.llm.mixing import calibrate, expected_shares, mix_documents, rake, target_shares
 
 CELLS = [("a", "x", "1", 900), ("a", "y", "1", 50), ("b", "x", "2", 200), ("b", "y", "1", 30), ("c", "x", "1", 5), ("c", "y", "2", 70)]
 DIMENSIONS = ("source", "lang", "topic")
@@ -66,3 +66,26 @@ def test_nulls_repeats_and_clashing_columns(spark):
     out = mix_documents(rows, budget=1.0)
     assert out.count() == 4 and out.columns == [*(c for c in rows.columns if c not in ("factor", "topic")), "topic", "tokens", "factor", "probability"]
     assert mix_documents(rows, budget=0.5).where("doc_id = 1").count() in (0, 2)
+
+
+def test_achieved_shares_beside_targets(spark, folder):
+    """The reported shares are those of the probabilities; a missed target is one that the budget rules out."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    report = {(r.dimension, r.value): r for r in expected_shares(docs).collect()}
+    for d in DIMENSIONS:
+        rows = [r for k, r in report.items() if k[0] == d]
+        assert sum(r.achieved for r in rows) == pytest.approx(1) and sum(r.target for r in rows) == pytest.approx(1)
+        assert all(r.achieved <= r.reachable + 1e-9 for r in rows)
+    short = report["topic", "short"]
+    assert short.target > short.reachable >= short.achieved
+    low = expected_shares(docs, budget=0.01).collect()
+    assert all(r.achieved == pytest.approx(r.target, abs=0.01) for r in low)
+
+
+def test_given_targets_are_reported(spark):
+    rows = documents(spark, ["a b c", "d e f"]).withColumn("source", F.when(F.col("doc_id") == 0, "s").otherwise("t"))
+    to = {"source": spark.createDataFrame([("s", 0.75), ("t", 0.25)], "source string, target double")}
+    for budget, want in ((0.5, 0.75), (0.8, 0.625)):
+        got = {r.value: r for r in expected_shares(rows, targets=to, budget=budget).where("dimension = 'source'").collect()}
+        assert got["s"].target == 0.75 and got["s"].achieved == pytest.approx(want)
+        assert got["s"].reachable == pytest.approx(min(1, 0.5 / budget))

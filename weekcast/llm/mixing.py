@@ -2,7 +2,9 @@
 
 Tokens are counted per cell (source, language, topic). Iterative proportional fitting rakes the cell weights to
 the target share of each dimension in turn. The raked weight over the count is a cell's factor; documents are
-sampled with probability min(1, c * factor), where c is calibrated so that the expected tokens are the budget.
+sampled with probability min(1, c * factor), where c is calibrated so that the expected tokens are the budget. The
+raked weights meet the targets; the sample meets them only as far as no cell is kept whole. ``expected_shares`` gives
+what it achieves beside each target, and the most that the budget allows.
 
 Only the table of cells, one row per combination that occurs, takes part in the fitting. A draw is a hash of the
 id and a seed, so it is the same in every run and on every retry.
@@ -15,6 +17,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,12 +112,7 @@ def mixture(
     return calibrate(raked, budget)
 
 
-def mix_documents(
-    df: DataFrame, topic: Column | None = None, targets: Mapping[str, DataFrame] | None = None,
-    budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED, keep_figures: bool = True,
-) -> DataFrame:
-    """The sampled rows of ``df``; with ``keep_figures`` also topic, tokens, factor and probability, in place of
-    input columns of these names."""
+def _described(df: DataFrame, topic: Column | None, seed: str) -> tuple[DataFrame, dict[str, str]]:
     names = {d: f"_{d}" for d in DIMENSIONS}
     values = {
         "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
@@ -127,7 +125,41 @@ def mix_documents(
         token_count(F.col("text")).alias("_tokens"),
         uniform(F.col("doc_id"), seed).alias("_u"),
     )
-    inner = {names[d]: t for d, t in (targets or {}).items()}
+    return rows, names
+
+
+def expected_shares(
+    df: DataFrame, topic: Column | None = None, targets: Mapping[str, DataFrame] | None = None,
+    budget: float = BUDGET, rounds: int = ROUNDS,
+) -> DataFrame:
+    """(dimension, value, target, achieved, reachable): shares of the expected tokens of the sample that
+    ``mix_documents`` draws, beside their targets. ``reachable`` is the largest share that any sample of this budget
+    can have, with all of the value's tokens kept; a target above it is infeasible, and meeting all targets takes
+    a budget of at most the smallest reachable * budget / target."""
+    rows, names = _described(df, topic, SEED)
+    inner = {names[d]: t.withColumnRenamed(d, names[d]) for d, t in (targets or {}).items()}
+    cells = materialize(mixture(rows.drop("_row", "_u"), list(names.values()), "_tokens", inner, budget, rounds), "cells")
+    everything, parts = Window.partitionBy(), []
+    for d, name in names.items():
+        to = inner[name] if name in inner else target_shares(cells, name)
+        sums = cells.groupBy(name).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("probability")).alias("kept"))
+        sums = sums.select(
+            name, (F.col("kept") / F.sum("kept").over(everything)).alias("achieved"),
+            F.least(F.lit(1.0), F.col("n") / (F.lit(float(budget)) * F.sum("n").over(everything))).alias("reachable"),
+        )
+        found = sums.join(to, name)
+        parts.append(found.select(F.lit(d).alias("dimension"), F.col(name).alias("value"), "target", "achieved", "reachable"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mix_documents(
+    df: DataFrame, topic: Column | None = None, targets: Mapping[str, DataFrame] | None = None,
+    budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED, keep_figures: bool = True,
+) -> DataFrame:
+    """The sampled rows of ``df``; with ``keep_figures`` also topic, tokens, factor and probability, in place of
+    input columns of these names. Targets that the budget does not allow are missed: see ``expected_shares``."""
+    rows, names = _described(df, topic, seed)
+    inner = {names[d]: t.withColumnRenamed(d, names[d]) for d, t in (targets or {}).items()}
     cells = mixture(rows.drop("_row", "_u"), list(names.values()), "_tokens", inner, budget, rounds)
     cells = materialize(cells.select(*names.values(), "factor", "probability"), "cells")
     sampled = attach(rows, cells, list(names.values()), "inner").where(F.col("_u") < F.col("probability"))

@@ -33,7 +33,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents sampled so that their tokens meet the target shares of source, language and topic."""
+    """Documents sampled towards the target shares of source, language and topic, as far as 80 % of the tokens allow."""
     mixed = mixing.mix_documents(load(spark, sf_dir, "documents"))
     return mixed.select(
         "doc_id", "topic", "tokens", F.round("factor", 9).alias("factor"), F.round("probability", 9).alias("probability")
