@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as pipeline
 from tests.llm.helpers import documents
 from tests.llm.test_linededup import plain as plain_lines
-from tests.llm.test_simhash import plain_components
+from tests.llm.test_neardup import plain_kept
 from weekcast.llm.common import materialize
 from weekcast.llm.mixing import mix_documents
 from weekcast.llm.quality import classify_quality
@@ -45,8 +45,7 @@ def test_lines_stage(stages):
 
 
 def test_simhash_stage(stages):
-    _, found = plain_components(texts(stages[2]))
-    assert {r.doc_id for r in stages[3].collect()} == set(found.values())
+    assert {r.doc_id for r in stages[3].collect()} == plain_kept(texts(stages[2]))
 
 
 def test_mixing_stage(stages):
