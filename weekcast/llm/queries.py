@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import bpe, chat, credentials, knn, linededup, mixing, quality, simhash, toxicity, vecdedup
+from weekcast.llm import bpe, chat, credentials, knn, linededup, mixing, quality, repeats, simhash, toxicity, vecdedup
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,6 +77,12 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of which are given a periodic tail by a hash of their id."""
+    docs = load(spark, sf_dir, "documents")
+    return repeats.run_digests(repeats.periodic_runs(docs, salt=F.crc32(F.col("doc_id").cast("string"))))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_secrets": op9_secrets,
     "op10_vectors": op10_vectors,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {
