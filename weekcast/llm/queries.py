@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import bpe, chat, credentials, knn, linededup, mixing, quality, repeats, simhash, toxicity, vecdedup
+from weekcast.llm import bpe, chat, credentials, interpolation, knn, linededup, mixing, quality, repeats, simhash, toxicity, vecdedup, whitening
 from weekcast.llm.common import load
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,6 +77,17 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector, fitted on the distinct ones."""
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by an interpolated model of those that are not held out."""
+    docs = load(spark, sf_dir, "documents")
+    return interpolation.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, some of which are given a periodic tail by a hash of their id."""
     docs = load(spark, sf_dir, "documents")
@@ -94,6 +105,8 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_secrets": op9_secrets,
     "op10_vectors": op10_vectors,
+    "op11_whitening": op11_whitening,
+    "op12_scores": op12_scores,
     "op13_runs": op13_runs,
 }
 
