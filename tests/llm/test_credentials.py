@@ -6,7 +6,10 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import documents
+from weekcast.llm import credentials
 from weekcast.llm.credentials import KINDS, SCOPE, scan_secrets, span_digests
 
 ASSIGN = re.compile(
@@ -81,3 +84,17 @@ def test_repeats_null_ids_and_clashing_columns(spark):
     rows = documents(spark, [(1, text), (1, text), (None, text), (1, "other")], ["1 AS base", "2 AS weak", "3 AS _key", "4 AS found"])
     found = span_digests(scan_secrets(rows)).collect()
     assert sorted((r.doc_id or 0, r.spans.count(",")) for r in found) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+
+
+def test_many_matches_in_a_text(spark):
+    """A log of 100,000 secrets, and texts around the number of matches that are placed together."""
+    import time
+
+    one = "token=abcdef1 "
+    for n in (1, 127, 128, 129, 257):
+        found = credentials.scan_secrets(documents(spark, ["é " + one * n])).first()
+        assert [(s.start, s.end) for s in found.base] == [(2 + 14 * i, 15 + 14 * i) for i in range(n)]
+    began = time.time()
+    found = credentials.scan_secrets(documents(spark, [one * 100_000])).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).first()
+    assert (found.n, found["last"].start) == (100_000, 14 * 99_999)
+    assert time.time() - began < 30

@@ -58,6 +58,8 @@ KINDS = (
 BASE = tuple(k for k in KINDS if k.wants is None)
 WEAK = tuple(k for k in KINDS if k.wants is not None)
 SCOPE = 200
+# Matches of a text that are placed together; a text of n matches takes n times this many steps, and (n / this)^2.
+RUN_MATCHES = 128
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -81,8 +83,31 @@ def spans_of(text: Column, kind: Kind) -> Column:
         found = F.when(s["ok"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
         return F.struct((start + s["hit"]).alias("at"), found.alias("found"))
 
+    def place(state, run):
+        placed = F.struct(state["at"].alias("before"), run["found"].alias("found"))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["runs"], F.array(placed)).alias("runs"))
+
+    def moved(run):
+        return F.transform(run["found"], lambda s: F.struct(
+            (s["start"] + run["before"]).alias("start"), s["rank"].alias("rank"), (s["end"] + run["before"]).alias("end")
+        ))
+
+    # An array that grows is copied at every step, so positions are counted from the start of runs of matches, and the
+    # runs are moved to their places afterwards.
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.when(text.rlike(kind.pattern), F.aggregate(steps, start, step, lambda s: s["found"])).otherwise(empty)
+
+    def run(every, i):
+        return F.aggregate(F.slice(every, i * RUN_MATCHES + 1, F.lit(RUN_MATCHES)), start, step)
+
+    def in_runs(every):
+        last = F.ceil(F.size(every) / F.lit(RUN_MATCHES)).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: run(every, i))
+
+    # As the argument of a function, the array of matches is computed once, not for every run.
+    runs = F.get(F.transform(F.array(steps), in_runs), F.lit(0))
+    nothing = F.array().cast(f"array<struct<before:int,found:array<{SPAN}>>>")
+    placed = F.aggregate(runs, F.struct(F.lit(0).alias("at"), nothing.alias("runs")), place, lambda s: s["runs"])
+    return F.when(text.rlike(kind.pattern), F.flatten(F.transform(placed, moved))).otherwise(empty)
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
