@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +118,30 @@ def test_boxes_hold_their_points(leaf):
         inside = tree.rows[tree.start[node] : tree.end[node]]
         assert (inside.min(axis=0) == tree.low[node]).all() and (inside.max(axis=0) == tree.high[node]).all()
         assert tree.bounds(query)[0, node] >= (inside @ query[0]).max()
+
+
+def exact_top(rows, k=20):
+    """All scores in whole numbers of any size, held to 64 bits."""
+    top = {}
+    whole = {i: [max(-(2**63), min(2**63 - 1, math.floor(64.0 * float(c)))) for c in v] for i, v in rows}
+    for i, v in whole.items():
+        if i % 20 == 0:
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in whole.items() if j != i)
+            top[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
+    return top
+
+
+@pytest.mark.parametrize("largest", [2.0**14, 2.0**15, 1e6, 1e9, 1e20])
+def test_components_of_any_size(spark, monkeypatch, largest):
+    """A few vectors with huge components lead the lists, and their own lists are right."""
+    monkeypatch.setattr(knn, "SHARD_ROWS", 40)
+    draw = np.random.default_rng(1)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(110)]
+    for i in (3, 20, 41, 60, 77):
+        rows[i] = (i, (draw.normal(size=4) * largest).tolist())
+    rows[50] = (50, [largest, 1.0, 0.0, -largest])
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in knn.top_k(frame, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {i: sorted(f) for i, f in found.items()} == exact_top(rows)

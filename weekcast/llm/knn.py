@@ -8,10 +8,13 @@ there goes along to all other shards, where only points that reach it are return
 
 Queries meet shards in blocks, so a task holds one tree and a bounded number of queries.
 
-Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id or
-with components over ``LIMIT`` after scaling (their scores would not be exact). Only vectors of equal length are
-compared. Of rows with one id the smallest vector counts. Ties go to smaller ids. Other columns are ignored; an
-empty table gives an empty result.
+Scores are exact whatever the size of the components: where sums of products could pass 2^53, a tree's points are
+scored in whole numbers instead of doubles, and its bounds are widened by their rounding. Components beyond 64 bits
+after scaling count as the nearest number of 64 bits, and so do scores.
+
+Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id. Only
+vectors of equal length are compared. Of rows with one id the smallest vector counts. Ties go to smaller ids. Other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from weekcast.llm.common import materialize, ship_package
 
 K, SCALE, EVERY = 20, 64, 20
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 4096, 128, 1024
-LIMIT = 1 << 20  # squares of a thousand such components still add up exactly in doubles
+EXACT, LONGEST = 1 << 53, (1 << 63) - 1  # whole numbers that doubles hold, and that the result holds
 
 
 def scaled(vector: str, scale: int = SCALE) -> Column:
@@ -40,7 +43,6 @@ def points(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", sca
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite & (F.size(vector) > 0))
     rows = rows.select(F.col(vec_id).alias("vec_id"), scaled(vector, scale).alias("v"))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x) <= LIMIT))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.size("v").alias("dim"))
 
 
@@ -51,6 +53,8 @@ class KdTree:
         self.ids, self.rows, self.start, self.end, self.child, self.low, self.high = (
             ids, rows, start, end, child, low, high
         )
+        self.largest = max(abs(int(self.low[0].min())), abs(int(self.high[0].max()))) if len(ids) else 0
+        self.floats = rows.astype(np.float64)
 
     @classmethod
     def build(cls, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF_ROWS) -> KdTree:
@@ -77,7 +81,8 @@ class KdTree:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, rows=self.rows.astype(np.int32), start=self.start, end=self.end,
+        small = self.largest < 1 << 31
+        np.savez(out, ids=self.ids, rows=self.rows.astype(np.int32) if small else self.rows, start=self.start, end=self.end,
                  child=self.child, low=self.low, high=self.high)
         return out.getvalue()
 
@@ -85,16 +90,35 @@ class KdTree:
     def from_bytes(cls, data: bytes) -> KdTree:
         with np.load(io.BytesIO(data), allow_pickle=False) as x:
             parts = {name: x[name] for name in x.files}
-        return cls(**parts | {"rows": parts["rows"].astype(np.float64)})
+        return cls(**parts)
+
+    def is_exact(self, queries: np.ndarray) -> bool:
+        """Whether doubles hold every inner product with the queries, and all sums on the way."""
+        largest = max(abs(int(queries.min())), abs(int(queries.max())))
+        return queries.shape[-1] * self.largest * largest < EXACT
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Largest inner product possible in each box (columns) for each query (rows)."""
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        return up @ self.high.T.astype(np.float64) + down @ self.low.T.astype(np.float64)
+        """Largest inner product possible in each box (columns) for each query (rows), or a little more."""
+        q = queries.astype(np.float64)
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        high, low = self.high.T.astype(np.float64), self.low.T.astype(np.float64)
+        bound = up @ high + down @ low
+        if self.is_exact(queries):
+            return bound
+        rounding = (up @ np.abs(high) - down @ np.abs(low)) * (4 * queries.shape[1] * np.finfo(float).eps)
+        return np.maximum(bound + rounding, -float(1 << 63))
+
+    def scores(self, inside: slice, query: np.ndarray, exact: bool):
+        """Inner products of the points of a leaf, in doubles or in whole numbers of any size."""
+        if exact:
+            return self.floats[inside] @ query
+        return np.clip(self.rows[inside].astype(object) @ query.astype(object), -LONGEST - 1, LONGEST)
 
     def search(self, own: int, query: np.ndarray, bound: np.ndarray, k: int, floor: float):
         """(scores, ids) of at most ``k`` points with the largest scores of at least ``floor``."""
-        best: list[tuple[float, int]] = []  # heap of (score, -id): the worst of the k best on top
+        best: list[tuple] = []  # heap of (score, -id): the worst of the k best on top
+        exact = self.is_exact(query)
+        query = query.astype(np.float64) if exact else query
         kth = floor
         nodes = [(-bound[0], 0)]
         while nodes:
@@ -108,12 +132,12 @@ class KdTree:
                         heapq.heappush(nodes, (-bound[c], int(c)))
                 continue
             inside = slice(self.start[node], self.end[node])
-            scores = self.rows[inside] @ query
+            scores = self.scores(inside, query, exact)
             for at in np.flatnonzero(scores >= kth):
                 name = int(self.ids[inside][at])
                 if name == own:
                     continue
-                item = (float(scores[at]), -name)
+                item = (int(scores[at]), -name)
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -148,14 +172,15 @@ def search(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if not len(tree_frame) or not len(frame):
             return empty
         tree = KdTree.from_bytes(tree_frame["tree"].iloc[0])
-        vectors = np.array(frame["q"].tolist(), dtype=np.float64)
+        vectors = np.array(frame["q"].tolist(), dtype=np.int64)
         bounds = tree.bounds(vectors)
         names, ids, scores = [], [], []
         for own, q, bound, floor in zip(frame["query_id"], vectors, bounds, frame["floor"], strict=True):
-            for score, name in tree.search(own, q, bound, k, -np.inf if np.isnan(floor) else floor):
+            low = -np.inf if np.isnan(floor) else floor if abs(floor) < EXACT else np.nextafter(floor, -np.inf)
+            for score, name in tree.search(own, q, bound, k, low):
                 names.append(own)
                 ids.append(-name)
-                scores.append(int(score))
+                scores.append(score)
         return pd.DataFrame({"query_id": names, "vec_id": ids, "score": scores}, dtype=np.int64)
 
     key = ["dim", "shard", "part"]
