@@ -44,7 +44,8 @@ def windows(rows: DataFrame, size: int = WINDOW) -> DataFrame:
     hashed = rows.select(
         *KEY,
         F.transform(lines, lambda line: F.xxhash64(line)).alias("a"),
-        F.transform(lines, lambda line: F.xxhash64(line, F.lit(size))).alias("b"),
+        # The number first, so that the line is hashed from another seed.
+        F.transform(lines, lambda line: F.xxhash64(F.lit(size), line)).alias("b"),
     ).where(F.size("a") >= size)
     at_each = F.transform(
         F.sequence(F.lit(0), F.size("a") - size),
