@@ -95,3 +95,13 @@ def test_ftrl_learns_and_shrinks():
     rows = [(np.array([i % 2, 2, 3 + i % 5]), np.ones(3)) for i in range(200)]
     w = Ftrl(alpha=0.5, l1=1.0, epochs=5).fit(rows, np.array([i % 2 for i in range(200)]), 8)
     assert sigmoid(w[1] + w[2]) > 0.9 and sigmoid(w[0] + w[2]) < 0.1
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """Whole texts, however long; ids without a document are not drawn."""
+    from weekcast.llm.linear import labelled_sample
+
+    docs = documents(spark, [(1, "x " * 100_000), (2, "short")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    rows = {r.id: (len(r.text), r.quality) for r in labelled_sample(docs, labels, {"quality": F.col("quality")}, sample_docs=2).collect()}
+    assert rows == {1: (200_000, 1), 2: (5, 0)}

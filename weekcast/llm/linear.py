@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from weekcast.llm.common import arrow_map, ship_package, text_blocks, text_or_empty
 from weekcast.llm.features import FeatureSpace, Ftrl, sigmoid
 
-# Bounds of the training sample. Texts over the length are scored like any other but not trained on.
+# Bound of the training sample, in labelled documents; their whole texts are learned from.
 SAMPLE_DOCS = 8_000
-SAMPLE_CHARS = 100_000
 FULL = -1
 
 
@@ -31,12 +30,13 @@ def labelled_sample(
     """
     known = labels.select(F.col("doc_id").alias("id"), *[c.cast("int").alias(n) for n, c in targets.items()])
     known = known.dropna().where(F.lit(True) if allowed is None else allowed)
+    # Ids without a document are not drawn.
+    known = known.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     drawn = (
         known.groupBy("id").agg(*[F.min(n).alias(n) for n in targets])
         .orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     )
     texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
-    texts = texts.where(F.length("text") <= SAMPLE_CHARS)
     joined = texts.join(F.broadcast(drawn), "id")  # at most sample_docs rows of a few numbers
     return joined.groupBy("id", *targets).agg(F.min("text").alias("text"))
 
