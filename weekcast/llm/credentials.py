@@ -107,7 +107,11 @@ def spans_of(text: Column, kind: Kind) -> Column:
     runs = F.get(F.transform(F.array(steps), in_runs), F.lit(0))
     nothing = F.array().cast(f"array<struct<before:int,found:array<{SPAN}>>>")
     placed = F.aggregate(runs, F.struct(F.lit(0).alias("at"), nothing.alias("runs")), place, lambda s: s["runs"])
-    return F.when(text.rlike(kind.pattern), F.flatten(F.transform(placed, moved))).otherwise(empty)
+    return (
+        F.when(~text.rlike(kind.pattern), empty)
+        .when(F.size(hits) <= RUN_MATCHES, F.aggregate(steps, start, step, lambda s: s["found"]))
+        .otherwise(F.flatten(F.transform(placed, moved)))
+    )
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
