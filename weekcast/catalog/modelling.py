@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from weekcast.catalog.features import FOLD_WEEKS
 from weekcast.catalog.registry import query
 from weekcast.catalog.reports import COMPARED, KEY, KEY_SQL, METRICS, PREDICTIONS, metrics_sql
 from weekcast.catalog.tables import SERIES, Tables
-from weekcast.operators import ensemble, forecast, models, runs, select
+from weekcast.operators import ensemble, folds, forecast, leafwise, models, runs, search, seasonal, select
 from weekcast.operators.folds import N_SPLITS
 from weekcast.plans import strategy
 from weekcast.plans.scale import materialize, scratch_path
@@ -232,6 +235,49 @@ def fit_gbt_alt(t: Tables):
     return _holdout(t, "gbt_alt")
 
 
+# Features with fewer values than bins, so that every value is a possible split. Shares of the sum of squares.
+SPLIT_FEATURES = ("week", "year", "lag_units", "mean_units")
+SPLIT_SOURCE = """(SELECT quantity, week, year, least(floor(p_lag1 / 10), 150) AS lag_units, least(floor(p_ma8 / 10), 150) AS mean_units
+FROM scored)"""
+BEST_SPLIT = "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS f, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, count(*) AS n, sum(quantity) AS s FROM {SPLIT_SOURCE} GROUP BY {c}"
+    for i, c in enumerate(SPLIT_FEATURES)) + """),
+c AS (SELECT f, feature, x, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY f) AS nn, sum(s) OVER (PARTITION BY f) AS ss
+  FROM v WINDOW w AS (PARTITION BY f ORDER BY x)),
+g AS (SELECT *, s * s / n + (ss - s) * (ss - s) / (nn - n) - ss * ss / nn AS gain FROM c WHERE n >= 20 AND nn - n >= 20)
+SELECT feature, x AS threshold, gain / (SELECT var_pop(quantity) * count(*) FROM scored) AS share, n AS left_rows,
+  s / n AS left_mean, (ss - s) / (nn - n) AS right_mean FROM g ORDER BY gain DESC, f, x LIMIT 1"""
+
+
+def split_source(t: Tables) -> DataFrame:
+    return t.scored.select(
+        "store", "product", "year", "week", "quantity",
+        F.least(F.floor(F.col("p_lag1") / 10), F.lit(150)).alias("lag_units"),
+        F.least(F.floor(F.col("p_ma8") / 10), F.lit(150)).alias("mean_units"),
+    )
+
+
+STUMP = leafwise.Settings(n_estimators=1, num_leaves=2, learning_rate=1.0, subsample=1.0, colsample_bytree=1.0)
+
+
+@query("leafwise_split", "feature:s threshold:f share:f left_rows:i left_mean:f right_mean:f", BEST_SPLIT)
+def leafwise_split(t: Tables):
+    """The best first split of the weekly panel, as the leaf-wise model finds it."""
+    source = materialize(split_source(t), "split")
+    model = leafwise.fit_leafwise(source, SPLIT_FEATURES, settings=STUMP)
+    return leafwise.describe_split(source, model, "quantity")
+
+
+@query("leafwise_stump", f"{KEY} prediction:f",
+       f"""WITH b AS ({BEST_SPLIT}) SELECT {KEY_SQL}, CASE WHEN (CASE feature WHEN 'week' THEN week WHEN 'year' THEN year
+  WHEN 'lag_units' THEN least(floor(p_lag1 / 10), 150) ELSE least(floor(p_ma8 / 10), 150) END) <= threshold
+  THEN left_mean ELSE right_mean END AS prediction FROM scored, b""")
+def leafwise_stump(t: Tables):
+    """Predictions of one tree with two leaves."""
+    source = materialize(split_source(t), "split")
+    return models.predict(leafwise.fit_leafwise(source, SPLIT_FEATURES, settings=STUMP), source)
+
+
 @query("fit_forest", MODEL_COLUMNS)
 def fit_forest(t: Tables):
     return _holdout(t, "forest")
@@ -258,8 +304,65 @@ def fit_linear_single(t: Tables):
 
 @query("fit_seasonal_trend", MODEL_COLUMNS)
 def fit_seasonal_trend(t: Tables):
-    frame = t.weekly_table.withColumn("is_train", F.col("week_date") < F.lit("2001-09-01").cast("date"))
-    return models.fit_seasonal_trend(frame, "is_train", mode="multiplicative")
+    return models.fit_seasonal_trend(before_newest(t), "is_train", mode="multiplicative")
+
+
+def before_newest(t: Tables) -> DataFrame:
+    """Weekly panel with ``is_train``: all but the newest four weeks."""
+    return t.weekly_table.withColumn("is_train", F.col("week_date") < folds.newest_weeks_start(t.weekly_table))
+
+
+@query("seasonal_changepoints", f"{MODEL_COLUMNS} trend:f yearly:f weekly:f")
+def seasonal_changepoints(t: Tables):
+    """Forecasts of the newest four weeks by the model with changepoints and all waves, with its components."""
+    frame = before_newest(t)
+    fitted = seasonal.fit_changepoints(frame, "is_train", shape=seasonal.Shape(mode="multiplicative"))
+    return seasonal.predict_changepoints(frame.where("NOT is_train"), fitted, components=True)
+
+
+@query("seasonal_slope_changes", "store:s product:s changepoint:i date:d change:f")
+def seasonal_slope_changes(t: Tables):
+    """Where the slope of a series changes, and by how much."""
+    fitted = seasonal.fit_changepoints(before_newest(t), "is_train")
+    return seasonal.changepoints(fitted)
+
+
+TRAIN_DAYS = """(SELECT *, (date_diff('day', DATE '1970-01-01', week_date) - first) / CAST(last - first AS DOUBLE) AS d FROM
+(SELECT *, week_date < cut AS is_train, min(date_diff('day', DATE '1970-01-01', week_date)) FILTER (week_date < cut) OVER () AS first,
+  max(date_diff('day', DATE '1970-01-01', week_date)) FILTER (week_date < cut) OVER () AS last
+FROM weekly, (SELECT CAST(date_trunc('week', max(week_date)) AS DATE) - 21 AS cut FROM weekly)))"""
+PLAIN_SHAPE = seasonal.Shape(changepoints=0, yearly=0, weekly=0, trend_prior=math.inf)
+
+
+# Without changepoints, waves and priors it is the least-squares line of every series.
+@query("seasonal_line", f"{KEY} prediction:f",
+       f"""SELECT store, product, year, week, CASE WHEN a IS NOT NULL THEN greatest(a + b * d, 0) END AS prediction FROM {TRAIN_DAYS} LEFT JOIN
+(SELECT store, product, regr_intercept(quantity, d) AS a, regr_slope(quantity, d) AS b FROM {TRAIN_DAYS} WHERE is_train
+  GROUP BY store, product HAVING count(DISTINCT d) > 1) USING (store, product)
+WHERE (store, product) IN (SELECT (store, product) FROM {TRAIN_DAYS} WHERE is_train GROUP BY store, product HAVING count(DISTINCT d) > 1)""")
+def seasonal_line(t: Tables):
+    frame = before_newest(t)
+    dates = frame.where("is_train").groupBy("store", "product").agg(F.count_distinct("week_date").alias("n")).where("n > 1")
+    frame = frame.join(dates, ["store", "product"], "left_semi")
+    return seasonal.predict_changepoints(frame, seasonal.fit_changepoints(frame, "is_train", shape=PLAIN_SHAPE))
+
+
+# One changepoint without priors: the normal equations of two columns, centred per series.
+@query("seasonal_kink", f"store:s product:s slope:f change:f",
+       f"""SELECT store, product, (ty * hh - hy * th) / (tt * hh - th * th) AS slope, (hy * tt - ty * th) / (tt * hh - th * th) AS change FROM
+(SELECT store, product, var_pop(d) AS tt, var_pop(h) AS hh, covar_pop(d, h) AS th, covar_pop(d, quantity) AS ty, covar_pop(h, quantity) AS hy
+FROM (SELECT *, greatest(d - 0.8, 0) AS h FROM {TRAIN_DAYS} WHERE is_train) GROUP BY store, product
+HAVING count(DISTINCT d) > 9 AND count(DISTINCT h) > 3)""")
+def seasonal_kink(t: Tables):
+    frame = before_newest(t)
+    shape = dataclasses.replace(PLAIN_SHAPE, changepoints=1, changepoint_prior=math.inf)
+    fitted = seasonal.fit_changepoints(frame, "is_train", shape=shape)
+    late = F.when(seasonal.days_of(fitted.spec) > fitted.first + 0.8 * fitted.span, F.col("week_date"))
+    sizes = frame.where("is_train").groupBy("store", "product").agg(
+        F.count_distinct("week_date").alias("n"), F.count_distinct(late).alias("late")
+    )
+    kept = fitted.weights.join(sizes.where("n > 9 AND late > 2"), ["store", "product"], "left_semi")
+    return kept.select("store", "product", F.get("_w", F.lit(1)).alias("slope"), F.get("_w", F.lit(2)).alias("change"))
 
 
 @query("importances", "feature:s importance:f")
@@ -310,6 +413,37 @@ def tune_linear(t: Tables):
     return models.tune(folded_scored(t), ["p_ma4"], "linear", {"reg_param": (0.0, 50.0)}, 4)
 
 
+# The search of 100 trials: its first ten are the seeded draws, whose errors SQL gives as well; and no value of a fine grid is better.
+RIDGE_SPACE = {"reg_param": (0.0, 50000.0)}
+RIDGE_GRID = """WITH m AS (SELECT f.fold, var_pop(p_ma4) AS v, stddev_pop(quantity) AS s, covar_pop(p_ma4, quantity) AS c, avg(p_ma4) AS x,
+  avg(quantity) AS y FROM {folded} t, (SELECT unnest(range(1, 6)) AS fold) f WHERE t.fold < f.fold GROUP BY f.fold)
+SELECT trial, reg_param, 5 AS folds,
+  100.0 * sum(abs(quantity - (y + c / (v + reg_param / s) * (p_ma4 - x)))) / sum(abs(quantity)) AS wmape
+FROM {folded} t JOIN m USING (fold), ({values}) p(trial, reg_param) GROUP BY trial, reg_param"""
+FIRST_DRAWS = models.sample_parameters(RIDGE_SPACE, 10)
+FIRST_VALUES = "VALUES " + ", ".join(f"({i}, {p['reg_param']})" for i, p in enumerate(FIRST_DRAWS))
+
+
+@query("tune_search", "trial:i reg_param:f folds:i wmape:f")
+def tune_search(t: Tables):
+    """100 trials of the Parzen search over a ridge regression."""
+    return search.tune_parzen(folded_scored(t), ["p_ma4"], "linear", RIDGE_SPACE)
+
+
+@query("tune_search_start", "trial:i reg_param:f folds:i wmape:f", RIDGE_GRID.format(folded=FOLDED, values=FIRST_VALUES))
+def tune_search_start(t: Tables):
+    """The trials before the first proposal."""
+    return search.tune_parzen(folded_scored(t), ["p_ma4"], "linear", RIDGE_SPACE, trials=search.STARTUP)
+
+
+@query("tune_search_best", "trials:i wmape:f", "SELECT 100 AS trials, round(min(wmape), 3) AS wmape FROM (" + RIDGE_GRID.format(
+    folded=FOLDED, values="SELECT i, i * 50.0 FROM range(1001) r(i)") + ")")
+def tune_search_best(t: Tables):
+    """The least error that 100 trials find, to three digits: that of the best of a thousand evenly spaced values."""
+    found = search.tune_parzen(folded_scored(t), ["p_ma4"], "linear", RIDGE_SPACE)
+    return found.agg(F.count(F.lit(1)).alias("trials"), F.round(F.min("wmape"), 3).alias("wmape"))
+
+
 PLAIN = f"""SELECT f.fold, regr_intercept(quantity, p_ma4) AS a, regr_slope(quantity, p_ma4) AS b
 FROM {FOLDED} t, (SELECT unnest(range(1, 6)) AS fold) f WHERE t.fold < f.fold GROUP BY f.fold"""
 OUT_OF_FOLD = f"(SELECT t.*, a + b * p_ma4 AS prediction FROM {FOLDED} t JOIN ({PLAIN}) USING (fold))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import week_start
@@ -30,6 +30,12 @@ def temporal_split(
     return with_scalars(df, last).withColumn("split", label).drop("_last")
 
 
+def newest_weeks_start(df: DataFrame, weeks: int = TEST_WEEKS, spec: SeriesSpec = DEFAULT) -> Column:
+    """First day of the newest ``weeks`` calendar weeks of ``df``, as a scalar subquery."""
+    newest = F.date_trunc("week", F.max(spec.week_date)).cast("date")
+    return df.agg(F.date_sub(newest, 7 * (weeks - 1)).alias("start")).scalar()
+
+
 def week_ranks(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """(week_start, week_rank, n_weeks) of the distinct weeks, newest = 1."""
     weeks = df.select(week_start(F.col(spec.week_date)).alias("week_start")).distinct()

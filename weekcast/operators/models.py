@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.functions.calendar import TAU, add, calendar_basic, cyclic_encoding
@@ -25,6 +25,7 @@ from weekcast.functions.scalars import numeric_columns
 from weekcast.operators.entity import past_features
 from weekcast.operators.evaluate import metrics
 from weekcast.operators.folds import GAP, N_SPLITS, TEST_WEEKS, fold_ids, fold_test, fold_train, temporal_folds
+from weekcast.operators.leafwise import LeafwiseModel, Settings, fit_leafwise
 from weekcast.operators.series import LAGS, WINDOWS, series_features
 from weekcast.plans.scale import materialize
 from weekcast.spec import DEFAULT, SeriesSpec
@@ -69,9 +70,9 @@ def model_features(frame: DataFrame, spec: SeriesSpec = DEFAULT) -> list[str]:
 
 def preparation(features: Sequence[str]) -> list:
     """Null-to-zero and assembly as pipeline stages, so a saved model scores raw frames."""
-    fields = ", ".join(f"coalesce(cast(`{f}` as double), 0.0D) AS `_x_{f}`" for f in features)
+    columns = ", ".join(f"coalesce(cast(`{f}` as double), 0.0D) AS `_x_{f}`" for f in features)
     return [
-        SQLTransformer(statement=f"SELECT *, {fields} FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
         VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="_features"),
     ]
 
@@ -79,19 +80,18 @@ def preparation(features: Sequence[str]) -> list:
 def regressor(model: ModelSpec, target: str, prediction: str = "prediction", validation: str | None = None):
     """MLlib estimator for a ``ModelSpec``.
 
-    'gbt' and 'gbt_alt' stand for the two boosted libraries; 'linear' takes ridge ``alpha``.
+    'linear' takes ridge ``alpha``; 'gbt_alt', the leaf-wise boosted model, is no MLlib stage (see ``fit``).
     """
     p = dict(model.params)
     common = dict(featuresCol="_features", labelCol=target, predictionCol=prediction)
-    if model.kind in ("gbt", "gbt_alt"):
-        alternative = model.kind == "gbt_alt"
+    if model.kind == "gbt":
         stage = GBTRegressor(
             maxIter=int(p.get("n_estimators", 20)),
-            maxDepth=int(p.get("max_depth", 6 if alternative else 5)),
+            maxDepth=int(p.get("max_depth", 5)),
             stepSize=float(p.get("learning_rate", 0.1)),
-            subsamplingRate=float(p.get("subsample", 0.8 if alternative else 1.0)),
-            featureSubsetStrategy=str(p.get("colsample_bytree", "0.8" if alternative else "all")),
-            minInstancesPerNode=int(p.get("min_child_samples", 20 if alternative else 1)),
+            subsamplingRate=float(p.get("subsample", 1.0)),
+            featureSubsetStrategy=str(p.get("colsample_bytree", "all")),
+            minInstancesPerNode=int(p.get("min_child_samples", 1)),
             seed=SEED,
             **common,
         )
@@ -115,6 +115,13 @@ def ridge_parameter(frame: DataFrame, target: str, alpha: float) -> float:
     return alpha * float(row["s"] or 0.0) / max(int(row["n"]), 1)
 
 
+def leafwise_settings(params: Mapping[str, float]) -> Settings:
+    """Settings of the leaf-wise model from plain numbers; whole numbers where the setting is one."""
+    known = {f.name: f.type for f in fields(Settings)}
+    whole = {n: int(v) if "int" in str(known[n]) else float(v) for n, v in params.items()}
+    return Settings(**({"n_estimators": 20} | whole))
+
+
 def fit(
     frame: DataFrame,
     features: Sequence[str],
@@ -122,7 +129,9 @@ def fit(
     target: str = "quantity",
     prediction: str = "prediction",
     validation: str | None = None,
-) -> PipelineModel:
+) -> PipelineModel | LeafwiseModel:
+    if model.kind == "gbt_alt":
+        return fit_leafwise(frame, features, target, leafwise_settings(model.params), validation, prediction)
     if model.kind == "linear" and "alpha" in model.params:
         model = ModelSpec("linear", {"reg_param": ridge_parameter(frame, target, model.params["alpha"])})
     return Pipeline(stages=[*preparation(features), regressor(model, target, prediction, validation)]).fit(frame)
@@ -138,8 +147,8 @@ def fit_gbt(frame, features, target="quantity", validation=None, **params) -> Pi
     return fit(frame, features, ModelSpec("gbt", params), target, validation=validation)
 
 
-def fit_gbt_alt(frame, features, target="quantity", validation=None, **params) -> PipelineModel:
-    """Boosted trees with row and feature subsampling and larger leaves."""
+def fit_gbt_alt(frame, features, target="quantity", validation=None, **params) -> LeafwiseModel:
+    """Boosted trees grown best leaf first, on histograms, with row and feature subsampling."""
     return fit(frame, features, ModelSpec("gbt_alt", params), target, validation=validation)
 
 
@@ -155,30 +164,36 @@ def fit_linear(frame, features, target="quantity", alpha: float = 0.0) -> Pipeli
     return fit(frame, features, ModelSpec("linear", {"alpha": alpha}), target)
 
 
-def predict(model: PipelineModel, frame: DataFrame, prediction: str = "prediction") -> DataFrame:
+def predict(model: PipelineModel | LeafwiseModel, frame: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Input columns plus the prediction, without the pipeline's helper columns."""
     return model.transform(frame).select(*frame.columns, F.col(prediction))
 
 
-def importances(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """(feature, importance) of a tree model, or |coefficient| of a linear one."""
-    names = [c.removeprefix("_x_") for c in model.stages[1].getInputCols()]
-    last = model.stages[-1]
-    values = (
-        last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray())
-    )
+def importances(model: PipelineModel | LeafwiseModel, frame: DataFrame) -> DataFrame:
+    """(feature, importance) of a tree model, |coefficient| of a linear one, number of splits of a leaf-wise one."""
+    if isinstance(model, LeafwiseModel):
+        names, values = model.features, model.splits()
+    else:
+        names = [c.removeprefix("_x_") for c in model.stages[1].getInputCols()]
+        last = model.stages[-1]
+        tree = hasattr(last, "featureImportances")
+        values = last.featureImportances.toArray() if tree else np.abs(last.coefficients.toArray())
     rows = [(n, float(v)) for n, v in zip(names, values)]
     return frame.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | LeafwiseModel, path: str) -> None:
+    if isinstance(model, LeafwiseModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, kind: str | None = None) -> PipelineModel | LeafwiseModel:
+    """``kind`` as in ``ModelSpec``; needed for the leaf-wise model only."""
+    return LeafwiseModel.load(SparkSession.active(), path) if kind == "gbt_alt" else PipelineModel.load(path)
 
 
 # -- M6 ------------------------------------------------------------------------------------------
@@ -347,7 +362,7 @@ def tune(
         scored = oof_predictions(frame, features, {"prediction": ModelSpec(kind, params)}, spec, gap)
         error = metrics(scored, spec.target, "prediction").head()["wmape"]
         rows.append((trial, *[float(params[n]) for n in space], float(error)))
-    fields = ", ".join(["trial int", *[f"{n} double" for n in space], "wmape double"])
-    return frame.sparkSession.createDataFrame(rows, fields).orderBy("wmape", "trial")
+    columns = ", ".join(["trial int", *[f"{n} double" for n in space], "wmape double"])
+    return frame.sparkSession.createDataFrame(rows, columns).orderBy("wmape", "trial")
 
 
