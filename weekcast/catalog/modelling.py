@@ -13,7 +13,7 @@ from weekcast.catalog.features import FOLD_WEEKS
 from weekcast.catalog.registry import query
 from weekcast.catalog.reports import COMPARED, KEY, KEY_SQL, METRICS, PREDICTIONS, metrics_sql
 from weekcast.catalog.tables import SERIES, Tables
-from weekcast.operators import ensemble, folds, forecast, leafwise, models, runs, search, seasonal, select
+from weekcast.operators import ensemble, folds, forecast, leafwise, models, neighbours, runs, search, seasonal, select, simplex
 from weekcast.operators.folds import N_SPLITS
 from weekcast.plans import strategy
 from weekcast.plans.scale import materialize, scratch_path
@@ -142,6 +142,42 @@ def mutual_information(t: Tables):
     return select.mutual_information(matrix(t), MI_FEATURES, "quantity")
 
 
+# Sales of brands by month in whole units, so that many rows are equal along an axis and SQL can compare all pairs.
+KNN_FEATURES = ("month", "lines", "gross", "discount")
+MONTHLY = """(SELECT product, month(date) AS month, count(*) AS lines, CAST(round(sum(gross_value) / 1000) AS BIGINT) AS gross,
+CAST(round(sum(discount) / 100) AS BIGINT) AS discount, CAST(sum(quantity) AS BIGINT) AS quantity FROM dense GROUP BY product, year(date), month(date))"""
+KNN_SQL = " UNION ALL ".join(
+    f"""SELECT '{f}' AS feature, greatest(0, avg(psi + ln(n) - ln(nx) - ln(ny))) AS score FROM (
+SELECT a.i, list_sum(list_transform(range(1, CASE WHEN any_value(d) = 0 THEN any_value(z) ELSE 3 END), lambda m: 1.0 / m)) - 0.5772156649015329 AS psi,
+  count(*) AS n, count(*) FILTER (b.x BETWEEN a.x - rx AND a.x + rx) AS nx, count(*) FILTER (b.y BETWEEN a.y - ry AND a.y + ry) AS ny
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, rx, ry) AS r, count(*) FILTER (d = 0) OVER (PARTITION BY i) AS z FROM
+  (SELECT i, x, y, greatest(dx / sx, dy / sy) AS d, CASE WHEN dx / sx >= dy / sy THEN dx ELSE dy / sy * sx END AS rx,
+    CASE WHEN dx / sx >= dy / sy THEN dx / sx * sy ELSE dy END AS ry FROM
+    (SELECT a.*, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM knn_{f} a JOIN knn_{f} b ON a.i <> b.i),
+    (SELECT round(stddev_pop(x), 6) AS sx, round(stddev_pop(y), 6) AS sy FROM knn_{f}))) a, knn_{f} b WHERE r = 3 GROUP BY a.i)"""
+    for f in KNN_FEATURES)
+KNN_SQL = "WITH " + ", ".join(
+    f"knn_{f} AS (SELECT row_number() OVER (ORDER BY product, quantity, {f}) AS i, CAST({f} AS DOUBLE) AS x, CAST(quantity AS DOUBLE) AS y FROM {MONTHLY})"
+    for f in KNN_FEATURES) + " " + KNN_SQL
+
+
+@query("mutual_information_knn", "feature:s score:f", KNN_SQL)
+def mutual_information_knn(t: Tables):
+    """Information about a brand's monthly sales, by nearest neighbours."""
+    day = F.col("date")
+    monthly = t.dense.groupBy("product", F.year(day).alias("year"), F.month(day).alias("month")).agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.sum("gross_value") / 1000).cast("long").alias("gross"),
+        F.round(F.sum("discount") / 100).cast("long").alias("discount"), F.sum("quantity").cast("long").alias("quantity"),
+    )
+    return neighbours.mutual_information_knn(materialize(monthly, "monthly"), KNN_FEATURES, "quantity")
+
+
+@query("mutual_information_knn_weekly", "feature:s score:f")
+def mutual_information_knn_weekly(t: Tables):
+    """The same over every row of the weekly panel."""
+    return neighbours.mutual_information_knn(matrix(t), FEATURES, "quantity")
+
+
 @query("select_k_best", "feature:s score:f rank:i selected:i", ranked_sql(F_SCORES, "score", 3))
 def select_k_best(t: Tables):
     return select.select_k_best(matrix(t), FEATURES, "quantity", 3)
@@ -562,6 +598,28 @@ def optimize_weights(t: Tables):
     return ensemble.optimize_weights(t.scored, "quantity", THREE)
 
 
+@query("optimize_weights_simplex", " ".join(f"weight_{p}:f" for p in PREDICTIONS) + " wmape:f bound:f")
+def optimize_weights_simplex(t: Tables):
+    """The best mixture of four forecasts, and the bound that shows it is."""
+    found = simplex.minimise_weights(t.scored, "quantity", PREDICTIONS)
+    return simplex.weights_table(t.scored, PREDICTIONS, found)
+
+
+# Of two models the best share is the median of (y - b) / (a - b), weighted by |a - b|.
+PAIR = ("p_ma4", "p_mean")
+
+
+@query("optimize_weights_pair", "weight:f wmape:f",
+       """WITH r AS (SELECT quantity AS y, p_ma4 AS a, p_mean AS b, abs(p_ma4 - p_mean) AS d, (quantity - p_mean) / nullif(p_ma4 - p_mean, 0) AS r
+FROM scored), c AS (SELECT r, sum(d) OVER (ORDER BY r) AS s, sum(d) OVER () AS t FROM r WHERE d > 0),
+w AS (SELECT least(1, greatest(0, min(r))) AS w FROM c WHERE s >= t / 2)
+SELECT round(max(w), 2) AS weight, round(100.0 * sum(abs(y - b - w * (a - b))) / sum(abs(y)), 4) AS wmape FROM r, w""")
+def optimize_weights_pair(t: Tables):
+    found = simplex.minimise_weights(t.scored, "quantity", PAIR, tolerance=1e-11)
+    table = simplex.weights_table(t.scored, PAIR, found)
+    return table.select(F.round("weight_p_ma4", 2).alias("weight"), F.round("wmape", 4).alias("wmape"))
+
+
 @query("ensemble_compare", f"model:s {METRICS} is_best:i",
        f"SELECT method AS model, * EXCLUDE (method), CAST(row_number() OVER (ORDER BY wmape, method) = 1 AS INTEGER) AS is_best "
        f"FROM ({COMPARED})")

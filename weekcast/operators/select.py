@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import col, correlation, divide, numeric_columns
+from weekcast.operators.neighbours import mutual_information_knn
 from weekcast.plans.scale import attach, materialize, unpivot_numeric, value_ranks, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
@@ -186,7 +187,7 @@ def f_regression_scores(df: DataFrame, features: Sequence[str], target: str) ->
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, score): mutual information in nats over equal-frequency bins.
 
-    A binned estimator, not the nearest-neighbour one. Bins follow average ranks, so ties share one.
+    The fast, binned estimator; ``mutual_information_knn`` is the one by nearest neighbours. Bins follow average ranks, so ties share one.
     """
     src = filled(df, [*features, target])
     ranks = value_ranks(unpivot_numeric(src, [*features, target]), "value", ["column"])
@@ -218,7 +219,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
 
 
 def select_k_best(df: DataFrame, features: Sequence[str], target: str, k: int, score: str = "f") -> DataFrame:
-    scorer = f_regression_scores if score == "f" else mutual_information
+    """The ``k`` best by F value ("f"), by information over bins ("bins"), or by information of neighbours ("knn")."""
+    scorer = {"f": f_regression_scores, "knn": mutual_information_knn}.get(score, mutual_information)
     return _selected(scorer(df, features, target), "score", k)
 
 
