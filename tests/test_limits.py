@@ -71,6 +71,24 @@ def test_chunks_have_their_own_size(spark):
     assert [s.agg(F.sum("n")).first()[0] for s in sizes] == [100, 100]
 
 
+def test_chunks_reach_over_batches_and_partitions(spark):
+    """Arrow batches hold 10,000 rows; only the last chunk may be short: of a task, or of the table."""
+    df = spark.range(0, 70_001, 1, 3).selectExpr("id", "id % 7 AS chunk", "'x' AS at")
+
+    def size(b):
+        assert list(b.columns) == ["id", "chunk", "at"]
+        return pd.DataFrame({"n": [len(b)], "first": [b["id"].iloc[0]], "last": [b["id"].iloc[-1]]})
+
+    schema = "n long, first long, last long"
+    tasks = parquet.map_chunks(df, size, schema, rows=15_000).collect()
+    assert sorted(r.n for r in tasks) == [8333, 8334, 8334, 15_000, 15_000, 15_000]
+    whole = sorted(parquet.exact_chunks(df, size, schema, 15_000).collect(), key=lambda r: r[1])
+    assert [r.n for r in whole] == [15_000] * 4 + [10_001]
+    assert [r[1] for r in whole] == [0, 15_000, 30_000, 45_000, 60_000] and whole[-1].last == 70_000
+    assert parquet.exact_chunks(df.limit(0), size, schema, 10).count() == 0
+    assert [r.n for r in parquet.exact_chunks(df.limit(5), size, schema, 10).collect()] == [5]
+
+
 def test_spearman_over_complete_pairs(spark):
     draw = np.random.default_rng(2)
     data = pd.DataFrame(draw.integers(0, 9, (60, 4)).astype(float), columns=list("abcd"))

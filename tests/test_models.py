@@ -197,6 +197,32 @@ def test_runs_are_recorded_and_compared(spark, tmp_path):
     assert runs.list_runs(stored, "two").count() == 1
 
 
+def test_a_run_is_recorded_once(spark, tmp_path):
+    """Recorded again it is replaced; a writer that dies before the manifest leaves everything as it was."""
+    df = spark.createDataFrame([("s", "p", 10.0, 11.0, 14.0)], "store string, product string, y double, a double, b double")
+    path = str(tmp_path / "runs")
+    assert runs.read_runs(spark, path).count() == 0
+    both = runs.run_metrics(df, "y", {"r1": ("one", "a"), "r2": ("two", "b")})
+    for _ in range(2):
+        runs.record_metrics(both, path)
+    assert runs.read_runs(spark, path).count() == 2 * 4 * 2
+
+    def overall(run):
+        return runs.overall(runs.read_runs(spark, path)).where(f"run = '{run}' AND metric = 'mae'").collect()
+
+    assert [(r.strategy, r.value) for r in overall("r1")] == [("one", 1.0)]
+    runs.record_metrics(runs.run_metrics(df, "y", {"r1": ("moved", "b")}), path)
+    assert [(r.strategy, r.value) for r in overall("r1")] == [("moved", 4.0)] and [r.value for r in overall("r2")] == [4.0]
+
+    def files(*_):
+        raise OSError("the writer died")
+
+    with pytest.MonkeyPatch.context() as patch, pytest.raises(OSError):
+        patch.setattr(runs, "_files", files)
+        runs.record_metrics(runs.run_metrics(df, "y", {"r1": ("half", "a"), "r3": ("half", "a")}), path)
+    assert [(r.strategy, r.value) for r in overall("r1")] == [("moved", 4.0)] and overall("r3") == []
+
+
 def test_pareto_front(spark):
     rows = [("a", 1.0, 5.0), ("b", 2.0, 3.0), ("c", 2.0, 4.0), ("d", 3.0, 3.0), ("e", 1.0, 5.0), ("f", 4.0, 1.0)]
     df = spark.createDataFrame(rows, "run string, x double, y double")

@@ -13,12 +13,13 @@ from weekcast.catalog.features import FOLD_WEEKS
 from weekcast.catalog.registry import query
 from weekcast.catalog.reports import COMPARED, KEY, KEY_SQL, METRICS, PREDICTIONS, metrics_sql
 from weekcast.catalog.tables import SERIES, Tables
-from weekcast.operators import ensemble, folds, forecast, leafwise, models, neighbours, runs, search, seasonal, select, simplex
+from weekcast.operators import ensemble, forecast, leafwise, models, neighbours, runs, search, seasonal, select, simplex
 from weekcast.operators.folds import N_SPLITS
 from weekcast.plans import strategy
-from weekcast.plans.scale import materialize, scratch_path
+from weekcast.plans.scale import materialize, scratch_path, with_scalars
 from weekcast.sources import sinks
 from weekcast.streaming.scoring import stream_score
+from weekcast.streaming.thresholds import running_thresholds
 
 # -- selection -------------------------------------------------------------------------------------
 # Candidate features of the weekly DENSE panel: money totals, week numbers and lagged figures.
@@ -345,7 +346,7 @@ def fit_seasonal_trend(t: Tables):
 
 def before_newest(t: Tables) -> DataFrame:
     """Weekly panel with ``is_train``: all but the newest four weeks."""
-    return t.weekly_table.withColumn("is_train", F.col("week_date") < folds.newest_weeks_start(t.weekly_table))
+    return t.weekly_table.withColumn("is_train", F.col("week_date") < t.horizon_start)
 
 
 @query("seasonal_changepoints", f"{MODEL_COLUMNS} trend:f yearly:f weekly:f")
@@ -788,8 +789,9 @@ LONG = f"(SELECT * FROM {WIDE} UNPIVOT INCLUDE NULLS (value FOR metric IN (wmape
        f"""SELECT run, strategy, store, product, metric, value FROM {LONG_SERIES} UNION ALL
 SELECT run, strategy, store, product, metric, value FROM {LONG}""")
 def record_metrics(t: Tables):
-    path = scratch_path(t.spark, "runs")
-    runs.record_metrics(run_table(t).drop("recorded_at"), path)
+    path, table = scratch_path(t.spark, "runs"), run_table(t).drop("recorded_at")
+    for _ in range(2):  # as after a retry: each run is there once
+        runs.record_metrics(table, path)
     return runs.read_runs(t.spark, path)
 
 
@@ -914,3 +916,29 @@ def stream_linear(t: Tables):
     )
     run.awaitTermination()
     return t.spark.read.parquet(target)
+
+
+@query("stream_running", "rows:i p95_within:i p99_within:i", "SELECT count(*) AS rows, 1 AS p95_within, 1 AS p99_within FROM scored")
+def stream_running(t: Tables):
+    """The panel scored as a stream whose thresholds follow it; how far their ranks are from exact ones, to 1 %."""
+    frame, model = _line(t)
+    source, target = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "scored")
+    frame.repartition(6).write.parquet(source)
+    running = running_thresholds(t.spark, scratch_path(t.spark, "sketch"))
+    stream_score(
+        t.spark, source, frame.schema, model, target, weeks=None, files_per_batch=2, running=running
+    ).awaitTermination()
+    limits = running.quantiles([0.95, 0.99], ["p95", "p99"])
+    clipped = F.greatest(F.col("prediction"), F.lit(0.0))
+    ranked = with_scalars(models.predict(model, frame).select(clipped.alias("p")), limits)
+    counts = ranked.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("p") < F.col(c)).alias(f"{c}_below") for c in ("p95", "p99")],
+        *[F.count_if(F.col("p") <= F.col(c)).alias(f"{c}_up_to") for c in ("p95", "p99")],
+    )
+    within = {
+        c: (F.col(f"{c}_below") <= (share + 0.01) * F.col("n")) & (F.col(f"{c}_up_to") >= (share - 0.01) * F.col("n"))
+        for c, share in (("p95", 0.95), ("p99", 0.99))
+    }
+    rows = t.spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows"))
+    return with_scalars(counts, rows).select("rows", *[w.cast("int").alias(f"{c}_within") for c, w in within.items()])

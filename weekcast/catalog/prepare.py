@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from weekcast.catalog.registry import FINDING_COLUMNS, findings_sql, query
 from weekcast.catalog.tables import Tables
 from weekcast.functions.scalars import is_digits, parses_as_number
-from weekcast.operators import clean, joins, weekly
+from weekcast.operators import asof, clean, joins, weekly
 from weekcast.operators.checks import week_coverage
 from weekcast.operators.folds import temporal_split
 from weekcast.operators.forecast import format_forecast, sort_forecast
 from weekcast.operators.profile import data_summary
-from weekcast.plans.scale import scratch_path
+from weekcast.plans.scale import materialize, scratch_path, with_scalars
 from weekcast.sources import parquet, sinks
 
 FINE = "store:s product:s date:d quantity:f gross_value:f discount:f net_value:f taxes:f"
@@ -96,6 +96,16 @@ def map_chunks(t: Tables):
     )
 
 
+@query("exact_chunks", "rows:i chunks:i",
+       """SELECT 25000 AS rows, count(*) // 25000 AS chunks FROM lineitem HAVING count(*) >= 25000
+UNION ALL SELECT count(*) % 25000, 1 FROM lineitem HAVING count(*) % 25000 > 0""")
+def exact_chunks(t: Tables):
+    """Sizes of the chunks of 25,000 rows that a function sees: all full but for the last."""
+    columns = t.read("lineitem").select("l_orderkey", "l_linenumber")
+    sizes = parquet.exact_chunks(columns, lambda b: b.iloc[:1].assign(rows=len(b))[["rows"]], "rows long", 25_000)
+    return sizes.groupBy("rows").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query("chunk_function", "store:s rows:i units:f",
        "SELECT store, count(*) AS rows, sum(quantity) AS units FROM fine WHERE quantity > 25 GROUP BY store")
 def chunk_function(t: Tables):
@@ -439,6 +449,32 @@ def combine_feature_sets(t: Tables):
     return joins.combine_feature_sets(t.weekly.select(*key, "quantity"), first, second)
 
 
+@query("asof_backward", "store:s product:s date:d quantity:f as_of:d units:f",
+       """SELECT f.store, f.product, CAST(f.date AS DATE) AS date, f.quantity, r.week_date AS as_of, r.units FROM dense f ASOF LEFT JOIN
+(SELECT product, week_date, sum(quantity) AS units FROM weekly GROUP BY product, week_date) r
+ON f.product = r.product AND CAST(f.date AS DATE) >= r.week_date""")
+def asof_backward(t: Tables):
+    """Every sale with the latest weekly units of its product that had begun by then."""
+    sales = t.dense.select("store", "product", F.col("date").cast("date").alias("date"), "quantity")
+    units = t.weekly.groupBy("product", F.col("week_date").alias("as_of")).agg(F.sum("quantity").alias("units"))
+    return asof.asof_join(sales, units, "date", "as_of", ["product"])
+
+
+@query("asof_forward", "store:s product:s year:i week:i week_date:d busy_day:d busy_units:f",
+       """WITH d AS (SELECT CAST(date AS DATE) AS busy_day, sum(quantity) AS busy_units FROM fine GROUP BY 1),
+b AS (SELECT * FROM d WHERE busy_units > (SELECT 1.2 * avg(busy_units) FROM d))
+SELECT store, product, year, week, week_date, CASE WHEN busy_day - week_date <= 30 THEN busy_day END AS busy_day,
+  CASE WHEN busy_day - week_date <= 30 THEN busy_units END AS busy_units
+FROM weekly w ASOF LEFT JOIN b ON w.week_date <= b.busy_day""")
+def asof_forward(t: Tables):
+    """Every week with the next day of all stores that is a fifth above the average, if within 30 days."""
+    days = t.fine.groupBy(F.col("date").cast("date").alias("busy_day")).agg(F.sum("quantity").alias("busy_units"))
+    days = materialize(days, "days")
+    busy = with_scalars(days, days.agg((F.avg("busy_units") * 1.2).alias("_limit"))).where("busy_units > _limit").drop("_limit")
+    weeks = t.weekly.select("store", "product", "year", "week", "week_date")
+    return asof.asof_join(weeks, busy, "week_date", "busy_day", direction="forward", tolerance=30 * 86_400)
+
+
 @query("in_top_k", "store:s product:s year:i week:i quantity:f is_top_brand:i",
        """SELECT store, product, year, week, quantity, CAST(product IN (SELECT product FROM weekly GROUP BY product
 ORDER BY count(*) DESC, product LIMIT 10) AS INTEGER) AS is_top_brand FROM weekly""")
@@ -448,10 +484,10 @@ def in_top_k(t: Tables):
 
 @query("join_history_bounds", "store:s product:s year:i week:i prediction:f history_mean:f history_max:f",
        """SELECT r.*, h.m AS history_mean, h.x AS history_max FROM raw_forecast r LEFT JOIN
-(SELECT store, product, avg(quantity) AS m, max(quantity) AS x FROM weekly WHERE year < 2000 GROUP BY store, product) h
+(SELECT store, product, avg(quantity) AS m, max(quantity) AS x FROM history GROUP BY store, product) h
 ON r.store = h.store AND r.product = h.product""")
 def join_history_bounds(t: Tables):
-    return joins.join_history_bounds(t.raw_forecast, t.weekly.where("year < 2000"))
+    return joins.join_history_bounds(t.raw_forecast, t.history)
 
 
 @query("align_actual_predicted", "store:s product:s year:i week:i quantity:f prediction:f",

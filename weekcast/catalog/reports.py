@@ -618,22 +618,18 @@ def validation_report(t: Tables):
 # -- post-processing ----------------------------------------------------------------------------------
 
 PREDICTED = f"{KEY} prediction:f"
-HISTORY = "(SELECT store, product, avg(quantity) AS m, max(quantity) AS x FROM weekly WHERE year < 1997 GROUP BY store, product) h"
+HISTORY = "(SELECT store, product, avg(quantity) AS m, max(quantity) AS x FROM history GROUP BY store, product) h"
 BOUNDED = f"""SELECT r.store, r.product, year, week, least({{p}}, coalesce(least(3 * h.x, 10 * h.m), 1000)) AS prediction
 FROM raw_forecast r LEFT JOIN {HISTORY} ON r.store = h.store AND r.product = h.product"""
 
 
-def _history(t: Tables):
-    return t.weekly.where("year < 1997")
-
-
 def _large(t: Tables):
     return t.raw_forecast.withColumn("prediction", F.col("prediction") * 20)
 
 
 @query("bound_by_history", PREDICTED, BOUNDED.format(p="20 * prediction"))
 def bound_by_history(t: Tables):
-    return forecast.bound_by_history(_large(t), _history(t))
+    return forecast.bound_by_history(_large(t), t.history)
 
 
 @query("bound_by_history_floor", PREDICTED, f"""
@@ -641,7 +637,7 @@ SELECT r.store, r.product, year, week,
   least(20 * prediction, greatest(least(3 * coalesce(h.x, 1000), 10 * coalesce(h.m, 0)), 1000)) AS prediction
 FROM raw_forecast r LEFT JOIN {HISTORY} ON r.store = h.store AND r.product = h.product""")
 def bound_by_history_floor(t: Tables):
-    return forecast.bound_by_history_floor(_large(t), _history(t))
+    return forecast.bound_by_history_floor(_large(t), t.history)
 
 
 TAMED = """SELECT {k}, CASE WHEN prediction > c.p99 THEN c.p95 ELSE prediction END AS prediction FROM {s} f,
@@ -663,13 +659,14 @@ def cap_by_mean(t: Tables):
        f"WITH b AS ({BOUNDED.format(p='greatest(prediction, 0)')}) SELECT * REPLACE (round_even(prediction, 0) AS prediction) "
        f"FROM ({TAMED.format(k=KEY_SQL, s='b')})")
 def postprocess(t: Tables):
-    return forecast.postprocess(t.raw_forecast, _history(t))
+    return forecast.postprocess(t.raw_forecast, t.history)
 
 
 @query("shift_to_horizon", "store:s product:s year:i week:i week_date:d quantity:f month:i quarter:i month_sin:f",
        """SELECT store, product, year(n) AS year, week(n) AS week, n AS week_date, quantity, month(n) AS month,
 quarter(n) AS quarter, sin(2 * pi() * month(n) / 12) AS month_sin
-FROM (SELECT *, CAST(week_date + INTERVAL 1 MONTH AS DATE) AS n FROM weekly WHERE week_date >= DATE '2001-10-01')""")
+FROM (SELECT *, CAST(week_date + INTERVAL 1 MONTH AS DATE) AS n FROM weekly
+WHERE week_date >= (SELECT CAST(date_trunc('week', max(week_date)) AS DATE) - 21 FROM weekly))""")
 def shift_to_horizon(t: Tables):
     dated = t.weekly.withColumns({"month": F.lit(0), "quarter": F.lit(0), "month_sin": F.lit(0.0)})
-    return forecast.shift_to_horizon(dated, "2001-10-01")
+    return forecast.shift_to_horizon(dated, t.horizon_start)

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekcast.operators.folds import newest_weeks_start
 from weekcast.operators.joins import merge_master_data
 from weekcast.operators.series import series_window
 from weekcast.operators.weekly import weekly_sales
 from weekcast.plans.scale import attach, materialize
+from weekcast.spec import SeriesSpec
 
 
 class Tables:
@@ -120,6 +122,16 @@ class Tables:
         """Weekly DENSE panel."""
         return weekly_sales(self.dense)
 
+    @cached_property
+    def horizon_start(self) -> Column:
+        """First day of the newest four weeks of the data; everything before is history."""
+        return newest_weeks_start(self.fine.select("date"), spec=SeriesSpec(week_date="date"))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        """Weekly DENSE panel before the newest four weeks."""
+        return self.weekly.where(F.col("week_date") < self.horizon_start)
+
     @cached_property
     def weekly_table(self) -> DataFrame:
         """``weekly`` written once, clustered by series."""
@@ -195,6 +207,8 @@ SELECT CAST(p_partkey AS VARCHAR) AS product, p_type AS category, p_size AS subc
     "dense": "SELECT f.* REPLACE (p.brand AS product) FROM fine f JOIN products p ON f.product = p.product",
     "fine_weekly": WEEKLY_SQL.format(fact="fine"),
     "weekly": WEEKLY_SQL.format(fact="dense"),
+    "history": """
+SELECT * FROM weekly WHERE week_date < (SELECT CAST(date_trunc('week', max(week_date)) AS DATE) - 21 FROM weekly)""",
     "panel": """
 SELECT w.*, coalesce(s.premise, 'Unknown') AS premise, coalesce(s.store_category, 'Unknown') AS store_category,
        s.zipcode, coalesce(p.category, 'Unknown') AS category, p.subcategory,

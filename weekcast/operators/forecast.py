@@ -22,12 +22,13 @@ MEAN_MULTIPLIER = 10.0
 NO_HISTORY_BOUND = 1000.0
 
 
-def shift_to_horizon(df: DataFrame, first_date: dt.date | str, spec: SeriesSpec = DEFAULT, months: int = 1) -> DataFrame:
+def shift_to_horizon(df: DataFrame, first_date: dt.date | str | Column, spec: SeriesSpec = DEFAULT, months: int = 1) -> DataFrame:
     """Rows from ``first_date`` on, moved ``months`` ahead, with calendar columns of the new date.
 
-    A projection over a date-filtered scan; month ends are clamped.
+    A projection over a date-filtered scan; month ends are clamped. The first date may be a scalar subquery.
     """
-    moved = df.where(F.col(spec.week_date) >= F.lit(str(first_date)).cast("date")).withColumn(
+    first = first_date if isinstance(first_date, Column) else F.lit(str(first_date)).cast("date")
+    moved = df.where(F.col(spec.week_date) >= first).withColumn(
         spec.week_date, F.add_months(spec.week_date, months)
     )
     day = F.col(spec.week_date)
@@ -133,6 +134,16 @@ def cap_by_mean(df: DataFrame, multiplier: float, prediction: str = "prediction"
     return wide.withColumn(prediction, F.least(F.col(prediction), F.col("_limit"))).drop("_limit")
 
 
+def bounded(
+    df: DataFrame, history: DataFrame | None = None, prediction: str = "prediction", spec: SeriesSpec = DEFAULT, floor: bool = False
+) -> DataFrame:
+    """Clip at zero and, with a history, bound by it."""
+    out = clip_nonnegative(df, prediction)
+    if history is None:
+        return out
+    return (bound_by_history_floor if floor else bound_by_history)(out, history, prediction, spec)
+
+
 def postprocess(
     df: DataFrame,
     history: DataFrame | None = None,
@@ -142,10 +153,7 @@ def postprocess(
     floor: bool = False,
 ) -> DataFrame:
     """Clip at zero, bound by history, tame extremes, round to units."""
-    out = clip_nonnegative(df, prediction)
-    if history is not None:
-        out = (bound_by_history_floor if floor else bound_by_history)(out, history, prediction, spec)
-    out = tame_extremes(out, prediction, thresholds)
+    out = tame_extremes(bounded(df, history, prediction, spec, floor), prediction, thresholds)
     return out.withColumn(prediction, round_half_even(F.col(prediction)))
 
 

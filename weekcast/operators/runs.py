@@ -6,6 +6,9 @@ comparisons work overall and per series.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +21,7 @@ from weekcast.spec import DEFAULT, SeriesSpec
 SCHEMA = (
     "run string, strategy string, recorded_at timestamp, store string, product string, metric string, value double"
 )
+MANIFEST = "_runs"  # a name that readers of the data skip
 ERROR_METRICS = ("wmape", "mae", "rmse", "mape")
 
 
@@ -49,14 +53,53 @@ def run_metrics(
 
 
 def record_metrics(table: DataFrame, path: str, recorded_at: Column | None = None) -> None:
-    """Append a run's metrics, partitioned by strategy."""
+    """Store the metrics of the runs in ``table``, each run once, however often it is recorded.
+
+    The rows go to a new folder below ``path``. When they are complete, one small file per run is put into the manifest:
+    it names the folder that holds the run now. Readers obey the manifest, so a writer that dies half-way leaves the
+    runs as they were, and recording a run again replaces it.
+    """
+    spark = table.sparkSession
     when = recorded_at if recorded_at is not None else F.current_timestamp()
-    out = table.withColumn("recorded_at", when)
-    out.write.mode("append").partitionBy("strategy").parquet(path)
+    folder = uuid.uuid4().hex
+    stored = f"{path}/folder={folder}"
+    table.withColumn("recorded_at", when).write.partitionBy("strategy").parquet(stored)
+    names = spark.read.schema(SCHEMA).parquet(stored).select("run").distinct().collect()  # the runs of one call
+    files, jvm_path = _files(spark, path)
+    for (run,) in names:
+        entry = f"{path}/{MANIFEST}/{hashlib.sha256(str(run).encode()).hexdigest()}"
+        fresh = jvm_path(f"{entry}.{folder}")
+        stream = files.create(fresh, True)
+        stream.write(bytearray(json.dumps({"run": run, "folder": folder}).encode()))
+        stream.close()
+        # A run's entry is replaced as a whole: the newest file of a run counts, and older ones go.
+        for old in files.globStatus(jvm_path(f"{entry}.*")):
+            if old.getPath().getName() != fresh.getName():
+                files.delete(old.getPath(), False)
+
+
+def _files(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    return jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(run, folder): where each recorded run is; of a run with two entries that which was written last."""
+    entries = spark.read.text(f"{path}/{MANIFEST}/*", wholetext=True)
+    read = entries.select(F.from_json("value", "run string, folder string").alias("e"), F.col("_metadata.file_modification_time").alias("t"))
+    flat = read.select("e.run", "e.folder", "t")
+    return flat.groupBy("run").agg(F.max_by("folder", F.struct("t", "folder")).alias("folder"))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    """The recorded runs; none before the first."""
+    files, jvm_path = _files(spark, path)
+    if not files.exists(jvm_path(f"{path}/{MANIFEST}")):
+        return spark.createDataFrame([], SCHEMA)
+    current = manifest(spark, path)
+    stored = spark.read.schema(f"{SCHEMA}, folder string").parquet(path)
+    named = [c.split()[0] for c in SCHEMA.split(", ")]
+    return stored.join(current, ["run", "folder"], "left_semi").select(*named)
 
 
 def overall(table: DataFrame) -> DataFrame:

@@ -134,16 +134,61 @@ def scan_filtered_sorted(spark: SparkSession, path: str, target: str = "quantity
 def map_chunks(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, rows: int | None = None
 ) -> DataFrame:
-    """Apply a user function to batches of rows inside tasks, of at most ``rows`` rows where that is given."""
+    """Apply a user function to batches of rows inside tasks, or to chunks of ``rows`` rows where that is given.
+
+    Rows are carried over from batch to batch, so chunks of a task are full but for its last one, whatever the size of
+    Arrow batches. ``exact_chunks`` has one short chunk in all.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not rows:
+            yield from map(fn, batches)
+            return
+        held: list[pd.DataFrame] = []
+        count = 0
         for batch in batches:
-            step = rows or max(len(batch), 1)
-            for start in range(0, len(batch), step):
-                yield fn(batch.iloc[start : start + step])
+            while count + len(batch) >= rows:
+                cut = rows - count
+                yield fn(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                batch, held, count = batch.iloc[cut:], [], 0
+            if len(batch):
+                held.append(batch)
+                count += len(batch)
+        if count:
+            yield fn(pd.concat(held, ignore_index=True))
 
     return df.mapInPandas(run, schema)
 
 
+def exact_chunks(
+    df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, rows: int
+) -> DataFrame:
+    """Apply a user function to chunks of exactly ``rows`` rows of the whole table; only the last one may be short.
+
+    The table is written with the number of each row in its task. With the tasks' row counts (one number each) every row
+    knows its place in the table, and so its chunk; the rows of a chunk then meet in one task.
+    """
+    if rows < 1:
+        raise ValueError("a chunk has at least one row")
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    columns, kept = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    stored = materialize(df.select(*named, F.monotonically_increasing_id().alias("at")), "chunks")
+    bits = 33  # of the number, below which the rows of a task are counted
+    sizes = stored.groupBy(F.shiftright("at", bits).alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before, offsets = 0, []
+    for r in sorted(sizes, key=lambda r: r["task"]):
+        offsets.append((r["task"], before))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, "task bigint, before bigint")
+    inside = F.col("at").bitwiseAND(F.lit((1 << bits) - 1))
+    placed = stored.withColumn("task", F.shiftright("at", bits)).join(F.broadcast(table), "task")
+    placed = placed.select(F.floor((F.col("before") + inside) / rows).alias("chunk"), "at", *kept)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return fn(frame.sort_values("at", ignore_index=True)[kept].set_axis(columns, axis=1))
+
+    return placed.groupBy("chunk").applyInPandas(run, schema)
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(folder, file, bytes, rows, columns, schema, folder_files, folder_bytes) of a table's files."""
     table = spark.read.parquet(path)
