@@ -16,7 +16,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 64 << 20
@@ -94,8 +94,8 @@ def row_width(df: DataFrame) -> int:
     return ROW_BYTES + sum(FIXED_BYTES.get(f.dataType.simpleString(), TEXT_BYTES) for f in df.schema.fields)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of all rows, uncompressed: fixed widths times the counted rows, and the summed lengths of the rest."""
+def _size(df: DataFrame) -> tuple[int, Column]:
+    """Bytes of a row that are the same in every row, and the length of the rest of it."""
     fixed, sums = ROW_BYTES, []
     for f in df.schema.fields:
         kind, column = f.dataType.simpleString(), F.col(f"`{f.name}`")
@@ -107,13 +107,32 @@ def measured_bytes(df: DataFrame) -> int:
             sums.append(F.octet_length(F.to_json(F.struct(column))))
         else:
             fixed += 16
-    length = sums[0] * 0 if sums else F.lit(0)
+    length = F.lit(0)
     for part in sums:
-        length = F.coalesce(length, F.lit(0)) + F.coalesce(part, F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(length.cast("long")).alias("b")).first()
+        length = length + F.coalesce(part, F.lit(0))
+    return fixed, length.cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, uncompressed: fixed widths times the counted rows, and the summed lengths of the rest."""
+    fixed, length = _size(df)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("b")).first()
     return int(row["n"]) * fixed + int(row["b"] or 0)
 
 
+def materialize_measured(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, with the bytes of all rows counted while they are written, for ``side_bytes``.
+
+    Rows of tasks that ran twice may count twice, so the figure errs on the large side.
+    """
+    fixed, length = _size(df)
+    seen = Observation()
+    stored = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(length).alias("b")), label)
+    found = seen.get
+    _measured[_key(stored)] = int(found["n"]) * fixed + int(found["b"] or 0)
+    return stored
+
+
 def _is_computed(df: DataFrame) -> bool:
     """Whether the plan does more than scan, filter and project."""
     try:
@@ -126,9 +145,13 @@ def _is_computed(df: DataFrame) -> bool:
 _measured: dict[tuple[str, int], int] = {}
 
 
+def _key(side: DataFrame) -> tuple[str, int]:
+    return side.sparkSession.sparkContext.applicationId, side.semanticHash()
+
+
 def side_bytes(side: DataFrame) -> int:
     """``measured_bytes``, remembered per application and plan."""
-    key = (side.sparkSession.sparkContext.applicationId, side.semanticHash())
+    key = _key(side)
     if key not in _measured:
         _measured[key] = measured_bytes(side)
     return _measured[key]
@@ -173,7 +196,7 @@ def attach(
             return fact.join(F.broadcast(side), on, how)
     planned = planned_bytes(side)
     if planned is None or planned > limit or _is_computed(side):
-        side = materialize(side, "side")
+        side = materialize_measured(side, "side") if limit > 0 else materialize(side, "side")
     if limit > 0 and side_bytes(side) <= limit:
         return fact.join(F.broadcast(side), on, how)
     return salted_join(fact, side, on, how, salts) if salts > 1 else fact.join(side, on, how)
