@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weekcast.catalog.registry import FINDING_COLUMNS, findings_sql, query
 from weekcast.catalog.tables import Tables
 from weekcast.functions.calendar import holiday_table
-from weekcast.operators import checks, clean, evaluate, forecast, profile
+from weekcast.operators import checks, clean, evaluate, forecast, normality, profile
 from weekcast.plans.features import temporal_features
 
 KEY = "store:s product:s year:i week:i"
@@ -591,14 +591,18 @@ def residual_report_by_segment(t: Tables):
     return evaluate.residual_report(t.scored, "quantity", "p_ma4", segment="product")
 
 
-@query("residual_normality", "ks_statistic:f p_value:f")
+NORMAL = "rows:i skewness:f kurtosis:f k_squared:f k_p_value:f ks_statistic:f ks_p_value:f"
+
+
+@query("residual_normality", NORMAL, normality.sql("errors", "residual"))
 def residual_normality(t: Tables):
     return evaluate.residual_normality(t.scored, "quantity", "p_ma4")
 
 
 @query("validation_report", "section:s name:s value:f verdict:s",
        f"""WITH m AS (SELECT {metrics_sql('p_ma8')} FROM scored), c AS ({COMPARED}),
-r AS ({residual_sql().replace('FROM errors', 'FROM (SELECT * REPLACE (quantity - p_ma8 AS residual) FROM errors)')})
+r AS ({residual_sql().replace('FROM errors', 'FROM (SELECT * REPLACE (quantity - p_ma8 AS residual) FROM errors)')}),
+g AS ({normality.sql('(SELECT quantity - p_ma8 AS residual FROM scored)', 'residual')})
 SELECT section, name, value, CASE WHEN name = 'wmape' THEN CASE WHEN value <= 25 THEN 'approved' ELSE 'rejected' END END
 AS verdict FROM (
 SELECT 'metrics' AS section, 'wmape' AS name, wmape AS value FROM m UNION ALL SELECT 'metrics', 'mae', mae FROM m UNION ALL
@@ -610,9 +614,10 @@ SELECT 'residuals', 'iqr_outlier_pct', iqr_outlier_pct FROM r UNION ALL SELECT '
 SELECT 'rank', 'wmape_rank', 1 + count(*) FROM c, m WHERE c.wmape < m.wmape AND method <> 'p_ma8' UNION ALL
 SELECT 'rank', 'mae_rank', 1 + count(*) FROM c, m WHERE c.mae < m.mae AND method <> 'p_ma8' UNION ALL
 SELECT 'rank', 'rmse_rank', 1 + count(*) FROM c, m WHERE c.rmse < m.rmse AND method <> 'p_ma8' UNION ALL
-SELECT 'baselines', 'least_improvement', min(100.0 * (c.wmape - m.wmape) / c.wmape) FROM c, m WHERE method <> 'p_ma8')""")
+SELECT 'baselines', 'least_improvement', min(100.0 * (c.wmape - m.wmape) / c.wmape) FROM c, m WHERE method <> 'p_ma8'
+{''.join(f" UNION ALL SELECT 'normality', '{n}', {n} FROM g" for n in evaluate.NORMALITY)})""")
 def validation_report(t: Tables):
-    return evaluate.validation_report(t.scored, "quantity", "p_ma8", ["p_lag1", "p_ma4", "p_mean"], normality=False)
+    return evaluate.validation_report(t.scored, "quantity", "p_ma8", ["p_lag1", "p_ma4", "p_mean"])
 
 
 # -- post-processing ----------------------------------------------------------------------------------

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import absolute_error, correlation, count_true, divide, percent_error, residual
 from weekcast.operators.clean import sales_band
 from weekcast.operators.select import pair_correlations
+from weekcast.operators.normality import normality
 from weekcast.operators.series import series_window
 from weekcast.plans.scale import attach, quantile_row, quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
@@ -302,11 +302,12 @@ def residual_report(
 
 
 def residual_normality(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Kolmogorov-Smirnov test of the residuals against a normal of the same mean and std."""
-    rows = df.select((F.col(actual) - F.col(predicted)).cast("double").alias("residual")).na.drop()
-    fit = rows.agg(F.avg("residual"), F.stddev_samp("residual")).head()
-    test = KolmogorovSmirnovTest.test(rows, "residual", "norm", float(fit[0]), float(fit[1]))
-    return test.select(F.col("statistic").alias("ks_statistic"), F.col("pValue").alias("p_value"))
+    """Normality of the residuals, by moments and by the Kolmogorov-Smirnov test with fitted mean and deviation."""
+    residual = F.col(actual).cast("double") - F.col(predicted).cast("double")
+    return normality(df.select(residual.alias("residual")), "residual")
+
+
+NORMALITY = ["skewness", "kurtosis", "k_squared", "k_p_value", "ks_statistic", "ks_p_value"]
 
 
 def validation_report(
@@ -316,7 +317,7 @@ def validation_report(
     baseline_columns: Sequence[str],
     spec: SeriesSpec = DEFAULT,
     threshold: float = WMAPE_THRESHOLD,
-    normality: bool = True,
+    with_normality: bool = True,
 ) -> DataFrame:
     """(section, name, value, verdict): metrics, residuals, rank among baselines, approval."""
     def rows(frame: DataFrame, section: str, names: Sequence[str]) -> DataFrame:
@@ -343,8 +344,8 @@ def validation_report(
             ["least_improvement"],
         )
     )
-    if normality:
-        parts.append(rows(residual_normality(df, actual, model), "residuals", ["ks_statistic", "p_value"]))
+    if with_normality:
+        parts.append(rows(residual_normality(df, actual, model), "normality", NORMALITY))
     table = reduce(lambda a, b: a.unionByName(b), parts)
     verdict = F.when(
         F.col("name") == "wmape", F.when(F.col("value") <= threshold, "approved").otherwise("rejected")
