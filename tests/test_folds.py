@@ -83,3 +83,21 @@ def test_one_hot_values_can_be_given(spark):
     out = store_type_onehot(df, values={"premise": ["v7", "none"]})
     assert out.agg(F.sum("store_type_v7"), F.sum("store_type_none")).first() == (1, 0)
     assert category_onehot(df, values=["x", "y"]).agg(F.sum("category_x"), F.sum("category_y"), F.sum("category_other")).first() == (1500, 0, 0)
+
+
+def test_many_store_types_in_long_form(spark):
+    """Values are numbered in order without a list of them; the wide form of so many is an error."""
+    from weekcast.operators import entity
+
+    stores = spark.range(3000).selectExpr("concat('s', id) store", "concat('v', lpad(id, 5, '0')) premise", "IF(id % 2 = 0, 'even', NULL) store_category", "id + 10000 AS zipcode")
+    index = entity.store_type_index(stores.unionByName(stores))
+    rows = index.orderBy("position").collect()
+    want = sorted({("store_type", f"v{i:05d}") for i in range(3000)} | {("store_category", "even"), ("region", "1")})
+    assert [(r.attribute, r.value) for r in rows] == want and [r.position for r in rows] == list(range(1, len(want) + 1))
+    found = entity.store_type_long(stores.where("store IN ('s0', 's1')"), ["store"], index).collect()
+    assert sorted((r.store, r.attribute) for r in found) == [
+        ("s0", "region"), ("s0", "store_category"), ("s0", "store_type"), ("s1", "region"), ("s1", "store_type")
+    ]
+    with pytest.raises(ValueError, match="store_type_long"):
+        entity.store_type_onehot(stores)
+    assert entity.store_type_index(stores.limit(0)).count() == 0

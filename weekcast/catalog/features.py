@@ -278,6 +278,19 @@ def store_type_onehot(t: Tables):
     return entity.store_type_onehot(t.panel_table, t.stores, VALUES)
 
 
+TYPES_SQL = """SELECT {k}'store_type' AS attribute, premise AS value FROM {s} UNION ALL
+SELECT {k}'store_category', store_category FROM {s} UNION ALL SELECT {k}'region', substr(CAST(CAST(zipcode AS INTEGER) AS VARCHAR), 1, 1) FROM {s}"""
+
+
+@query("store_type_long", f"{KEY} attribute:s value:s position:i",
+       f"""SELECT {KEY_SQL}, attribute, value, position FROM ({TYPES_SQL.format(k=KEY_SQL + ", ", s="panel")})
+JOIN (SELECT attribute, value, row_number() OVER (ORDER BY attribute, value) AS position
+  FROM (SELECT DISTINCT attribute, value FROM ({TYPES_SQL.format(k="", s="stores")}) WHERE value IS NOT NULL)) USING (attribute, value)""")
+def store_type_long(t: Tables):
+    """The 0/1 columns of store attributes in long form, with no list of values."""
+    return entity.store_type_long(t.panel_table, ["store", "product", "year", "week"], entity.store_type_index(t.stores))
+
+
 ZIP_SQL = """
 SELECT zipcode AS z, count(*) AS zip_density FROM panel GROUP BY zipcode"""
 ZIP_CUT = f"""(SELECT quantile_cont(zip_density, 0.75) AS c FROM panel JOIN ({ZIP_SQL}) ON zipcode = z)"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import divide, flag, slug, zip_region
 from weekcast.operators.joins import rank_entities, top_values
-from weekcast.plans.scale import JOIN_SALTS, attach, materialize, quantile_row, quantiles, with_scalars
+from weekcast.plans.scale import JOIN_SALTS, attach, materialize, numbered, quantile_row, quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 TOP_CATEGORIES = 10
@@ -133,9 +133,46 @@ def category_onehot(
     return df.withColumns({**_one_hot(df, column, names, column), **other})
 
 
+# A table of more 0/1 columns than this is no use; the long form has no such bound.
+MOST_COLUMNS = 2_000
+
+
 def dimension_values(dim: DataFrame, column: str) -> list:
-    """Distinct attribute values in order. They become column names, so they are read on the driver."""
-    return [r[0] for r in dim.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """Distinct attribute values in order. They become column names, so at most ``MOST_COLUMNS`` are read on the driver;
+    with more it is an error."""
+    values = dim.select(column).where(F.col(column).isNotNull()).distinct()
+    found = sorted(r[0] for r in values.limit(MOST_COLUMNS + 1).collect())
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has over {MOST_COLUMNS} values: name the wanted ones, or use store_type_long")
+    return found
+
+
+STORE_TYPES = {"premise": "store_type", "store_category": "store_category", "zipcode": "region"}
+
+
+def _store_types(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep..., attribute, value): one row per attribute that a row has."""
+    shown = {"zipcode": zip_region(F.col("zipcode"))} if "zipcode" in df.columns else {}
+    pairs = [
+        F.struct(F.lit(name).alias("attribute"), shown.get(column, F.col(column)).cast("string").alias("value"))
+        for column, name in STORE_TYPES.items() if column in df.columns
+    ]
+    long = df.select(*keep, F.inline(F.array(*pairs)))
+    return long.where(F.col("value").isNotNull())
+
+
+def store_type_index(stores: DataFrame) -> DataFrame:
+    """(attribute, value, position): every value of the store attributes with its place in their order, from 1.
+
+    The columns of a sparse 0/1 matrix, as a table: however many values there are, none comes to the driver.
+    """
+    return numbered(_store_types(stores, []).distinct(), "position", ["attribute", "value"])
+
+
+def store_type_long(df: DataFrame, keys: Sequence[str], index: DataFrame) -> DataFrame:
+    """(keys..., attribute, value, position) of every 1 in the sparse 0/1 matrix of ``df``; values that are not in
+    ``index`` have none."""
+    return attach(_store_types(df, keys), index, ["attribute", "value"], "inner").select(*keys, "attribute", "value", "position")
 
 
 def store_type_onehot(

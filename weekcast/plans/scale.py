@@ -69,6 +69,28 @@ def materialize(df: DataFrame, label: str = "table", cluster_by: Sequence[str] =
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ROW_BITS = 33  # of monotonically_increasing_id, below which the rows of a task are counted
+
+
+def numbered(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """``df`` with the place of each row in the order of its columns ``order``, from 1, without one big sort.
+
+    Rows are dealt out by ranges of the order and sorted inside; a number per task comes to the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    task = F.shiftright("_at", _ROW_BITS)
+    sizes = {r["task"]: r["n"] for r in stored.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for number in sorted(sizes):
+        offsets.append((number, before))
+        before += sizes[number]
+    table = df.sparkSession.createDataFrame(offsets, "_task bigint, _before bigint")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    joined = stored.withColumn("_task", task).join(F.broadcast(table), "_task")
+    return joined.withColumn(name, F.col("_before") + inside + 1).drop("_task", "_before", "_at")
+
+
 # -- joins -----------------------------------------------------------------------------------
 
 
