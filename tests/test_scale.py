@@ -118,6 +118,38 @@ def test_salt_spreads_a_group_of_copies(spark):
     assert copies.select(F.pmod(row, F.lit(scale.JOIN_SALTS)).alias("s")).distinct().count() > 8
 
 
+def test_only_hot_keys_are_repeated(spark, monkeypatch):
+    """A side of many keys is not written once per salt, and a hot key is still spread."""
+    monkeypatch.setattr(scale, "HOT_ROWS", 500)
+    fact = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), F.col("id").alias("v")
+    )
+    side = fact.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    want = fact.join(side, "key").orderBy("v").collect()
+    for options in ({}, {"weight": "rows"}, {"counted": fact.select("key")}):
+        joined = scale.salted_join(fact, side, ["key"], "inner", **options)
+        assert joined.orderBy("v").collect() == want
+        hot = scale.hot_buckets(fact, ["key"])
+        assert 1 <= len(hot) < 4
+        repeated = side.where(scale.key_bucket(["key"]).isin(hot))
+        assert repeated.where("key = 'hot'").count() == 1 and repeated.count() < side.count() / 10
+    # Keys of two types have different hashes and still meet.
+    numbers = spark.range(3000).select((F.col("id") % 2).cast("int").alias("key"))
+    assert scale.salted_join(numbers, spark.range(2).withColumnRenamed("id", "key"), ["key"], "inner").count() == 3000
+
+
+def test_a_large_side_is_never_broadcast_for_its_small_file(spark, tmp_path):
+    """Repetitive rows make a small file: only the rows counted decide."""
+    path = str(tmp_path / "side")
+    spark.range(300_000, numPartitions=1).select(F.col("id").alias("key"), F.lit("x" * 200).alias("note")).write.parquet(path)
+    side, fact = spark.read.parquet(path), spark.range(10).withColumnRenamed("id", "key")
+    assert scale.planned_bytes(side) < 10 << 20 < scale.measured_bytes(side)
+    for salts in (1, scale.JOIN_SALTS):
+        joined = scale.attach(fact, side, ["key"], "inner", limit=20 << 20, salts=salts)
+        assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
+        assert joined.count() == 10
+
+
 @pytest.mark.parametrize("name", ["join_stores", "product_stats", "dense_rank_total", "target_encoding", "holiday_flags",
                                   "drop_correlated", "week_coverage", "bound_by_history"])
 def test_queries_without_any_broadcast(spark, folder, name, monkeypatch):

@@ -74,7 +74,7 @@ def asof_join(
     inside = Window.partitionBy(*keys, "_part").orderBy("_t", F.col("_l").isNotNull(), "_r").rowsBetween(Window.unboundedPreceding, 0)
     mine = F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))
     found = both.withColumn("_found", F.last(mine, True).over(inside)).where(F.col("_l").isNotNull())
-    found = attach(found, carried, [*keys, "_part"])
+    found = attach(found, carried, [*keys, "_part"], counted=both)
     out = found.withColumn("_match", F.when(F.col("_part").isNotNull(), F.coalesce("_found", "_before")))
     if tolerance is not None:
         out = out.withColumn("_match", F.when(F.col("_t") - F.col("_match._t") <= tolerance, F.col("_match")))

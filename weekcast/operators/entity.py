@@ -211,7 +211,7 @@ def zip_table(df: DataFrame, zipcode: str = "zipcode") -> DataFrame:
 
 def zip_density(df: DataFrame, zipcode: str = "zipcode", source: DataFrame | None = None) -> DataFrame:
     source = df if source is None else source
-    out = attach(df, zip_table(source, zipcode), [zipcode])
+    out = attach(df, zip_table(source, zipcode), [zipcode], counted=source)
     return out.withColumn("is_urban", F.coalesce(F.col("is_urban"), F.lit(0)))
 
 
@@ -236,9 +236,9 @@ def target_encoding(df: DataFrame, spec: SeriesSpec = DEFAULT, leak_safe: bool =
     for name, keys in groups.items():
         salts = 1 if keys == spec.series else JOIN_SALTS
         if leak_safe:
-            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], salts=salts)
+            out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], salts=salts, counted=df)
         else:
-            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, salts=salts)
+            out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, salts=salts, counted=df)
     return out
 
 
@@ -307,8 +307,10 @@ def entity_history(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEF
 def past_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFrame | None = None) -> DataFrame:
     """Product and store statistics of earlier weeks on every row."""
     source = df if source is None else source
-    out = attach(df, entity_history(source, spec.product, "product", spec), [spec.product, spec.week_date])
-    return attach(out, entity_history(source, spec.store, "store", spec), [spec.store, spec.week_date])
+    out = df
+    for entity, name in ((spec.product, "product"), (spec.store, "store")):
+        out = attach(out, entity_history(source, entity, name, spec), [entity, spec.week_date], counted=source)
+    return out
 
 
 def product_features(
@@ -329,8 +331,8 @@ def product_features(
     if "unit_price" in df.columns:
         out = price_tiers(out, source=source)
     if "brand" in df.columns:
-        out = attach(out, brand_breadth(source, spec), ["brand"])
-    return attach(out, product_table(source, spec), [spec.product])
+        out = attach(out, brand_breadth(source, spec), ["brand"], counted=source)
+    return attach(out, product_table(source, spec), [spec.product], weight="product_num_sales")
 
 
 def store_features(
@@ -345,4 +347,4 @@ def store_features(
     out = store_type_onehot(df, stores if stores is not None else source, values)
     if "zipcode" in df.columns:
         out = zip_density(out, source=source)
-    return attach(out, store_table(source, spec), [spec.store])
+    return attach(out, store_table(source, spec), [spec.store], weight="store_num_sales")
