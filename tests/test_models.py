@@ -273,3 +273,23 @@ def test_invalid_input_stops_the_forecast(spark, panel):
 
     with pytest.raises(checks.DataQualityError, match="empty"):
         forecast.generate_forecast(panel.limit(0), Never())
+
+
+def test_bootstrap_counts_follow_the_digest_in_one_small_expression(spark):
+    """A hundred expressions in one aggregation are not compiled; the counts are those of the number in the digest."""
+    import hashlib
+
+    rows = [(f"k{i}", float(i % 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, p double")
+    out = ensemble.bootstrap_stability(df, "p", ["k"], 100)
+    assert out._jdf.queryExecution().executedPlan().toString().count("sum(") < 20
+    means = []
+    for b in range(1, 101):
+        draws = [int(hashlib.md5(f"{k}|{b}".encode()).hexdigest()[:8], 16) / (1 << 32) for k, _ in rows]
+        counts = [sum(u >= c for c in ensemble.POISSON_CUMULATIVE) for u in draws]
+        means.append(sum(n * p for n, (_, p) in zip(counts, rows, strict=True)) / sum(counts))
+    row = out.head()
+    assert abs(row["mean"] - np.mean(means)) < 1e-9 and abs(row["std"] - np.std(means)) < 1e-9
+    limits = [(f"{n:08x}" + "0" * 24, n / (1 << 32)) for c in ensemble.POISSON_CUMULATIVE for n in range(int(c * (1 << 32)) - 1, int(c * (1 << 32)) + 3)]
+    got = spark.createDataFrame(limits, "d string, u double").select("u", ensemble._poisson(F.col("d")).alias("n")).collect()
+    assert all(r.n == sum(r.u >= c for c in ensemble.POISSON_CUMULATIVE) for r in got)
