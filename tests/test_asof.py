@@ -6,6 +6,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weekcast.operators.asof import asof_join
 
@@ -47,6 +48,21 @@ def test_against_a_loop(spark, direction, keyed, tolerance, ranges):
     assert order(map(tuple, got.collect())) == order(plain(left, right, direction, tolerance, keyed))
 
 
+def test_rows_of_one_time_are_not_sent_to_one_task(spark, monkeypatch):
+    """Many rows with few times are not exchanged at all; with many times there are more ranges."""
+    from weekcast.operators import asof
+
+    a = spark.range(50_000).select((F.col("id") % 3).cast("double").alias("t"), F.col("id").alias("i"))
+    b = spark.createDataFrame([(0.5, "x"), (1.5, "y")], "rt double, v string")
+    joined = asof_join(a, b, "t", "rt")
+    assert sorted(map(tuple, joined.groupBy("t", "v").count().collect()), key=str) == [(0.0, None, 16667), (1.0, "x", 16667), (2.0, "y", 16666)]
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Window" not in text and "hashpartitioning" not in text
+    monkeypatch.setattr(asof, "RANGE_TIMES", 10)
+    many = asof_join(spark.range(5000).select(F.col("id").cast("double").alias("t")), b, "t", "rt", direction="forward")
+    assert many.where("v IS NOT NULL").orderBy("t").collect() == [(0.0, 0.5, "x"), (1.0, 1.5, "y")]
+
+
 def test_dates_and_times(spark):
     a = spark.createDataFrame([(DAY, 1), (DAY + datetime.timedelta(days=9), 2)], "d date, i int")
     b = spark.sql("SELECT timestamp'2019-12-31 23:00:00' AS at, 'x' AS v UNION ALL SELECT timestamp'2020-01-05 01:00:00', 'y'")

@@ -1,9 +1,10 @@
 """As-of joins: to every row the latest earlier, or the next later, row of another table.
 
-Both sides are laid one above the other and ordered by time; the newest row of the right side so far is carried along.
-Nothing is compared pairwise and no side is broadcast. Time is cut into ranges, so that neither a key that holds most
-rows nor a join without keys ends in one task: within a range rows are carried as above, and what comes from earlier
-ranges is one row per key and range.
+The distinct times of both sides are laid one above the other and ordered; the newest row of the right side so far is
+carried along. Nothing is compared pairwise. Time is cut into ranges, more of them the more times there are, so that
+neither a key that holds most times nor a join without keys ends in one task: within a range rows are carried as above,
+and what comes from earlier ranges is one row per key and range. What is found is attached to the rows by key and time,
+so rows of one time are never sorted, and not sent where the times are few.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from weekcast.plans.scale import attach, materialize
 
-RANGES = 64
+# Ranges of time at least, and the times that one should hold.
+RANGES, RANGE_TIMES = 64, 100_000
 
 
 def _seconds(time: Column, kind: str) -> Column:
@@ -54,28 +56,35 @@ def asof_join(
         return frame.select(number.alias("_t"), *[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)],
                             F.struct(*[F.col(f"`{c}`") for c in (left.columns if name == "_l" else given)]).alias(name))
 
-    a, b = side(left, time, "_l"), side(right, right_time, "_r").where(F.col("_t").isNotNull())
-    both = a.withColumn("_r", F.lit(None).cast(b.schema["_r"].dataType)).unionByName(b.withColumn("_l", F.lit(None).cast(a.schema["_l"].dataType)))
-    ends = b.agg(F.min("_t").alias("low"), F.max("_t").alias("high")).first()
+    a = materialize(side(left, time, "_l"), "asof-rows")
+    b = side(right, right_time, "_r").where(F.col("_t").isNotNull()).groupBy(*keys, "_t").agg(F.max("_r").alias("_r"))
+    wanted = a.where(F.col("_t").isNotNull()).select(*keys, "_t").distinct()
+    kind = b.schema["_r"].dataType
+    both = wanted.withColumn("_r", F.lit(None).cast(kind)).withColumn("_row", F.lit(True)).unionByName(b.withColumn("_row", F.lit(False)))
+    both = materialize(both, "asof")
+    given_time = F.when(~F.col("_row"), F.col("_t"))
+    ends = both.agg(F.min(given_time).alias("low"), F.max(given_time).alias("high"), F.count(F.lit(1)).alias("n")).first()
     if ends["low"] is None or ends["low"] == ends["high"]:
         part = F.lit(0)
     else:
+        ranges = max(ranges, ends["n"] // RANGE_TIMES)
         width = (ends["high"] - ends["low"]) / ranges
+        # Times before all of the right side have range -1.
         part = F.least(F.greatest(F.floor((F.col("_t") - ends["low"]) / width), F.lit(-1)), F.lit(ranges)).cast("int")
-    # Rows of the left side before all of the right have range -1; those without a time match nothing.
-    both = materialize(both.withColumn("_part", F.when(F.col("_t").isNotNull(), part)), "asof")
-    last = both.where(F.col("_r").isNotNull()).groupBy(*keys, "_part").agg(F.max(F.struct("_t", "_r")).alias("_last"))
+    both = both.withColumn("_part", part)
+    last = both.where(~F.col("_row")).groupBy(*keys, "_part").agg(F.max(F.struct("_t", "_r")).alias("_last"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if keys else (
         Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     # One row per key and range, for every range that the key has on either side.
-    places = both.where(F.col("_part").isNotNull()).select(*keys, "_part").distinct()
+    places = both.select(*keys, "_part").distinct()
     carried = places.join(last, [*keys, "_part"], "left").withColumn("_before", F.last("_last", True).over(earlier))
     carried = carried.select(*keys, "_part", "_before")
-    inside = Window.partitionBy(*keys, "_part").orderBy("_t", F.col("_l").isNotNull(), "_r").rowsBetween(Window.unboundedPreceding, 0)
-    mine = F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))
-    found = both.withColumn("_found", F.last(mine, True).over(inside)).where(F.col("_l").isNotNull())
+    inside = Window.partitionBy(*keys, "_part").orderBy("_t", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    mine = F.when(~F.col("_row"), F.struct("_t", "_r"))
+    found = both.withColumn("_found", F.last(mine, True).over(inside)).where("_row")
     found = attach(found, carried, [*keys, "_part"], counted=both)
-    out = found.withColumn("_match", F.when(F.col("_part").isNotNull(), F.coalesce("_found", "_before")))
+    found = found.select(*keys, "_t", F.coalesce("_found", "_before").alias("_match"))
+    out = attach(a, found, [*keys, "_t"])
     if tolerance is not None:
         out = out.withColumn("_match", F.when(F.col("_t") - F.col("_match._t") <= tolerance, F.col("_match")))
     return out.select("_l.*", *[F.col(f"_match._r.`{c}`").alias(c) for c in given])
