@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weekcast.functions import calendar
 from weekcast.operators import entity, folds, models, series
-from weekcast.plans import features
+from weekcast.plans import features, scale
+from weekcast.plans.scale import materialize
 
 
 def of(df, store):
@@ -162,3 +163,21 @@ def test_holdout_splits_on_weeks(panel):
 def test_temporal_split_counts(panel):
     got = folds.temporal_split(panel).toPandas()
     assert got.groupby("split").week.nunique().to_dict() == {"train": 16, "validation": 2, "test": 2}
+
+
+def test_past_statistics_take_no_side_table_without_hot_entities(spark, panel, monkeypatch):
+    """One exchange per entity instead of a table of entities x weeks; large entities keep it, with equal rows."""
+    holes = spark.createDataFrame(
+        [(None, "p", 2022, 2, dt.date(2022, 1, 12), 3.0), ("ramp", None, 2022, 3, dt.date(2022, 1, 19), 4.0),
+         ("ramp", "q", 2022, 4, dt.date(2022, 1, 24), None), ("ramp", "q", 2022, 5, None, 5.0)], panel.schema)
+    rows = materialize(panel.unionByName(holes), "rows")
+    forms = [entity.past_features, lambda df: entity.target_encoding(df, leak_safe=True)]
+    plain = [form(rows) for form in forms]
+    for df in plain:
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(scale, "HOT_ROWS", 0)
+    for form, df in zip(forms, plain):
+        joined = form(rows).select(*df.columns)
+        assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert df.dtypes == joined.dtypes and df.count() == rows.count()
+        assert df.exceptAll(joined).count() == joined.exceptAll(df).count() == 0

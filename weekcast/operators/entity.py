@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weekcast.functions.scalars import divide, flag, slug, zip_region
 from weekcast.operators.joins import rank_entities, top_values
-from weekcast.plans.scale import JOIN_SALTS, attach, materialize, numbered, quantile_row, quantiles, with_scalars
+from weekcast.plans.scale import JOIN_SALTS, attach, hot_buckets, materialize, numbered, quantile_row, quantiles, with_scalars
 from weekcast.spec import DEFAULT, SeriesSpec
 
 TOP_CATEGORIES = 10
@@ -223,8 +223,8 @@ def entity_ranking(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEF
 def target_encoding(df: DataFrame, spec: SeriesSpec = DEFAULT, leak_safe: bool = False) -> DataFrame:
     """Mean target per product, per store and per series on every row.
 
-    ``leak_safe`` uses earlier weeks only: sums per (entity, week) are accumulated over weeks, a
-    table of entities x weeks, and attached on (entity, week).
+    ``leak_safe`` uses earlier weeks only: running sums over the rows of an entity (see ``windowed``), or sums per
+    (entity, week) accumulated over weeks, a table of entities x weeks, and attached on (entity, week).
     """
     q = F.col(spec.target)
     groups = {
@@ -235,13 +235,34 @@ def target_encoding(df: DataFrame, spec: SeriesSpec = DEFAULT, leak_safe: bool =
     out = df
     for name, keys in groups.items():
         salts = 1 if keys == spec.series else JOIN_SALTS
-        if leak_safe:
+        if leak_safe and windowed(df, keys, spec):
+            past = _earlier(keys, spec)
+            known = F.col(spec.week_date).isNotNull()
+            for key in keys:
+                known = known & F.col(key).isNotNull()
+            out = out.withColumn(name, F.when(known, divide(F.sum(q).over(past), F.count(q).over(past))))
+        elif leak_safe:
             out = attach(out, _past_mean(df, keys, name, spec), [*keys, spec.week_date], salts=salts, counted=df)
         else:
             out = attach(out, df.groupBy(*keys).agg(F.avg(q).alias(name)), keys, salts=salts, counted=df)
     return out
 
 
+def windowed(df: DataFrame, keys: Sequence[str], spec: SeriesSpec) -> bool:
+    """Whether statistics of earlier weeks are taken by windows over the rows of each entity, without a side table.
+
+    Right where no entity has more rows than a task should hold (see ``hot_buckets``): the rows are exchanged once, where
+    a table of entities x weeks that is about as long is exchanged three times and written.
+    """
+    return df.schema[spec.week_date].dataType.simpleString() == "date" and not hot_buckets(df, keys)
+
+
+def _earlier(keys: Sequence[str], spec: SeriesSpec) -> WindowSpec:
+    """The rows of an entity in the weeks before a row's week."""
+    ordered = Window.partitionBy(*keys).orderBy(F.unix_date(spec.week_date).cast("long"))
+    return ordered.rangeBetween(Window.unboundedPreceding, -1)
+
+
 def _past_mean(df: DataFrame, keys: Sequence[str], name: str, spec: SeriesSpec) -> DataFrame:
     weekly = df.groupBy(*keys, spec.week_date).agg(F.sum(spec.target).alias("_s"), F.count(spec.target).alias("_c"))
     past = Window.partitionBy(*keys).orderBy(spec.week_date).rowsBetween(Window.unboundedPreceding, -1)
@@ -288,28 +309,54 @@ def entity_history(df: DataFrame, entity: str, name: str, spec: SeriesSpec = DEF
         F.sum(q).alias("_s"), F.sum(q * q).alias("_s2"), F.count(q).alias("_c"), F.min(q).alias("_lo"), F.max(q).alias("_hi")
     )
     past = Window.partitionBy(entity).orderBy(spec.week_date).rowsBetween(Window.unboundedPreceding, -1)
-    total, squares, rows = F.sum("_s").over(past), F.sum("_s2").over(past), F.sum("_c").over(past)
+    found = _past_columns(
+        name, F.sum("_s").over(past), F.sum("_s2").over(past), F.sum("_c").over(past), F.min("_lo").over(past),
+        F.max("_hi").over(past), F.count(F.lit(1)).over(past),
+    )
+    return weekly.select(entity, spec.week_date, *[e.alias(n) for n, e in found.items()])
+
+
+def _past_columns(
+    name: str, total: Column, squares: Column, rows: Column, low: Column, high: Column, weeks: Column
+) -> dict[str, Column]:
     mean = divide(total, rows)
     spread = divide(squares - rows * mean * mean, rows - 1)
-    return weekly.select(
-        entity,
-        spec.week_date,
-        mean.alias(f"{name}_past_mean"),
-        F.sqrt(F.greatest(spread, F.lit(0.0))).alias(f"{name}_past_std"),
-        F.min("_lo").over(past).alias(f"{name}_past_min"),
-        F.max("_hi").over(past).alias(f"{name}_past_max"),
-        F.coalesce(total, F.lit(0.0)).alias(f"{name}_past_total"),
-        F.coalesce(rows, F.lit(0)).alias(f"{name}_past_rows"),
-        F.count(F.lit(1)).over(past).alias(f"{name}_past_weeks"),
+    return {
+        f"{name}_past_mean": mean,
+        f"{name}_past_std": F.sqrt(F.greatest(spread, F.lit(0.0))),
+        f"{name}_past_min": low,
+        f"{name}_past_max": high,
+        f"{name}_past_total": F.coalesce(total, F.lit(0.0)),
+        f"{name}_past_rows": F.coalesce(rows, F.lit(0)),
+        f"{name}_past_weeks": weeks,
+    }
+
+
+def _windowed_history(df: DataFrame, entity: str, name: str, spec: SeriesSpec) -> DataFrame:
+    """``df`` with the columns of ``entity_history``, by running sums over the rows of each entity."""
+    q, past = F.col(spec.target).cast("double"), _earlier([entity], spec)
+    weeks = F.dense_rank().over(Window.partitionBy(entity).orderBy(F.unix_date(spec.week_date).cast("long"))) - 1
+    found = _past_columns(
+        name, F.sum(q).over(past), F.sum(q * q).over(past), F.count(q).over(past), F.min(q).over(past), F.max(q).over(past),
+        weeks.cast("long"),
     )
+    known = F.col(entity).isNotNull() & F.col(spec.week_date).isNotNull()
+    return df.withColumns({n: F.when(known, e) for n, e in found.items()})
 
 
 def past_features(df: DataFrame, spec: SeriesSpec = DEFAULT, source: DataFrame | None = None) -> DataFrame:
-    """Product and store statistics of earlier weeks on every row."""
-    source = df if source is None else source
+    """Product and store statistics of earlier weeks on every row.
+
+    Windows over the rows of ``df`` where they are its own source and no entity is too large for a task, else a table of
+    entities x weeks.
+    """
+    rows = df if source is None else source
     out = df
     for entity, name in ((spec.product, "product"), (spec.store, "store")):
-        out = attach(out, entity_history(source, entity, name, spec), [entity, spec.week_date], counted=source)
+        if source is None and windowed(df, [entity], spec):
+            out = _windowed_history(out, entity, name, spec)
+        else:
+            out = attach(out, entity_history(rows, entity, name, spec), [entity, spec.week_date], counted=rows)
     return out
 
 

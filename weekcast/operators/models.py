@@ -283,8 +283,11 @@ def score_with(frame: DataFrame, model, features: Sequence[str], prediction: str
 
 
 def folded(frame: DataFrame, spec: SeriesSpec = DEFAULT, n_splits: int = N_SPLITS, test_weeks: int = TEST_WEEKS):
-    """Frame with fold ids, written once so the fold loop does not rebuild the features."""
-    return materialize(temporal_folds(frame, spec, n_splits, test_weeks), "folds", spec.series)
+    """Frame with fold ids, written once so the fold loop does not rebuild the features.
+
+    Not dealt again: the windows of the features have left the rows of a series together.
+    """
+    return materialize(temporal_folds(frame, spec, n_splits, test_weeks), "folds")
 
 
 def oof_predictions(
