@@ -169,7 +169,8 @@ def test_past_statistics_take_no_side_table_without_hot_entities(spark, panel, m
     """One exchange per entity instead of a table of entities x weeks; large entities keep it, with equal rows."""
     holes = spark.createDataFrame(
         [(None, "p", 2022, 2, dt.date(2022, 1, 12), 3.0), ("ramp", None, 2022, 3, dt.date(2022, 1, 19), 4.0),
-         ("ramp", "q", 2022, 4, dt.date(2022, 1, 24), None), ("ramp", "q", 2022, 5, None, 5.0)], panel.schema)
+         ("ramp", "q", 2022, 4, dt.date(2022, 1, 24), None), ("ramp", "q", 2022, 5, None, 5.0)],
+        "store string, product string, year int, week int, week_date date, quantity double")
     rows = materialize(panel.unionByName(holes), "rows")
     forms = [entity.past_features, lambda df: entity.target_encoding(df, leak_safe=True)]
     plain = [form(rows) for form in forms]
