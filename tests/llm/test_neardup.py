@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from tests.llm.helpers import components, documents
-from weekcast.llm import neardup
+from weekcast.llm import neardup, simhash
 
 
 def plain_shingles(text):
@@ -47,8 +47,6 @@ def test_stage_against_all_pairs(spark, folder):
 @pytest.mark.parametrize("block", [8192, 40])
 def test_edited_copies(spark, monkeypatch, block):
     """Copies with some words changed, more than three bits away; small blocks split the segments."""
-    from weekcast.llm import simhash
-
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     draw = random.Random(3)
     texts = []
@@ -80,3 +78,34 @@ def test_forest_has_the_strongest_pairs():
         want = components(range(40), zip(i[weight >= level].tolist(), j[weight >= level].tolist(), strict=True))
         some = at[weight[at] >= level]
         assert components(range(40), zip(i[some].tolist(), j[some].tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("leaf", [16, 1 << 14])
+def test_candidates_come_from_a_walk_of_tries_in_pairs(monkeypatch, same, leaf):
+    """The same pairs as all comparisons, and a pair of nodes whose paths differ too much is not compared."""
+    walked, compared, walk, blocks = [], [], neardup.trie_links, simhash._blocks
+
+    def counted(a, b, alo, ahi, blo, bhi, budget):
+        compared.append(int(((ahi - alo) * (bhi - blo)).sum()))
+        return blocks(a, b, alo, ahi, blo, bhi, budget)
+
+    monkeypatch.setattr(neardup, "trie_links", lambda *args: walked.append(args[3]) or walk(*args))
+    monkeypatch.setattr(simhash, "_blocks", counted)
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    draw = np.random.default_rng(5)
+    low = draw.integers(0, 1 << 30, 400, dtype=np.uint64)
+    far = np.uint64(0x03FFFFF000000000)  # 22 bits below the five leading ones
+    values = np.concatenate([low, low ^ np.uint64(0b1011), low ^ far, low[:50]])
+    if same:
+        values[:100] ^= np.uint64(1) << np.uint64(63)
+    first = draw.random(len(values)) < 0.5
+    got = [np.sort(np.stack(p), axis=0) for p in neardup._near(values, first, same, 5)]
+    got = {(int(i), int(j)) for p in got for i, j in p.T}
+    apart = np.bitwise_count(values[:, None] ^ values[None, :])
+    near = (apart <= neardup.MAX_BITS) & (values[:, None] >> np.uint64(59) == values[None, :] >> np.uint64(59))
+    near &= np.ones_like(near) if same else first[:, None] != first[None, :]
+    assert got == {(int(i), int(j)) for i, j in np.argwhere(near) if i < j}
+    assert walked == [neardup.MAX_BITS]
+    every = len(values) ** 2 // 2 if same else int(first.sum() * (~first).sum())
+    assert sum(compared) < every * 0.8

@@ -91,11 +91,22 @@ def runs_of(sorted_values: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(heads)]])
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, lead: int = 0):
+def _blocks(a, b, alo, ahi, blo, bhi, budget):
+    """Yield (i, j, which) of pairs of ranges, one after the other; of equal values there may be many, so in steps."""
+    for n, (lo, hi, lo2, hi2) in enumerate(zip(*(x.tolist() for x in (alo, ahi, blo, bhi)), strict=True)):
+        step = max(1, FRONTIER // (hi2 - lo2))
+        for at in range(lo, hi, step):
+            i, j = np.nonzero(np.bitwise_count(a[at : min(at + step, hi), None] ^ b[None, lo2:hi2]) <= budget)
+            if len(i):
+                yield i + at, j + lo2, n
+
+
+def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, lead: int = 0, leaf: int = LEAF):
     """Yield (i, j) arrays of positions with equal ``lead`` leading bits and at most ``budget`` differing ones,
     walking the tries of the sorted arrays together. ``same``: a is b, and a pair is found once.
 
-    If a is not b, all values must have the same leading bits.
+    If a is not b, all values must have the same leading bits. Pairs of nodes whose sizes multiply to ``leaf`` or less
+    are compared directly: all such pairs in one array, or with a wider ``leaf`` than usual one pair of nodes after the other.
     """
     if not len(a) or not len(b):
         return
@@ -118,8 +129,15 @@ def trie_links(a: np.ndarray, b: np.ndarray, same: bool, budget: int, lead: int
     while stack:
         bit, nodes = stack.pop()
         alo, ahi, blo, bhi, diff = nodes
-        small = ((ahi - alo) * (bhi - blo) <= LEAF) | (bit < 0)
-        if small.any():
+        small = ((ahi - alo) * (bhi - blo) <= leaf) | (bit < 0)
+        if leaf > LEAF:
+            for i, j, n in _blocks(a, b, *(x[small] for x in (alo, ahi, blo, bhi)), budget):
+                if same and alo[small][n] == blo[small][n]:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield i, j
+            alo, ahi, blo, bhi, diff = (x[~small] for x in nodes)
+        elif small.any():
             i, j, which = _expand(alo[small], ahi[small], blo[small], bhi[small])
             near = np.bitwise_count(a[i] ^ b[j]) <= budget
             if same:
