@@ -118,3 +118,34 @@ def test_many_pairs_come_from_one_matrix(spark):
             assert r is None
         else:
             assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_rank_bins_need_no_rank_of_every_value(spark, monkeypatch):
+    """Bins by average rank from the values at their ends only, ties and hot values included."""
+    monkeypatch.setattr(select, "value_ranks", None)
+    draw = np.random.default_rng(5)
+    for n in (7, 30, 1001):
+        data = pd.DataFrame({
+            "a": draw.integers(0, 6, n).astype(float), "b": np.where(draw.random(n) < 0.4, 0.0, draw.normal(size=n)),
+            "c": draw.normal(size=n) * 1e6, "y": draw.integers(0, 40, n).astype(float),
+        })
+        bins = np.minimum(np.floor(data.rank() / n * 10), 9)
+        df = spark.createDataFrame(data)
+        edges = select.bin_edges(df, list(data.columns), 10)
+        got = df.select(*data.columns, *[select.rank_bin(F.col(c), edges[c]).alias(f"_{c}") for c in data.columns]).toPandas()
+        for c in data.columns:
+            assert got[f"_{c}"].tolist() == bins.set_index(data[c])[c].groupby(level=0).first().loc[got[c]].tolist()
+        scores = {r.feature: r.score for r in select.mutual_information(df, ["a", "b", "c"], "y").collect()}
+        for c in "abc":
+            joint = pd.crosstab(bins[c], bins["y"]).to_numpy() / n
+            outer = np.outer(joint.sum(axis=1), joint.sum(axis=0))
+            want = (joint[joint > 0] * np.log(joint[joint > 0] / outer[joint > 0])).sum()
+            assert scores[c] == pytest.approx(want, abs=1e-9)
+
+
+def test_selection_matrix_takes_one_exchange(spark, folder):
+    from weekcast.catalog import modelling
+    from weekcast.catalog.tables import Tables
+
+    plan = modelling.matrix_rows(Tables(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(store") == 1 and "Exchange hashpartitioning(product" not in plan

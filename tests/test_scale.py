@@ -209,3 +209,9 @@ def test_no_query_plan_has_a_cartesian_product(spark, folder):
     for name in ("clean_transactions", "price_tiers", "weight_candidates", "tame_extremes", "pareto_front", "trend_features"):
         text = plan(entry.queries()[name](spark, folder))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_located_values_tell_the_rows_of_a_value(spark):
+    df = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 2, 5, 5, 9]], "value double")
+    rows = scale.located_values(df, "value", [F.floor(F.col("_total") / 2).cast("long")]).where("_start <= 3 AND _end > 3").collect()
+    assert [(r._value, r._start, r._end, r._n, r._total) for r in rows] == [(2.0, 3, 4, 1, 7)]
