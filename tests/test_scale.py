@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -211,6 +212,20 @@ def test_no_query_plan_has_a_cartesian_product(spark, folder):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
+def test_column_ranks_cut_large_buckets_and_keep_ties(spark, monkeypatch):
+    """Average ranks as pandas gives them: few values, a frequent value, a narrow band far from zero, signs."""
+    monkeypatch.setattr(scale, "RANKED_ROWS", 16)
+    draw = np.random.default_rng(4)
+    n = 3000
+    data = pd.DataFrame({
+        "few": draw.integers(-3, 4, n).astype(float), "hot": np.where(draw.random(n) < 0.6, 0.0, draw.normal(size=n) * 1e-4),
+        "band": 1e9 + draw.integers(0, 900, n) / 1000, "wide": draw.normal(size=n) * 10.0 ** draw.integers(-3, 6, n), "one": 5.0,
+    })
+    df = spark.createDataFrame(data.assign(id=range(n)))
+    got = scale.column_ranks(df, list(data.columns), "id").toPandas().set_index("id").sort_index()
+    pd.testing.assert_frame_equal(got, data.rank(), check_names=False)
+
+
 def test_located_values_tell_the_rows_of_a_value(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 2, 5, 5, 9]], "value double")
     rows = scale.located_values(df, "value", [F.floor(F.col("_total") / 2).cast("long")]).where("_start <= 3 AND _end > 3").collect()
