@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weekcast.operators import leafwise, models
@@ -140,3 +141,29 @@ def test_awkward_frames(spark, tmp_path):
     assert {r.i: r.prediction for r in models.predict(again, holes).collect()} == shown
     assert [r.feature for r in models.importances(model, holes).collect()][0] in ("a", "b")
     assert sum(r.importance for r in models.importances(model, holes).collect()) == sum(model.splits())
+
+
+def test_pending_trees_are_applied_to_counted_rows_only():
+    """A pass that counts the smaller child sends no other row through the trees that the scores lack."""
+    seen = []
+
+    class Recorded(leafwise.Tree):
+        def add_to(self, score, bins):
+            seen.append(len(bins))
+            super().add_to(score, bins)
+
+    codes = np.arange(200, dtype=np.uint8).reshape(100, 2)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(np.arange(100.0)), pa.array(np.arange(100)), pa.array(np.ones(100)),
+         pa.array(np.arange(100) < 5)],
+        names=["bins", "y", "mark", "score", "held"],
+    )
+    pending, tree = Recorded(), leafwise.Tree()
+    left, right = pending.split(0, 1, 99)
+    pending.value[left], pending.value[right] = 0.5, -0.5
+    left, _ = tree.split(0, 0, 38)
+    slots = np.full(3, -1)
+    slots[left] = 0
+    slot, bins, gradient = leafwise._counted(batch, 2, [pending], tree, slots, 1, 1.0)
+    assert seen == [15] and slot.tolist() == [0] * 15 and bins.tolist() == codes[5:20].tolist()
+    assert gradient.tolist() == (1.5 - np.arange(5.0, 20.0)).tolist()

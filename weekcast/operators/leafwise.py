@@ -187,17 +187,27 @@ def binned_table(
     return materialize(inputs.mapInArrow(run, TABLE), "binned")
 
 
-def _rows(batch: pa.RecordBatch, width: int, pending: Sequence[Tree]):
-    """(bins, y, mark, score, held) of a batch of the table, with the trees still to be applied."""
+def _columns(batch: pa.RecordBatch, width: int):
+    """(bins, y, mark, score, held) of a batch of the table, with the scores as they were written."""
     packed = batch.column(0)
     flat = np.frombuffer(packed.buffers()[2], np.uint8)
     first = packed.offset and int(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset])
     bins = flat[first : first + len(packed) * width].reshape(-1, width)
     y, mark, score = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+    return bins, y, mark, score, batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _rows(batch: pa.RecordBatch, width: int, pending: Sequence[Tree]):
+    """The same with the trees still to be applied."""
+    bins, y, mark, score, held = _columns(batch, width)
+    return bins, y, mark, _applied(score, bins, pending), held
+
+
+def _applied(score: np.ndarray, bins: np.ndarray, pending: Sequence[Tree]) -> np.ndarray:
     score = score.copy()
     for tree in pending:
         tree.add_to(score, bins)
-    return bins, y, mark, score, batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+    return score
 
 
 def sampled(mark: np.ndarray, draw: int, share: float) -> np.ndarray:
@@ -213,6 +223,21 @@ def sampled(mark: np.ndarray, draw: int, share: float) -> np.ndarray:
 # -- growing a tree --------------------------------------------------------------------------
 
 
+def _counted(
+    batch: pa.RecordBatch, width: int, pending: Sequence[Tree], tree: Tree, slots: np.ndarray, draw: int, share: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, bins, gradient) of the rows of a batch that a pass counts.
+
+    The trees that the written scores lack are the dearest part, and most passes count few rows: they are applied to these only.
+    """
+    codes, y, mark, score, held = _columns(batch, width)
+    drawn = np.flatnonzero(~held & sampled(mark, draw, share))
+    slot = slots[tree.leaves_of(codes[drawn])]
+    used = drawn[slot >= 0]
+    codes = codes[used]
+    return slot[slot >= 0], codes, _applied(score[used], codes, pending) - y[used]
+
+
 def histograms(
     table: DataFrame, width: int, bins: int, pending: Sequence[Tree], tree: Tree, nodes: Sequence[int], draw: int, share: float
 ) -> dict[int, np.ndarray]:
@@ -226,12 +251,10 @@ def histograms(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, y, mark, score, held = _rows(batch, width, pending)
-            slot = slots[tree.leaves_of(codes)]
-            used = (slot >= 0) & ~held & sampled(mark, draw, share)
-            at = (slot[used, None] * width + np.arange(width)) * bins + codes[used]
+            slot, codes, gradient = _counted(batch, width, pending, tree, slots, draw, share)
+            at = (slot[:, None] * width + np.arange(width)) * bins + codes
             totals[0] += np.bincount(at.ravel(), minlength=size)
-            totals[1] += np.bincount(at.ravel(), weights=np.repeat(score[used] - y[used], width), minlength=size)
+            totals[1] += np.bincount(at.ravel(), weights=np.repeat(gradient, width), minlength=size)
         some = np.flatnonzero(totals[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["at", "n", "g"])
 
