@@ -149,3 +149,18 @@ def test_selection_matrix_takes_one_exchange(spark, folder):
 
     plan = modelling.matrix_rows(Tables(spark, folder))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(store") == 1 and "Exchange hashpartitioning(product" not in plan
+
+
+def test_weekly_tables_take_one_exchange(spark, folder, monkeypatch):
+    """Line items are dealt by series once: sums, windows and the stored tables need no other exchange, and models no money columns."""
+    from weekcast.catalog import tables
+
+    plans = {}
+    monkeypatch.setattr(tables, "materialize", lambda df, label="table", cluster_by=(): plans.setdefault(label, df) if not cluster_by else
+                        plans.setdefault(label, df.repartition(*cluster_by)))
+    t = tables.Tables(spark, folder)
+    frames = {"weekly": t.weekly_table, "sales": t.sales_table, "fine": t.fine_weekly_table, "scored": t.scored}
+    for name, df in frames.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, name
+    assert "extendedprice" not in t.sales_table._jdf.queryExecution().executedPlan().toString()
