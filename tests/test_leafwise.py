@@ -167,3 +167,39 @@ def test_pending_trees_are_applied_to_counted_rows_only():
     slot, bins, gradient = leafwise._counted(batch, 2, [pending], tree, slots, 1, 1.0)
     assert seen == [15] and slot.tolist() == [0] * 15 and bins.tolist() == codes[5:20].tolist()
     assert gradient.tolist() == (1.5 - np.arange(5.0, 20.0)).tolist()
+
+
+def test_passes_read_blocks_of_rows(spark, monkeypatch):
+    """A pass gets whole blocks, not rows, and sends on one array per leaf and task; the blocks are let go at the end."""
+    monkeypatch.setattr(leafwise, "BLOCK_ROWS", 64)
+    frame, x, y = data(spark, 1000)
+    names, blocks = ["a", "b", "c"], []
+    plain = leafwise.histograms
+    monkeypatch.setattr(leafwise, "histograms", lambda kept, *args: blocks.append(kept) or plain(kept, *args))
+    model = leafwise.fit_leafwise(frame, names, "y", Settings(n_estimators=1, num_leaves=4, **WHOLE))
+    kept = blocks[0]
+    assert not kept.is_cached and all(b is kept for b in blocks)
+    sizes = [b.num_rows for block in kept.collect() for b in leafwise._opened([block])]
+    assert sum(sizes) == 1000 and max(sizes) <= 64 and len(sizes) < 64
+    bins = max(len(e) + 1 for e in model.edges)
+    tree = model.trees[0]
+    leaves = [n for n, f in enumerate(tree.feature) if f < 0]
+    found = plain(kept, 3, bins, [], tree, leaves, 0, 1.0)
+    codes = model.bins(x)
+    ends = tree.leaves_of(codes)
+    for leaf in leaves:
+        for f in range(3):
+            at = codes[ends == leaf, f]
+            assert found[leaf][f, :, 0].tolist() == np.bincount(at, minlength=bins).tolist()
+            assert np.allclose(found[leaf][f, :, 1], np.bincount(at, (model.base - y)[ends == leaf], bins))
+    some = tree.leaves_of(codes, leaves[:1])
+    assert (some == np.where(ends == leaves[0], ends, -1)).all()
+
+
+def test_bin_edges_are_quantiles_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(leafwise, "SUMMARY_ROWS", 1000)
+    monkeypatch.setattr(leafwise, "SUMMARY_POINTS", 300)
+    frame = spark.range(0, 20_000, 1, 3).selectExpr("cast(id * id as double) x", "id % 9 as few")
+    many, few = leafwise.bin_edges(frame, ["x", "few"], 16)
+    places = np.sqrt(many) / 20_000
+    assert np.abs(places - np.arange(1, 16) / 16).max() < 0.01 and few.tolist() == list(range(8))

@@ -1,9 +1,9 @@
 """Boosted trees grown best leaf first, on Spark.
 
-Features become bin numbers once; the binned table is written and read again in every pass. A pass sums the gradients
-per (leaf, feature, bin) inside the tasks and adds these histograms up in one aggregation, so what reaches the driver
-depends on leaves, features and bins, not on rows. Of two siblings only the one with fewer rows is counted; the other
-is the parent less that one.
+Features become bin numbers once; the binned table is written in blocks of rows, and these are kept in memory or on disk
+for the passes (a lost executor costs a re-read). A pass sums the gradients per (leaf, feature, bin) inside the tasks and
+adds these histograms up per leaf, so what reaches the driver depends on leaves, features and bins, not on rows. Of two
+siblings only the one with fewer rows is counted; the other is the parent less that one.
 
 Growing the best leaf first needs the children of a leaf before it is known whether they are split. A pass therefore
 counts the children of all leaves that would be split if nothing better turned up below them, and the tree is grown
@@ -16,19 +16,26 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.plans.scale import materialize, unpivot_numeric
+from weekcast.plans.scale import materialize
 
 PENDING = 8
-TABLE = "bins binary, y double, mark bigint, score double, held boolean"
+# A row of the binned table is a block of rows: (bins, y, mark, score, held) as an Arrow stream of at most so many.
+TABLE, BLOCK_ROWS = "block binary", 1 << 14
+# Rows whose histograms are counted at once in a task.
+COUNTED_ROWS = 1 << 17
+# Rows summed up at once where the bins are made, and points that stand for them if they have more values than that.
+SUMMARY_ROWS, SUMMARY_POINTS = 1 << 18, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -65,16 +72,26 @@ class Tree:
             part += [empty, empty]
         return first, first + 1
 
-    def leaves_of(self, bins: np.ndarray) -> np.ndarray:
-        """The node each row of bin numbers ends in."""
-        feature, cut, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
-        node = np.zeros(len(bins), np.int64)
-        inner = np.flatnonzero(feature[node] >= 0)
-        while len(inner):
-            at = node[inner]
-            goes_left = bins[inner, feature[at]] <= cut[at]
-            node[inner] = np.where(goes_left, left[at], right[at])
-            inner = inner[feature[node[inner]] >= 0]
+    def leaves_of(self, bins: np.ndarray, wanted: Sequence[int] | None = None) -> np.ndarray:
+        """The node each row of bin numbers ends in. With ``wanted``, -1 for rows that end in no node of it."""
+        node = np.full(len(bins), -1)
+        some = [wanted is None] * len(self.feature)
+        for n in () if wanted is None else wanted:
+            some[n] = True
+        for n in reversed(range(len(some))):  # children have higher numbers
+            if self.feature[n] >= 0:
+                some[n] = some[self.left[n]] or some[self.right[n]]
+        parts = [(0, None)] if some[0] else []
+        while parts:
+            n, rows = parts.pop()
+            if self.feature[n] < 0:
+                node[slice(None) if rows is None else rows] = n
+                continue
+            column = bins[:, self.feature[n]]
+            goes_left = (column if rows is None else column[rows]) <= self.bin[n]
+            for child, here in ((self.left[n], goes_left), (self.right[n], ~goes_left)):
+                if some[child]:
+                    parts.append((child, np.flatnonzero(here) if rows is None else rows[here]))
         return node
 
     def add_to(self, score: np.ndarray, bins: np.ndarray) -> None:
@@ -137,34 +154,63 @@ def to_bins(matrix: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return bins
 
 
+def _summary(values: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(values, rows each stands for, whether these are all values) of a column, in order: the values if there are at most
+    ``points``, else as many quantiles."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    if len(first) <= points:
+        return ordered[first], np.diff(np.append(first, len(ordered))), True
+    ends = np.arange(1, points + 1) * len(ordered) // points
+    return ordered[ends - 1], np.diff(ends, prepend=0), False
+
+
 def bin_edges(frame: DataFrame, features: Sequence[str], max_bin: int = Settings.max_bin) -> list[np.ndarray]:
-    """Upper ends of all bins but the last: every value of a feature with few of them, else its quantiles."""
-    values = frame.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f) for f in features])
-    values = values.select(*[F.when(F.isnan(f"`{f}`"), 0.0).otherwise(F.col(f"`{f}`")).alias(f) for f in features])
-    shares = [i / max_bin for i in range(1, max_bin)]
-    row = values.agg(
-        *[F.approx_count_distinct(f"`{f}`", 0.02).alias(f"n{i}") for i, f in enumerate(features)],
-        *[F.percentile_approx(f"`{f}`", shares, 100 * max_bin).alias(f"q{i}") for i, f in enumerate(features)],
-    ).first()
-    few = [f for i, f in enumerate(features) if row[f"n{i}"] <= max_bin * 1.1]  # of so many values at most, about
-    found: dict[str, set] = {f: set() for f in few}
-    if few:
-        for r in unpivot_numeric(values, few).distinct().collect():
-            found[r["column"]].add(r["value"])
-    edges = []
-    for i, f in enumerate(features):
-        exact = found.get(f)
-        if exact is not None and len(exact) <= max_bin:
-            edges.append(np.array(sorted(exact)[:-1], dtype=float))
-        else:
-            edges.append(np.unique(np.array(row[f"q{i}"] or [], dtype=float)))
-    return edges
+    """Upper ends of all bins but the last: every value of a feature with few of them, else its quantiles.
+
+    All rows are sorted, ``SUMMARY_ROWS`` at once, and of these ``SUMMARY_POINTS`` values each remain at most, so a quantile is
+    off by at most one in ``SUMMARY_POINTS`` of the rows.
+    """
+    values = frame.select(*[F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)])
+    points = max(SUMMARY_POINTS, max_bin + 1)
+
+    def summed(columns):
+        for i, parts in enumerate(columns):
+            at, rows, whole = _summary(np.concatenate(parts) + 0.0, points)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), i)), pa.array(at), pa.array(rows), pa.array(np.full(len(at), whole))], names=["f", "x", "n", "whole"])
+
+    def run(batches):
+        columns, size = [[] for _ in features], 0
+        for batch in batches:
+            for i, parts in enumerate(columns):
+                parts.append(batch.column(i).to_numpy(zero_copy_only=False))
+            size += batch.num_rows
+            if size >= SUMMARY_ROWS:
+                yield from summed(columns)
+                columns, size = [[] for _ in features], 0
+        if size:
+            yield from summed(columns)
+
+    def cut(key, part):
+        x, n = part["x"].to_numpy(), part["n"].to_numpy()
+        order = np.argsort(x, kind="stable")
+        x, up_to = x[order], np.cumsum(n[order])
+        every = np.unique(x)
+        if len(every) <= max_bin and part["whole"].all():
+            return pd.DataFrame({"f": key[0], "e": every[:-1]})
+        ranks = np.ceil(np.arange(1, max_bin) / max_bin * up_to[-1])
+        return pd.DataFrame({"f": key[0], "e": np.unique(x[np.searchsorted(up_to, ranks)])})
+
+    points_of = values.mapInArrow(run, "f bigint, x double, n bigint, whole boolean")
+    found: pd.DataFrame = points_of.groupBy("f").applyInPandas(cut, "f bigint, e double").toPandas()  # a bin's end each
+    return [np.sort(found["e"].to_numpy(dtype=float)[found["f"].to_numpy() == i]) for i in range(len(features))]
 
 
 def binned_table(
     frame: DataFrame, features: Sequence[str], target: str, edges: list[np.ndarray], held: str | None, base: float
 ) -> DataFrame:
-    """The rows with a target as ``TABLE``: bin numbers in bytes, and a hash that samples rows."""
+    """The rows with a target in blocks, see ``TABLE``: bin numbers in bytes, and a hash that samples rows."""
     inputs = frame.where(F.col(target).isNotNull()).select(
         *[F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)],
         F.col(target).cast("double").alias("y"),
@@ -173,20 +219,53 @@ def binned_table(
     )
     width = len(features)
 
+    def binned(batch):
+        matrix = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+        bins = np.ascontiguousarray(to_bins(matrix, edges))
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(bins), [None, pa.py_buffer(bins.tobytes())])
+        return pa.RecordBatch.from_arrays(
+            [packed.cast(pa.binary()), batch.column(width), batch.column(width + 1),
+             pa.array(np.full(len(bins), base)), batch.column(width + 2)],
+            names=["bins", "y", "mark", "score", "held"],
+        )
+
+    def row(parts):
+        block = _block(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
-            matrix = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
-            bins = np.ascontiguousarray(to_bins(matrix, edges))
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(bins), [None, pa.py_buffer(bins.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [packed.cast(pa.binary()), batch.column(width), batch.column(width + 1),
-                 pa.array(np.full(len(bins), base)), batch.column(width + 2)],
-                names=["bins", "y", "mark", "score", "held"],
-            )
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                if size + part.num_rows > BLOCK_ROWS:
+                    yield row(parts)
+                    parts, size = [], 0
+                parts.append(binned(part))
+                size += part.num_rows
+        if parts:
+            yield row(parts)
 
     return materialize(inputs.mapInArrow(run, TABLE), "binned")
 
 
+def _block(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(blocks: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """The batches of rows in blocks, without copies."""
+    for block in blocks:
+        yield from pa.ipc.open_stream(block)
+
+
+def _kept(table: DataFrame) -> RDD:
+    return table.rdd.map(lambda row: bytes(row[0])).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _columns(batch: pa.RecordBatch, width: int):
     """(bins, y, mark, score, held) of a batch of the table, with the scores as they were written."""
     packed = batch.column(0)
@@ -232,37 +311,41 @@ def _counted(
     """
     codes, y, mark, score, held = _columns(batch, width)
     drawn = np.flatnonzero(~held & sampled(mark, draw, share))
-    slot = slots[tree.leaves_of(codes[drawn])]
-    used = drawn[slot >= 0]
+    node = tree.leaves_of(codes[drawn], np.flatnonzero(slots >= 0))
+    used = drawn[node >= 0]
     codes = codes[used]
-    return slot[slot >= 0], codes, _applied(score[used], codes, pending) - y[used]
+    return slots[node[node >= 0]], codes, _applied(score[used], codes, pending) - y[used]
 
 
 def histograms(
-    table: DataFrame, width: int, bins: int, pending: Sequence[Tree], tree: Tree, nodes: Sequence[int], draw: int, share: float
+    blocks: RDD, width: int, bins: int, pending: Sequence[Tree], tree: Tree, nodes: Sequence[int], draw: int, share: float
 ) -> dict[int, np.ndarray]:
     """Per node of ``nodes`` (leaves of ``tree``): rows and sum of gradients by feature and bin."""
     slots = np.full(len(tree.feature), -1)
     slots[list(nodes)] = np.arange(len(nodes))
-    size = len(nodes) * width * bins
 
-    def count(batches):
-        totals = np.zeros((2, size))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            slot, codes, gradient = _counted(batch, width, pending, tree, slots, draw, share)
-            at = (slot[:, None] * width + np.arange(width)) * bins + codes
-            totals[0] += np.bincount(at.ravel(), minlength=size)
-            totals[1] += np.bincount(at.ravel(), weights=np.repeat(gradient, width), minlength=size)
-        some = np.flatnonzero(totals[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["at", "n", "g"])
+    def count(part):
+        totals, waiting = np.zeros((len(nodes), width, bins, 2)), []
 
-    summed = table.mapInArrow(count, "at bigint, n double, g double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    found = np.zeros((size, 2))
-    collected: pd.DataFrame = summed.toPandas()  # leaves times features times bins rows at most
-    found[collected["at"].to_numpy()] = collected[["n", "g"]].to_numpy()
-    return dict(zip(nodes, found.reshape(len(nodes), width, bins, 2), strict=True))
+        def add():
+            slot, codes, gradient = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            for f in range(width):
+                at = slot * bins + codes[:, f]
+                for i, weights in enumerate((None, gradient)):
+                    totals[:, f, :, i] += np.bincount(at, weights, len(nodes) * bins).reshape(-1, bins)
+            waiting.clear()
+
+        for batch in _opened(part):
+            waiting.append(_counted(batch, width, pending, tree, slots, draw, share))
+            if sum(len(w[0]) for w in waiting) >= COUNTED_ROWS:
+                add()
+        if waiting:
+            add()
+        yield from enumerate(totals)
+
+    summed = blocks.mapPartitions(count).reduceByKey(np.add, min(len(nodes), blocks.getNumPartitions() or 1))
+    found = dict(summed.collect())  # leaves times features times bins numbers at most
+    return {node: found.get(i, np.zeros((width, bins, 2))) for i, node in enumerate(nodes)}
 
 
 def best_split(histogram: np.ndarray, settings: Settings, allowed: np.ndarray) -> tuple[float, int, int] | None:
@@ -371,7 +454,7 @@ def fit_leafwise(
     edges = bin_edges(learn, features, settings.max_bin)
     bins = max([len(e) + 1 for e in edges], default=1)
     base = float(learn.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0)
-    table = binned_table(frame, features, target, edges, validation, base)
+    blocks = _kept(binned_table(frame, features, target, edges, validation, base))
     draw = np.random.default_rng(settings.seed)
     trees: list[Tree] = []
     written, best, best_error = 0, 0, np.inf
@@ -381,44 +464,43 @@ def fit_leafwise(
         allowed[draw.permutation(width)[:picked]] = True
         pending = trees[written:]
 
-        def count(tree, nodes, table=table, pending=pending, number=number):
-            return histograms(table, width, bins, pending, tree, nodes, settings.seed + number, settings.subsample)
+        def count(tree, nodes, blocks=blocks, pending=pending, number=number):
+            return histograms(blocks, width, bins, pending, tree, nodes, settings.seed + number, settings.subsample)
 
         tree = grow(count, settings, allowed)
         trees.append(tree)
         if len(tree.feature) == 1 and settings.subsample >= 1 and settings.colsample_bytree >= 1:
             break  # no split helps, nor will the next tree find one
         if validation:
-            error = _error(table, width, trees[written:])
+            error = _error(blocks, width, trees[written:])
             if error < best_error:
                 best, best_error = len(trees), error
             elif len(trees) - best >= settings.early_stopping_rounds:
                 break
         if len(trees) - written >= PENDING:
-            table, written = _rescored(table, width, trees[written:]), len(trees)
+            before, blocks, written = blocks, _rescored(frame.sparkSession, blocks, width, trees[written:]), len(trees)
+            before.unpersist()
+    blocks.unpersist()
     kept = trees[:best] if validation and best else trees
     return LeafwiseModel(features, edges, base, kept, prediction)
 
 
-def _rescored(table: DataFrame, width: int, pending: Sequence[Tree]) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                score = _rows(batch, width, pending)[3]
-                yield batch.set_column(3, "score", pa.array(score))
+def _rescored(spark: SparkSession, blocks: RDD, width: int, pending: Sequence[Tree]) -> RDD:
+    def run(part):
+        for batch in _opened(part):
+            yield (_block(batch.set_column(3, "score", pa.array(_rows(batch, width, pending)[3]))),)
 
-    return materialize(table.mapInArrow(run, TABLE), "binned")
+    return _kept(materialize(spark.createDataFrame(blocks.mapPartitions(run), TABLE), "binned"))
 
 
-def _error(table: DataFrame, width: int, pending: Sequence[Tree]) -> float:
+def _error(blocks: RDD, width: int, pending: Sequence[Tree]) -> float:
     """Mean absolute error of the rows held out."""
-    def run(batches):
+    def run(part):
         total = np.zeros(2)
-        for batch in batches:
-            if batch.num_rows:
-                _, y, _, score, held = _rows(batch, width, pending)
-                total += (held.sum(), np.abs(score - y)[held].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(total[:1]), pa.array(total[1:])], names=["n", "e"])
+        for batch in _opened(part):
+            bins, y, _, score, held = _columns(batch, width)
+            total += (held.sum(), np.abs(_applied(score[held], bins[held], pending) - y[held]).sum())
+        yield total
 
-    row = table.where("held").mapInArrow(run, "n double, e double").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).first()
-    return row["e"] / row["n"] if row["n"] else np.inf
+    rows, error = blocks.mapPartitions(run).fold(np.zeros(2), lambda a, b: a + b)
+    return error / rows if rows else np.inf
