@@ -109,3 +109,33 @@ def test_candidates_come_from_a_walk_of_tries_in_pairs(monkeypatch, same, leaf):
     assert walked == [neardup.MAX_BITS]
     every = len(values) ** 2 // 2 if same else int(first.sum() * (~first).sum())
     assert sum(compared) < every * 0.8
+
+
+def test_a_pair_beside_the_forest_is_decided(spark, monkeypatch):
+    """Two similar texts and a third that their sketches take for nearer than it is: the forest leaves out the only link."""
+    words = [f"w{i}" for i in range(100)]
+    near, far = [*words[:-9], *(f"x{i}" for i in range(9))], [*words[:-30], *(f"y{i}" for i in range(30))]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    assert plain_kept(rows) == {1, 3}
+    monkeypatch.setattr(neardup, "fingerprint", lambda text, shingle: bytes(8))
+    monkeypatch.setattr(neardup, "sketch", lambda text: bytes(
+        [1] * 32 + [3 if "w99" in text else 1] * 8 + [3 if "x8" in text else 1] * 8 + [1] * 16))
+    assert {r.doc_id for r in neardup.keep_one(documents(spark, rows)).collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_remaining_pairs_are_all_candidates_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 1 << 62, 60)
+    prints = np.concatenate([base, base ^ 0b1011, base ^ (1 << 40), base[:20] ^ 0x1F])
+    rows = [(i, int(p), int(i % 7 if i % 3 else 1000 + i), bytes([1 + i % 2] * 64)) for i, p in enumerate(prints)]
+    units = spark.createDataFrame(rows, "key long, fp long, component long, sketch binary")
+    got = [(r.a, r.b) for r in neardup.remaining_pairs(units).collect()]
+    lead, want = 64 // neardup.TURNS, set()
+    for i, p, c, s in rows:
+        for j, q, d, r in rows[i + 1 :]:
+            shared = any((p ^ q) >> (64 - lead * (t + 1)) & 31 == 0 for t in range(neardup.TURNS))
+            if c != d and s == r and shared and (p ^ q).bit_count() <= neardup.MAX_BITS:
+                want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
