@@ -5,6 +5,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 from weekcast.catalog import modelling
+from weekcast.operators import models
 from weekcast.plans import strategy
 
 
@@ -23,3 +24,28 @@ def test_all_shipped_strategies_are_run_as_declared(monkeypatch):
 class Parts:
     def unionByName(self, other):
         return self
+
+
+def test_tune_searches_the_whole_space(monkeypatch):
+    """100 trials, every parameter of the space in its whole range, each over all folds of the frame."""
+    tried = []
+    monkeypatch.setattr(modelling, "learning", lambda t: (Frame(), ["a"]))
+    monkeypatch.setattr(models, "oof_predictions", lambda frame, features, specs, spec, gap: tried.append(specs["prediction"]))
+    monkeypatch.setattr(models, "metrics", lambda *args: SimpleNamespace(head=lambda: {"wmape": 1.0}))
+    modelling.tune(None)
+    assert len(tried) == 100 and {m.kind for m in tried} == {"gbt"}
+    for name, (low, high) in models.SEARCH_SPACE.items():
+        values = [m.params[name] for m in tried]
+        assert min(values) < low + (high - low) / 5 and max(values) > high - (high - low) / 5
+
+
+class Frame:
+    """Where the table of trials goes."""
+
+    sparkSession = property(lambda self: self)
+
+    def createDataFrame(self, rows, columns):
+        return self
+
+    def orderBy(self, *columns):
+        return self
